@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import sharding, token_counts
+from . import fingerprints, mixing, sharding, token_counts, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
+    "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
+    "op5_mixing": mixing.op5_mixing,
+    "op8_url_filters": url_filters.op8_url_filters,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL = {
     "op2_sharding": sharding.OP2_SQL,
+    "op3_document_fingerprints": fingerprints.OP3_SQL,
+    "op5_mixing": mixing.OP5_SQL,
+    "op8_url_filters": url_filters.OP8_SQL,
 }
