@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, sharding, token_counts, url_filters
+from . import decontamination, fingerprints, mixing, sharding, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_sharding": sharding.op2_sharding,
     "op3_document_fingerprints": fingerprints.op3_document_fingerprints,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
     "op8_url_filters": url_filters.op8_url_filters,
+    "op9_decontamination": decontamination.op9_decontamination,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -18,4 +20,5 @@ SQL = {
     "op3_document_fingerprints": fingerprints.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
+    "op9_decontamination": decontamination.OP9_SQL,
 }
