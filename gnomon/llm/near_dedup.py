@@ -268,10 +268,10 @@ def node_id(id_col: str, text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``(id, node, class_id, first_of_text)`` of every row.
+    """``(id, node, class_id, key)`` of every row.
 
-    ``node`` is the id by which classes are named; a row is its class's
-    representative if its node is the class id.
+    ``node`` is the id by which classes are named, ``key`` the text's MD5; a row
+    stands for its class if its node is the class id.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), node_id(id_col, text).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
@@ -314,9 +314,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         open_members = left.select("bucket", "id")
 
-    classes = texts.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), F.col("id").alias("node"))
+    classes = texts.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
     classes = materialize(classes, "near-classes")
-    return signed.select("doc", "id", "key").join(classes, "key").select(F.col("doc").alias(id_col), F.col("id").alias("node"), "class_id", (F.col("id") == F.col("node")).alias("first_of_text"))
+    return signed.select("doc", "id", "key").join(classes, "key").select(F.col("doc").alias(id_col), F.col("id").alias("node"), "class_id", "key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, mixing, near_dedup, sharding, substring_dedup, token_counts, toxicity, url_filters
+from . import chat_format, decontamination, fingerprints, mixing, near_dedup, sharding, substring_dedup, token_counts, toxicity, url_filters
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_decontamination": decontamination.op9_decontamination,
+    "op10_chat_formatting": chat_format.op10_chat_formatting,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -24,4 +25,5 @@ SQL = {
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op8_url_filters": url_filters.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
+    "op10_chat_formatting": chat_format.OP10_SQL,
 }
