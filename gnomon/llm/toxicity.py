@@ -135,16 +135,33 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The tables of both language models and the curve; of a fixed size, whatever was counted."""
+    """Both language models; of a bounded size, whatever was counted.
 
-    def __init__(self, tables: dict[str, np.ndarray]):
-        self.tables = tables
-        self.curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    Only occupied places are kept and sent; a worker lays the whole tables out
+    when it first needs them.
+    """
+
+    def __init__(self, occupied: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.occupied = occupied
+        self._tables: dict[str, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"occupied": self.occupied, "_tables": None}
+
+    @property
+    def tables(self) -> dict[str, np.ndarray]:
+        if self._tables is None:
+            self._tables = {}
+            for name, (places, values) in self.occupied.items():
+                rows = PLACES_TOP if name == f"a{ORDER}" else PLACES
+                empty = {"a": [0, 0], "c": [0, 0, 1, 1], "p": [1 / ALPHABET / 100]}[name[0]]
+                self._tables[name] = np.tile(np.array(empty, np.float32), (rows, 1))
+                self._tables[name][places] = values
+        return self._tables
 
     def ratios(self, packed: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each gram's last character, toxic against ordinary."""
         p = self.tables["p2"][(packed & ((1 << 2 * BITS) - 1)) % PLACES]
-        p = np.stack([p, p], 1)
         for n in range(3, ORDER + 1):
             gram = packed & ((1 << n * BITS) - 1)
             above = self.tables[f"c{n}"][(gram >> BITS) % PLACES]
@@ -163,11 +180,18 @@ class Model:
             out[first : first + len(chunk)] = np.stack([total / n, telling / n, np.log(n)], 1)
         return out
 
+
+class Judge:
+    """A model that all workers have, and the curve from its features to a score."""
+
+    def __init__(self, sent, curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+        self.sent, self.curve = sent, curve
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.curve is None:
             return np.zeros(len(texts))
         mean, spread, w = self.curve
-        x = np.clip(np.c_[(self.features(texts) - mean) / spread, np.ones(len(texts))] @ w, -500, 500)
+        x = np.clip(np.c_[(self.sent.value.features(texts) - mean) / spread, np.ones(len(texts))] @ w, -500, 500)
         return 1 / (1 + np.exp(-x))
 
 
@@ -183,8 +207,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
     return mean, spread, w
 
 
-def _tables(counted: DataFrame) -> dict[str, np.ndarray]:
-    """The models' tables.  What reaches the driver has at most one row for each place of each table."""
+def _tables(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Occupied places of the models' tables and their values.  What reaches the driver has at most one row for each place of each table."""
     kinds, level = [], counted
     for n in range(ORDER, 2, -1):
         places = PLACES_TOP if n == ORDER else PLACES
@@ -201,27 +225,24 @@ def _tables(counted: DataFrame) -> dict[str, np.ndarray]:
         kinds.append(level.groupBy(key.cast("int").alias("place")).agg(F.sum("k").cast("float").alias("v0"), ctx.cast("float").alias("v1"), F.lit(0.0).cast("float").alias("v2"), F.lit(0.0).cast("float").alias("v3")).select(F.lit(name).alias("kind"), "*"))
     found = reduce(DataFrame.unionByName, kinds).toPandas()
     by = {k: (g["place"].to_numpy(), g[["v0", "v1", "v2", "v3"]].to_numpy(np.float32)) for k, g in found.groupby("kind")}
+    nothing = np.empty(0, np.int32), np.empty((0, 4), np.float32)
     out = {}
     for n in range(3, ORDER + 1):
-        at, v = by.get(f"a{n}", (np.empty(0, int), np.empty((0, 4), np.float32)))
-        out[f"a{n}"] = np.zeros((PLACES_TOP if n == ORDER else PLACES, 2), np.float32)
-        out[f"a{n}"][at] = np.maximum(v[:, :2] - DISCOUNT, 0)
-        at, v = by.get(f"c{n}", (np.empty(0, int), np.empty((0, 4), np.float32)))
-        out[f"c{n}"] = np.tile(np.array([0, 0, 1, 1], np.float32), (PLACES, 1))
+        at, v = by.get(f"a{n}", nothing)
+        out[f"a{n}"] = at, np.maximum(v[:, :2] - DISCOUNT, 0)
+        at, v = by.get(f"c{n}", nothing)
         total, kinds_ = v[:, :2], v[:, 2:]
         safe = np.maximum(total, 1)
-        out[f"c{n}"][at] = np.concatenate([np.where(total > 0, 1 / safe, 0), np.where(total > 0, DISCOUNT * kinds_ / safe, 1)], 1)
+        out[f"c{n}"] = at, np.concatenate([np.where(total > 0, 1 / safe, 0), np.where(total > 0, DISCOUNT * kinds_ / safe, 1)], 1)
     total = np.zeros(PLACES, np.float32)
-    if "h2" in by:
-        total[by["h2"][0]] = by["h2"][1][:, 0]
-    out["p2"] = np.full(PLACES, 1 / ALPHABET / 100, np.float32)
-    if "p2" in by:
-        at, v = by["p2"]
-        out["p2"][at] = (v[:, 0] + FLOOR) / (total[v[:, 1].astype(int)] + FLOOR * ALPHABET)
+    at, v = by.get("h2", nothing)
+    total[at] = v[:, 0]
+    at, v = by.get("p2", nothing)
+    out["p2"] = at, ((v[:, 0] + FLOOR) / (total[v[:, 1].astype(int)] + FLOOR * ALPHABET))[:, None]
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Judge:
     """Both models and the curve, from the labelled rows outside the held-out part."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("id").isNotNull() & F.col("toxic").isNotNull())
     known = known.where(part("id") != HELD_OUT).groupBy("id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -232,17 +253,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
     judged = map_texts(rows.where(part("id") == CALIBRATED), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
     sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toPandas()
-    if len(sample):
-        model.curve = fit_curve(sample[["f0", "f1", "f2"]].to_numpy(), sample["toxic"].to_numpy(float))
-    return model
+    curve = fit_curve(sample[["f0", "f1", "f2"]].to_numpy(), sample["toxic"].to_numpy(float)) if len(sample) else None
+    return Judge(sent, curve)
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score(docs: DataFrame, judge: Judge, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list[str]], list[pa.Array]]:
-        return lambda texts: [pa.array(sent.value.scores(texts))]
+        return lambda texts: [pa.array(judge.scores(texts))]
 
     return map_texts(docs, text_col, make, f"`{score_col}` double")
 
