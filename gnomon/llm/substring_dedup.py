@@ -37,7 +37,7 @@ WINDOW = 20
 MINIMISER = 3
 BUCKETS = 4
 #: Bytes of texts whose super-k-mers one pass packs, and of packed strings that it hashes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 MEMO_WORDS = 500_000
 
@@ -129,7 +129,7 @@ class Packer:
 
 def _payload(live: list[np.ndarray], gone: list[np.ndarray], strings: bytes) -> bytes:
     raw = b"".join([struct.pack("<qqq", len(live[0]), len(gone[0]), len(strings)), *(np.ascontiguousarray(x, np.int64).tobytes() for x in (*live, *gone)), strings])
-    return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
