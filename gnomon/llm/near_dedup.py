@@ -12,13 +12,15 @@ weighted Jaccard similarity.  This takes time for ``t`` darts and the elements,
 for elements times coordinates.
 
 Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates; texts that agree
-on a band are candidates.  Equal texts are one node from the start.  Within a
-bucket of a band the members are held against a leader, not against each other:
-candidates are verified by their exact similarity, classes are the connected
-components, and as long as a bucket has members of different classes, another
-leader follows; after ``LEADER_ROUNDS`` the pairs between different classes that
-are left are all verified.  So no link between candidates is lost, and a bucket
-of many copies never becomes pairs of all its members.
+on a band are candidates.  Equal texts are one node from the start.  In a bucket of
+a band all members are first held against one leader, by their exact similarity;
+classes are the connected components.  A bucket that still has members of
+different classes is worked off in cells of two blocks of ``BLOCK`` members at
+most: inside a cell signatures tell which pairs of different classes may be
+similar (within ``MARGIN`` of the threshold), each pair counts in the first band
+that it shares, the exact similarity decides, and only links that join two classes
+come out.  So a bucket of many copies never becomes rows of pairs, no task holds
+more than two blocks, and no candidate is left out.
 
 Defined results: a null text is the empty text; texts without words are alike
 only if they are equal; rows with an id of null stand for themselves, by their
@@ -43,9 +45,12 @@ from .common import table, text_or_empty
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-LEADER_ROUNDS = 4
+#: Members of a bucket in one block of a cell.
+BLOCK = 1024
+#: Signatures may be so far below the similarity (more than three deviations).
+MARGIN = 0.12
 #: Beyond ln k, so many darts per coordinate; more make empty coordinates rarer.
-SPARE = 5.0
+SPARE = 3.0
 #: Ranks of the first cell; each further cell ends at twice the rank.
 FIRST = 0.5
 CHUNK_WORDS = 1 << 18
@@ -121,8 +126,11 @@ class Shingler:
 def _poisson(u: np.ndarray, mean: float) -> np.ndarray:
     """Poisson counts from uniform numbers."""
     out = np.zeros(len(u), np.int64)
+    top = u.max(initial=0.0)
     p = total = math.exp(-mean)
     for i in range(1, 24):
+        if total > top:
+            break
         out += u >= total
         p *= mean / i
         total += p
@@ -194,7 +202,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _bands_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc, id, key, bands)`` of rows ``(doc, id, key, text)``."""
+    """``(doc, id, key, bands, signature)`` of rows ``(doc, id, key, text)``; 4 bytes for each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -202,14 +210,16 @@ def _bands_of(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(3).to_pylist()
             out: list = []
+            short: list[bytes] = []
             for first, past in _chunks(texts):
                 owner, element, weight = shingler.sets(texts[first:past])
-                hashes = band_hashes(dart_signatures(owner, element, weight, past - first, BANDS * ROWS))
+                darts = dart_signatures(owner, element, weight, past - first, BANDS * ROWS)
                 some = np.bincount(owner, minlength=past - first) > 0
-                out += [h if s else [] for h, s in zip(hashes, some.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["doc", "id", "key", "bands"])
+                out += [h if s else [] for h, s in zip(band_hashes(darts), some.tolist(), strict=True)]
+                short += [x.tobytes() for x in darts.astype(np.uint32)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind), pa.array(short, pa.binary())], names=["doc", "id", "key", "bands", "signature"])
 
-    return docs.mapInArrow(run, "doc long, id long, key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc long, id long, key binary, bands array<long>, signature binary")
 
 
 def _elements_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -243,6 +253,69 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return both.where(common >= F.lit(similarity) * (F.size("ea") + F.size("eb") - common)).select("a", "b").distinct()
 
 
+def cell_links(band: int, ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, elements: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between different classes among ``rows`` x ``cols`` of a cell's members.
+
+    ``signatures`` is ``(members, BANDS, ROWS)``; a pair that shares an earlier
+    band belongs to that band's cell.  Links that join nothing new are left out.
+    """
+    agree = np.zeros((len(rows), len(cols)), np.int16)
+    for b in range(signatures.shape[1]):
+        whole = np.ones(agree.shape, bool)
+        for r in range(signatures.shape[2]):
+            same = signatures[rows, b, r][:, None] == signatures[cols, b, r][None, :]
+            agree += same
+            whole &= same
+        if b < band:
+            agree[whole] = -30000
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    out = []
+    least = (similarity - MARGIN) * signatures.shape[1] * signatures.shape[2]
+    for i, a in enumerate(rows.tolist()):
+        near = np.flatnonzero(agree[i] >= least)
+        near = cols[near[np.argsort(-agree[i, near], kind="stable")]]
+        near = [b for b in near.tolist() if ids[a] != ids[b] and root(labels[a]) != root(labels[b])]
+        if not near:
+            continue
+        sizes = np.array([len(elements[b]) for b in near])
+        inside = np.isin(np.concatenate([elements[b] for b in near]), elements[a])
+        common = np.add.reduceat(inside, np.cumsum(sizes) - sizes)
+        for b, yes in zip(near, (common >= similarity * (len(elements[a]) + sizes - common)).tolist(), strict=True):
+            x, y = root(labels[a]), root(labels[b])
+            if yes and x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _cell_links(members: DataFrame, signatures: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Links of ``(bucket, band, id, n, label)`` between different classes of a bucket, cell by cell."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        col = lambda c: cell.column(c).to_numpy()
+        sigs = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint32).reshape(cell.num_rows, BANDS, ROWS)
+        sets = [np.unique(x.values.to_numpy()) for x in cell.column("elements")]
+        first = col("mine") == col("i")
+        rows = np.flatnonzero(first)
+        cols = rows if col("i")[0] == col("j")[0] else np.flatnonzero(~first)
+        links = cell_links(int(col("band")[0]), col("id"), col("label"), sigs, sets, rows, cols, similarity)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = members.select("*", blocks.alias("blocks"), mine.alias("mine")).withColumn("other", others)
+    dealt = dealt.join(signatures, "id").join(elements, "id").select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "signature", "elements")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, label)``: the smallest id of the component, for every id that has an edge.
 
@@ -279,40 +352,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = materialize(signed.groupBy("key").agg(F.min("id").alias("id")), "near-texts")
 
     # one row for each band of each different text; buckets with company
-    banded = signed.select("key", "bands").where(F.size("bands") > 0).distinct().join(texts, "key").select("id", F.explode("bands").alias("bucket"))
+    banded = signed.select("key", "bands").where(F.size("bands") > 0).distinct().join(texts, "key").select("id", F.posexplode("bands").alias("band", "bucket"))
     banded = materialize(banded, "near-buckets")
     shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "near-shared")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "id", "n", "lead"), "near-members")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", "lead"), "near-members")
 
     wanted = members.select("id").distinct()
     wanted = texts.join(wanted, "id").select("key", F.col("id").alias("node"))
     read = rows.join(wanted, "key").where(F.col("id") == F.col("node"))
     elements = materialize(_elements_of(read.select("id", "text"), shingle), "near-elements")
 
-    tested = materialize(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
-    edges = materialize(_verified(tested, elements, similarity), "near-links")
+    leads = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    edges = materialize(_verified(leads, elements, similarity), "near-links")
     labels = components(edges)
-    open_members = members.where("n > 2").select("bucket", "id")
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = open_members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label")).alias("lead")).where("low != high")
-        left = materialize(placed.join(mixed.select("bucket", "lead"), "bucket"), "near-left")
-        if turn < LEADER_ROUNDS:
-            new = left.where("label != lead.label").select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
-        else:
-            other = left.select("bucket", F.col("id").alias("y"), F.col("label").alias("label2"))
-            new = left.join(other, "bucket").where("label < label2").select(F.col("id").alias("x"), "y")
-        new = new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = materialize(new.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-pairs")
-        if new.limit(1).count():
-            found = materialize(_verified(new, elements, similarity), "near-links")
-            if found.limit(1).count():
-                edges = edges.unionByName(found)
-                labels = components(edges)
-            tested = tested.unionByName(new)
-        elif not left.limit(1).count():
-            break
-        open_members = left.select("bucket", "id")
+    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "near-left")
+    if left.limit(1).count():
+        signatures = signed.join(texts.withColumnRenamed("id", "node"), "key").where(F.col("id") == F.col("node")).select("id", "signature")
+        found = materialize(_cell_links(left, signatures.dropDuplicates(["id"]), elements.dropDuplicates(["id"]), similarity), "near-links")
+        labels = components(edges.unionByName(found))
 
     classes = texts.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
     classes = materialize(classes, "near-classes")
