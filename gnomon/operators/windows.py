@@ -51,9 +51,13 @@ def crosses_down(a: str, b: str, w: WindowSpec) -> Column:
 
 
 def growth(r: str, w: WindowSpec) -> Column:
-    """Cumulative product of ``1 + r``; returns are bounded below so that it stays positive."""
-    safe = F.greatest(F.coalesce(F.col(r), F.lit(0.0)), F.lit(-0.999999))
-    return F.exp(F.sum(F.ln(1 + safe)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Cumulative product of ``1 + r``, with missing returns as 0; a return below -1 turns its sign, one of -1 ends it at 0."""
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = 1 + F.coalesce(F.col(r), F.lit(0.0))
+    size = F.exp(F.sum(F.ln(F.nullif(F.abs(x), F.lit(0.0)))).over(so_far))
+    turns = F.sum((x < 0).cast("int")).over(so_far)
+    gone = F.max((x == 0).cast("int")).over(so_far) == 1
+    return F.when(gone, 0.0).when(turns % 2 == 1, -size).otherwise(F.coalesce(size, F.lit(1.0)))
 
 
 def drawdown(equity: str, w: WindowSpec) -> Column:

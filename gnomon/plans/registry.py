@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import base, relational, series, technical  # noqa: F401 - they register their queries
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return technical.flagship(spark, sf_dir)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
