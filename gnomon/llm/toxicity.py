@@ -209,22 +209,31 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
 
 def _tables(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Occupied places of the models' tables and their values.  What reaches the driver has at most one row for each place of each table."""
-    kinds, level = [], counted
+    kinds, level, names = [], counted, []
+
+    def add(name: str, rows: DataFrame, key: Column, cols: list[Column]) -> None:
+        names.append(name)
+        sums = rows.groupBy(key.cast("int").alias("place")).agg(*(c.cast("float").alias(f"v{i}") for i, c in enumerate(cols)))
+        kinds.append(sums.select(F.lit(len(names) - 1).cast("byte").alias("kind"), "*"))
+
     for n in range(ORDER, 2, -1):
         places = PLACES_TOP if n == ORDER else PLACES
         seen = [F.sum((F.col(c) > 0).cast("int")) for c in ("ordinary", "toxic")]
         sums = [F.sum(c) for c in ("ordinary", "toxic")]
         zero = F.lit(0)
-        for name, key, cols in ((f"a{n}", F.col("gram") % places, [*sums, zero, zero]), (f"c{n}", F.shiftright("gram", BITS) % PLACES, [*sums, *seen])):
-            kinds.append(level.groupBy(key.cast("int").alias("place")).agg(*(c.cast("float").alias(f"v{i}") for i, c in enumerate(cols))).select(F.lit(name).alias("kind"), "*"))
+        add(f"a{n}", level, F.col("gram") % places, [*sums, zero, zero])
+        add(f"c{n}", level, F.shiftright("gram", BITS) % PLACES, [*sums, *seen])
         level = level.groupBy(F.col("gram").bitwiseAND((1 << (n - 1) * BITS) - 1).alias("gram")).agg(*(s.alias(c) for s, c in zip(seen, ("ordinary", "toxic"), strict=True)))
     level = level.withColumn("k", F.col("ordinary") + F.col("toxic"))
-    for name, key in (("p2", F.col("gram") % PLACES), ("h2", F.shiftright("gram", BITS) % PLACES)):
-        # a place of order 2 keeps its context with it, to be divided by below
-        ctx = F.first(F.shiftright("gram", BITS) % PLACES) if name == "p2" else F.lit(0)
-        kinds.append(level.groupBy(key.cast("int").alias("place")).agg(F.sum("k").cast("float").alias("v0"), ctx.cast("float").alias("v1"), F.lit(0.0).cast("float").alias("v2"), F.lit(0.0).cast("float").alias("v3")).select(F.lit(name).alias("kind"), "*"))
-    found = reduce(DataFrame.unionByName, kinds).toPandas()
-    by = {k: (g["place"].to_numpy(), g[["v0", "v1", "v2", "v3"]].to_numpy(np.float32)) for k, g in found.groupby("kind")}
+    # a place of order 2 keeps its context with it, to be divided by below
+    context = F.shiftright("gram", BITS) % PLACES
+    add("p2", level, F.col("gram") % PLACES, [F.sum("k"), F.first(context), F.lit(0), F.lit(0)])
+    add("h2", level, context, [F.sum("k"), F.lit(0), F.lit(0), F.lit(0)])
+    found = reduce(DataFrame.unionByName, kinds).toArrow()
+    kind = found.column("kind").to_numpy()
+    place, values = found.column("place").to_numpy(), np.stack([found.column(f"v{i}").to_numpy() for i in range(4)], 1)
+    by = {name: (place[kind == i], values[kind == i]) for i, name in enumerate(names)}
+    del found
     nothing = np.empty(0, np.int32), np.empty((0, 4), np.float32)
     out = {}
     for n in range(3, ORDER + 1):
@@ -252,8 +261,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model = Model(_tables(materialize(count_grams(rows.where(part("id") != CALIBRATED)), "toxicity-grams")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     judged = map_texts(rows.where(part("id") == CALIBRATED), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
-    sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toPandas()
-    curve = fit_curve(sample[["f0", "f1", "f2"]].to_numpy(), sample["toxic"].to_numpy(float)) if len(sample) else None
+    sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toArrow()
+    x = np.stack([sample.column(f"f{i}").to_numpy() for i in range(3)], 1)
+    curve = fit_curve(x, sample.column("toxic").to_numpy().astype(float)) if len(x) else None
     return Judge(sent, curve)
 
 
