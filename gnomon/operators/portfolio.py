@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,7 +28,7 @@ def covariance(r: np.ndarray, shrinkage: float = 0.0, target: str = "diagonal",
 def _simplex(w: np.ndarray, most: float = 1.0) -> np.ndarray:
     """The nearest weights that add up to 1, none negative or above ``most``."""
     low, high = w.min() - most, w.max()
-    for _ in range(100):
+    for _ in range(50):
         mid = (low + high) / 2
         low, high = (mid, high) if np.clip(w - mid, 0, most).sum() > 1 else (low, mid)
     return np.clip(w - high, 0, most)
@@ -40,8 +40,11 @@ def min_variance(c: np.ndarray, long_only: bool = True, most: float = 1.0) -> np
         return w / w.sum()
     w = np.full(len(c), 1 / len(c))
     step = 1 / np.linalg.eigvalsh(c)[-1]
-    for _ in range(2000):
-        w = _simplex(w - step * (c @ w), most)
+    for _ in range(1000):
+        after = _simplex(w - step * (c @ w), most)
+        if np.abs(after - w).max() < 1e-12:
+            break
+        w = after
     return w
 
 
@@ -52,9 +55,9 @@ def max_sharpe(mu: np.ndarray, c: np.ndarray, riskless: float = 0.0, long_only:
         return w / w.sum()
     best, out = -np.inf, np.full(len(c), 1 / len(c))
     step = 1 / np.linalg.eigvalsh(c)[-1]
-    for risk in np.geomspace(0.1, 1000, 25):
+    for risk in np.geomspace(0.1, 1000, 15):
         w = out.copy()
-        for _ in range(300):
+        for _ in range(100):
             w = _simplex(w - step * (c @ w - (mu - riskless) / risk), most)
         ratio = (w @ (mu - riskless)) / max(np.sqrt(w @ c @ w), 1e-12)
         if ratio > best:
@@ -177,7 +180,3 @@ def uncorrelated_subset(prob: np.ndarray, corr: np.ndarray, limit: float = 0.85)
         if all(abs(corr[i, j]) <= limit for j in kept):
             kept.append(int(i))
     return kept
-
-
-def risk_contribution(w: Column, marginal: Column) -> Column:
-    return w * marginal
