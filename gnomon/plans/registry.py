@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, base, relational, series, technical  # noqa: F401 - they register their queries
+from . import analytics, base, extended, relational, series, technical  # noqa: F401 - they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
