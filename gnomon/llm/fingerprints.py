@@ -68,7 +68,9 @@ def _lanes(hashes: Column) -> Column:
 
     count = F.array(F.size(hashes).cast("long"))
     dense = F.array(*map(dense_lane, range(DENSE)))
-    return F.concat(count, dense, bank(entries(1, 3)), bank(F.filter(entries(7, 9), lambda e: e["s"] == 0)))
+    # bound to a variable, so that they are parsed once and not once for each lane
+    both = F.struct(entries(1, 3).alias("all"), F.filter(entries(7, 9), lambda e: e["s"] == 0).alias("few"))
+    return F.transform(F.array(both), lambda x: F.concat(count, dense, bank(x["all"]), bank(x["few"])))[0]
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
