@@ -35,15 +35,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the tables written so far, but for the last ``keep``."""
-    gone = _written[: len(_written) - keep]
-    del _written[: len(gone)]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for _, path in gone:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+def mark() -> int:
+    """Where the list of tables written so far ends, for ``discard``."""
+    return len(_written)
+
+
+def discard(since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete the tables written since a mark, but for those with a name in ``keep``.
+
+    For the end of an operator or a stage, when nothing that is still to be read
+    depends on them any more.
+    """
+    for spark, path in _written[since:]:
+        if not any(path.rsplit("/", 1)[1].startswith(f"{name}-") for name in keep):
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that a session has written."""
+    for entry in [e for e in _written if e[0] is spark]:
+        _delete(*entry)
+        _written.remove(entry)
 
 
 @atexit.register
