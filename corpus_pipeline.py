@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gnomon.llm import decontamination, mixing, near_dedup, sharding, toxicity
 from gnomon.llm.common import fresh, table
-from gnomon.scratch import materialize
+from gnomon.scratch import discard, mark, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what lies between them is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
+    began = mark()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            discard(began, keep=(f"stage-{name}",))
     return docs

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import discard, mark, materialize
 from .common import table, text_or_empty
 
 SHINGLE = 5
@@ -346,6 +346,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``node`` is the id by which classes are named, ``key`` the text's MD5; a row
     stands for its class if its node is the class id.
     """
+    began = mark()
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), node_id(id_col, text).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     signed = materialize(_bands_of(rows, shingle), "near-bands")
@@ -375,6 +376,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     classes = texts.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
     classes = materialize(classes, "near-classes")
+    discard(began, keep=("near-bands", "near-classes"))
     return signed.select("doc", "id", "key").join(classes, "key").select(F.col("doc").alias(id_col), F.col("id").alias("node"), "class_id", "key")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import discard, mark, materialize
 from .common import map_texts, table, text_or_empty
 
 ORDER = 5
@@ -258,7 +258,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(part("id") != HELD_OUT)
     rows = texts.join(F.broadcast(known) if small else known, "id")
+    began = mark()
     model = Model(_tables(materialize(count_grams(rows.where(part("id") != CALIBRATED)), "toxicity-grams")))
+    discard(began)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     judged = map_texts(rows.where(part("id") == CALIBRATED), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
     sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toArrow()
