@@ -40,6 +40,8 @@ BUCKETS = 4
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 MEMO_WORDS = 500_000
+#: Rows that share an id are told apart by a hash of their text of so many values.
+KEYS = 1 << 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0x5851F42D4C957F2D
@@ -127,17 +129,31 @@ class Packer:
             yield int(bucket[group[0]]), _payload([doc[live], key[live], at[live]], [doc[gone], key[gone], at[gone], at[gone] + n[gone] + self.window - 1], strings)
 
 
+#: Bytes of each number in a payload: document (as steps, which are small), key, places.
+_LIVE, _GONE = (np.int64, np.uint16, np.int32), (np.int64, np.uint16, np.int32, np.int32)
+
+
 def _payload(live: list[np.ndarray], gone: list[np.ndarray], strings: bytes) -> bytes:
-    raw = b"".join([struct.pack("<qqq", len(live[0]), len(gone[0]), len(strings)), *(np.ascontiguousarray(x, np.int64).tobytes() for x in (*live, *gone)), strings])
-    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    """Compressed numbers and strings; documents are in order in both parts, so their steps are kept."""
+    columns = []
+    for part, kinds in ((live, _LIVE), (gone, _GONE)):
+        part = [np.diff(part[0], prepend=0), *part[1:]]
+        columns += [np.ascontiguousarray(x).astype(k).tobytes() for x, k in zip(part, kinds, strict=True)]
+    raw = b"".join([struct.pack("<qq", len(live[0]), len(gone[0])), *columns, strings])
+    return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     raw = pa.decompress(payload[8:], struct.unpack("<q", payload[:8])[0], codec="zstd", asbytes=True)
-    a, b, _ = struct.unpack("<qqq", raw[:24])
-    live = np.frombuffer(raw, np.int64, 3 * a, 24).reshape(3, a)
-    gone = np.frombuffer(raw, np.int64, 4 * b, 24 + 24 * a).reshape(4, b)
-    return live, gone, raw[24 + 24 * a + 32 * b :]
+    at, parts = 16, []
+    for n, kinds in zip(struct.unpack("<qq", raw[:16]), (_LIVE, _GONE), strict=True):
+        rows = np.empty((len(kinds), n), np.int64)
+        for i, kind in enumerate(kinds):
+            rows[i] = np.frombuffer(raw, kind, n, at)
+            at += n * np.dtype(kind).itemsize
+        rows[0] = np.cumsum(rows[0])
+        parts.append(rows)
+    return parts[0], parts[1], raw[at:]
 
 
 class _Hasher:
@@ -260,7 +276,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``(id, text, spans)``: every row with the stretches of words (first, past) that repeats cover."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.pmod(F.xxhash64("text"), F.lit(KEYS)))
     spans = repeated_spans(rows, window).groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     joined = rows.join(spans.hint("shuffle_hash"), ["id", "key"], "left")
     return joined.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), F.col("text").alias(text_col), F.coalesce("spans", F.array()).alias("spans"))
