@@ -75,3 +75,41 @@ def nearest_artifact(grid: DataFrame, axes: dict[str, float]) -> DataFrame:
 def estimated_hours(grid: DataFrame, *, samples: int, cores: int = 8, obs: str = "n_obs") -> DataFrame:
     """Hours that a surface takes, by a fitted cost of a sample (fixed values: 15 ms and 0.12 ms a row)."""
     return grid.agg((F.sum((15 + 0.12 * F.col(obs)) * samples) / 3_600_000 / cores).alias("hours"), F.count(F.lit(1)).alias("points"))
+
+
+def validate_oos(train: np.ndarray, test: np.ndarray, target: int, n_vars: int) -> dict:
+    """A basket chosen on one span and refitted on another: both statistics, and whether it held."""
+    chosen, _, resid = S.successive(target, train, n_vars)
+    x = test[:, chosen]
+    after = test[:, target] - np.column_stack([x, np.ones(len(x))]) @ S.ridge(test[:, target], x)
+    t_in, t_out = S.adf_t(resid)[0], S.adf_t(after)[0]
+    return {"basket": chosen, "adf_in": t_in, "adf_out": t_out, "holds": t_out < -2.58}
+
+
+def vr_significance(resid: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> float:
+    """How far a residual's variance profile is from the null's."""
+    return S.mahalanobis(S.variance_profile(resid, len(mean)), mean, inverse)
+
+
+def composite_p(df: DataFrame, parts: dict[str, tuple[list[float], list[float], float]]) -> DataFrame:
+    """``composite``: weighted ``1 - p`` of columns, with p by interpolation in ``(values, p-values, weight)``; values rise."""
+    total, weights = F.lit(0.0), 0.0
+    for column, (xs, ps, weight) in parts.items():
+        x = F.col(column)
+        p = F.when(x <= xs[0], ps[0]).when(x >= xs[-1], ps[-1])
+        for (a, pa_), (b, pb) in zip(zip(xs, ps, strict=True), zip(xs[1:], ps[1:], strict=True), strict=False):
+            p = p.when(x < b, pa_ + (x - a) / (b - a) * (pb - pa_))
+        total, weights = total + weight * (1 - p), weights + weight
+    return df.withColumn("composite", total / weights)
+
+
+def model_of_models(returns: np.ndarray, share: float = 0.5, least: float = 0.0) -> np.ndarray:
+    """Capital across models: Kelly on those with a mean above the floor, none below zero, at most everything."""
+    from .portfolio import covariance
+
+    mu = returns.mean(0)
+    w = np.zeros(len(mu))
+    keep = np.flatnonzero(mu > least)
+    if len(keep):
+        w[keep] = np.maximum(share * np.linalg.solve(covariance(returns[:, keep], 0.1), mu[keep]), 0)
+    return w / max(w.sum(), 1.0)

@@ -150,3 +150,23 @@ def health(df: DataFrame, *, failures: str, age_hours: str) -> Column:
 def trade_summary(trades: DataFrame, *, keys: list[str], ret: str) -> DataFrame:
     win = F.col(ret) > 0
     return trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(win.cast("int")).alias("win_rate"), F.avg(ret).alias("mean"), F.sum(ret).alias("total"), F.min(ret).alias("worst"), F.max(ret).alias("best"))
+
+
+def flash_gate(df: DataFrame, *, strength: str, profit: str, gas: str, trades_today: str, least_strength: float = 1.5, most_trades: int = 20) -> DataFrame:
+    """``go`` and the first reason against it."""
+    why = F.when(F.col(strength) < least_strength, "weak_signal").when(F.col(profit) <= F.col(gas), "cost").when(F.col(trades_today) >= most_trades, "daily_limit")
+    return df.withColumn("reason", why).withColumn("go", F.col("reason").isNull())
+
+
+def depth_quote(sqrt_a: int, liquidity_a: int, fee_a: int, sqrt_b: int, liquidity_b: int, fee_b: int, amount: int, gas: float = 0.0) -> dict:
+    """Two legs, in at one pool and back at the other: output, impact of each leg, and what is left after gas, in whole units."""
+    out, after_a = S.swap_output(sqrt_a, liquidity_a, amount, fee_a, True)
+    back, after_b = S.swap_output(sqrt_b, liquidity_b, out, fee_b, False)
+    return {"out": back, "impact_a": 1 - (after_a / sqrt_a) ** 2, "impact_b": (after_b / sqrt_b) ** 2 - 1, "net": back - amount - gas}
+
+
+def surface_features(chain: DataFrame, *, keys: list[str]) -> DataFrame:
+    """At-the-money volatility, skew and term slope of option chains ``(keys, expiry_days, moneyness, iv)``."""
+    near = lambda m: F.min_by("iv", F.abs(F.col("moneyness") - m))
+    by = chain.groupBy(*keys, "expiry_days").agg(near(1.0).alias("atm"), near(0.9).alias("put"), near(1.1).alias("call"))
+    return by.groupBy(*keys).agg(F.min_by("atm", "expiry_days").alias("atm_iv"), F.min_by(F.col("put") - F.col("call"), F.col("expiry_days")).alias("skew"), (F.max_by("atm", "expiry_days") - F.min_by("atm", "expiry_days")).alias("term_slope"), F.max("expiry_days").alias("longest"))

@@ -115,6 +115,34 @@ def load_user_code(code: str, registry: FunctionRegistry) -> list[str]:
     return done
 
 
+class Strategy(ABC):
+    """What the three phases need of a strategy."""
+
+    name: str
+
+    @abstractmethod
+    def models(self) -> list[str]: ...
+
+    @abstractmethod
+    def configs(self, spark) -> DataFrame: ...
+
+    @abstractmethod
+    def days(self, spark) -> DataFrame: ...
+
+    @abstractmethod
+    def features(self, spark) -> DataFrame: ...
+
+    @abstractmethod
+    def run_day(self, bars, config: dict) -> float: ...
+
+
+class Engine(ABC):
+    """A pure computation over frames: no reads, no writes."""
+
+    @abstractmethod
+    def compute(self, data: DataFrame, params: dict) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class ParamSpec:
     """A typed parameter of a strategy."""

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gnomon.functions import calendar, scalars
-from gnomon.operators import backtest, folds, indicators, infobars, labels, ml, portfolio, scans, signals, statistics
-from gnomon.plans import base, config, plugins, registry, workflow
-from gnomon.sources import catalog, readers, sinks
+from gnomon.operators import backtest, baskets, folds, indicators, infobars, labels, ml, portfolio, scans, signals, statistics
+from gnomon.plans import base, config, logs, plugins, registry, workflow
+from gnomon.sources import catalog, loader, readers, sinks, store
 from gnomon.streaming import flows
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -407,3 +407,53 @@ def test_labels_and_scans(spark):
     assert [(r.barrier, r.bars_held, r.label) for r in got] == [("profit", 2, 1), ("time", 2, -1), ("loss", 2, -1), ("loss", 1, -1), (None, None, None)]
     row = spark.createDataFrame([("Who will be the next chair?",), ("Top 4 finish",), ("BTC above $100k",)], "t string").select(*scans.event_structure(F.col("t"))).collect()
     assert [r.k for r in row] == [1, 4, 0]
+
+
+def test_load_lifecycle_and_store(spark, tmp_path):
+    d = dt.date(2024, 1, 2)
+    rows = spark.createDataFrame([("A", d, 1.0, 2.0, 0.5, 1.5, 10), ("A", d, 1.0, 2.0, 0.5, 1.6, 10), ("B", d, 1.0, 0.5, 2.0, 1.0, 5), ("C", d, 1.0, 2.0, 0.5, 1.0, 5)], "symbol string, date date, open double, high double, low double, close double, volume long")
+    sec = spark.createDataFrame([(1, "A"), (2, "B")], "base_id long, ticker string")
+    old = spark.createDataFrame([], "security_base_id long, trade_date date")
+    out = loader.load(rows, sec, old, batch="b1", now=F.lit("2024-01-03").cast("timestamp"))
+    assert {r.process_status: r["rows"] for r in out["report"].collect()} == {"loaded": 2, "rejected": 2}
+    assert out["facts"].count() == 1 and sinks.safe_to_wipe(out["archive"])
+    tape = spark.createDataFrame([("A", 1), ("A", 2), ("B", 1)], "k string, i long")
+    assert sorted(map(tuple, loader.incremental(tape, keys=["k"], order="i", seen=loader.high_water(tape.where("i = 1 AND k = 'A'"), keys=["k"], order="i")).collect())) == [("A", 2), ("B", 1)]
+    live = store.LiveStore(spark, f"{tmp_path}/live")
+    now = dt.datetime(2024, 1, 1)
+    order = spark.createDataFrame([("o1", "m", "A", "buy", "market", 1.0, 2.0, "new", now)], store.TABLES["orders"])
+    live.put("orders", order)
+    live.set_order_status("o1", "filled")
+    assert live.orders("m", "filled").count() == 1 and live.orders("m", "new").count() == 0 and live.read("fills").count() == 0
+
+
+def test_logs(spark, tmp_path):
+    ring, sink, router = logs.Ring(3), logs.TableSink(spark, f"{tmp_path}/log", 2), logs.Router()
+    router.route("*", 0, ring)
+    router.route("trade", 20, sink)
+    for i in range(5):
+        router.write(logs.record(10 * i, f"m{i}", {"trade"} if i % 2 else {"other"}, i=i))
+    sink.flush()
+    table = spark.read.parquet(f"{tmp_path}/log")
+    assert [r["message"] for r in ring.records()] == ["m2", "m3", "m4"] and table.count() == 1 and logs.search(table, tags=["trade"], level=30, contains="m3").count() == 1
+    assert json.loads(logs.as_json(ring.records()[0]))["message"] == "m2" and "m2" in logs.as_text(ring.records()[0])
+
+
+def test_baskets_and_chains(spark):
+    rng = np.random.default_rng(10)
+    m = rng.normal(0, 1, (400, 4)).cumsum(0)
+    m[:, 0] = m[:, 1] + rng.normal(0, 0.3, 400)
+    good = baskets.validate_oos(m[:200], m[200:], 0, 1)
+    assert good["basket"] == [1] and good["holds"]
+    mean, inv = baskets.vr_null(n_obs=150, n_assets=4, n_vars=1, samples=30, last=5)
+    ar = rng.normal(0, 1, 400)
+    assert baskets.vr_significance(ar, mean, inv) > baskets.vr_significance(rng.normal(0, 1, 400).cumsum(), mean, inv)
+    df = spark.createDataFrame([(1, -3.0), (2, 0.0)], "id int, t double")
+    assert [round(r.composite, 6) for r in baskets.composite_p(df, {"t": ([-4.0, -2.0, 0.0], [0.01, 0.05, 1.0], 1.0)}).orderBy("id").collect()] == [0.97, 0.0]
+    w = baskets.model_of_models(rng.normal([0.01, -0.01, 0.005], 0.02, (300, 3)))
+    assert w[1] == 0 and 0 < w.sum() <= 1 + 1e-9
+    chain = spark.createDataFrame([("X", 30, 1.0, 0.5), ("X", 30, 0.9, 0.6), ("X", 30, 1.1, 0.55), ("X", 90, 1.0, 0.45)], "k string, expiry_days int, moneyness double, iv double")
+    r = scans.surface_features(chain, keys=["k"]).first()
+    assert (r.atm_iv, round(r.skew, 6), round(r.term_slope, 6)) == (0.5, 0.05, -0.05)
+    q = scans.depth_quote(scalars.Q96, 10**24, 500, scalars.Q96, 10**24, 500, 10**18)
+    assert q["net"] < 0 and 0 < q["impact_a"] < 1e-4
