@@ -21,11 +21,16 @@ def same_day_last(df: DataFrame, *, key: list[str], ts: str, tie: str) -> DataFr
 
 
 def intervals(df: DataFrame, *, key: list[str], ts: str, tie: str) -> DataFrame:
-    """Validity of each version: from its day to the day before the next version's."""
-    w = Window.partitionBy(*key).orderBy("start_date")
-    rows = same_day_last(df, key=key, ts=ts, tie=tie).withColumn("start_date", F.to_date(ts))
-    end = F.coalesce(F.date_sub(F.lead("start_date").over(w), 1), F.to_date(F.lit(OPEN_END)))
-    return rows.withColumn("end_date", end)
+    """Validity of each version: from its day to the day before the next version's.
+
+    Of several versions of a day only the last counts.  One ordered pass serves
+    both: a version is its day's last if the next one is of a later day, and that
+    day bounds it.
+    """
+    w = Window.partitionBy(*key).orderBy(ts, tie)
+    rows = df.withColumn("start_date", F.to_date(ts)).withColumn("__next", F.lead("start_date").over(w))
+    rows = rows.where(F.col("__next").isNull() | (F.col("__next") > F.col("start_date")))
+    return rows.withColumn("end_date", F.coalesce(F.date_sub("__next", 1), F.to_date(F.lit(OPEN_END)))).drop("__next")
 
 
 def as_was(interval_rows: DataFrame, day: Column) -> DataFrame:
