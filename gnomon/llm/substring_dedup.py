@@ -16,8 +16,10 @@ them as shuffle partitions.
 
 Defined results: a null text has no words; a text of fewer words than a window
 loses none; a null id comes before all others; rows with the same id are one
-document's for the order, so a row repeated as it is keeps its words; an empty
-table gives an empty table; columns other than id and text are ignored.
+document's for the order, so a row repeated as it is keeps its words; such rows
+are told apart by the 64-bit hash of their text, so each loses its own words
+only; an empty table gives an empty table; columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +42,6 @@ BUCKETS = 4
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
 MEMO_WORDS = 500_000
-#: Rows that share an id are told apart by a hash of their text of so many values.
-KEYS = 1 << 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BASE = 0x5851F42D4C957F2D
@@ -125,35 +125,46 @@ class Packer:
                     live.append(i)
                 else:
                     gone.append(i)
-            strings = b"\n".join([line[begin[i] : end[i]] for i in live])
+            live, gone = (np.array(x, np.int64) for x in (live, gone))
+            live, gone = (x[np.lexsort((at[x], key[x], doc[x]))] for x in (live, gone))
+            strings = b"\n".join([line[begin[i] : end[i]] for i in live.tolist()])
             yield int(bucket[group[0]]), _payload([doc[live], key[live], at[live]], [doc[gone], key[gone], at[gone], at[gone] + n[gone] + self.window - 1], strings)
 
 
-#: Bytes of each number in a payload: document (as steps, which are small), key, places.
-_LIVE, _GONE = (np.int64, np.uint16, np.int32), (np.int64, np.uint16, np.int32, np.int32)
+#: Bytes of each number in a payload: of a document its id (as steps, which are small), key, and rows in both parts; then the places.
+_DOCUMENT, _LIVE, _GONE = (np.int64, np.int64, np.int32, np.int32), (np.int32,), (np.int32, np.int32)
 
 
 def _payload(live: list[np.ndarray], gone: list[np.ndarray], strings: bytes) -> bytes:
-    """Compressed numbers and strings; documents are in order in both parts, so their steps are kept."""
+    """Compressed numbers and strings; both parts are in order of id and key, which are kept once for each document."""
+    docs, keys = (np.concatenate([live[i], gone[i]]) for i in (0, 1))
+    order = np.lexsort((keys, docs))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(docs[order]) != 0) | (np.diff(keys[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    firsts = order[new]
+    rows = [np.bincount(x, minlength=len(firsts)) for x in (number[: len(live[0])], number[len(live[0]) :])]
     columns = []
-    for part, kinds in ((live, _LIVE), (gone, _GONE)):
-        part = [np.diff(part[0], prepend=0), *part[1:]]
+    for part, kinds in (([np.diff(docs[firsts], prepend=0), keys[firsts], *rows], _DOCUMENT), (live[2:], _LIVE), (gone[2:], _GONE)):
         columns += [np.ascontiguousarray(x).astype(k).tobytes() for x, k in zip(part, kinds, strict=True)]
-    raw = b"".join([struct.pack("<qq", len(live[0]), len(gone[0])), *columns, strings])
+    raw = b"".join([struct.pack("<qqq", len(firsts), len(live[0]), len(gone[0])), *columns, strings])
     return struct.pack("<q", len(raw)) + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     raw = pa.decompress(payload[8:], struct.unpack("<q", payload[:8])[0], codec="zstd", asbytes=True)
-    at, parts = 16, []
-    for n, kinds in zip(struct.unpack("<qq", raw[:16]), (_LIVE, _GONE), strict=True):
+    at, parts = 24, []
+    for n, kinds in zip(struct.unpack("<qqq", raw[:24]), (_DOCUMENT, _LIVE, _GONE), strict=True):
         rows = np.empty((len(kinds), n), np.int64)
         for i, kind in enumerate(kinds):
             rows[i] = np.frombuffer(raw, kind, n, at)
             at += n * np.dtype(kind).itemsize
-        rows[0] = np.cumsum(rows[0])
         parts.append(rows)
-    return parts[0], parts[1], raw[at:]
+    (steps, keys, *counts), *places = parts
+    names = np.stack([np.cumsum(steps), keys])
+    live, gone = (np.concatenate([np.repeat(names, n, 1), x]) for n, x in zip(counts, places, strict=True))
+    return live, gone, raw[at:]
 
 
 class _Hasher:
@@ -276,7 +287,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``(id, text, spans)``: every row with the stretches of words (first, past) that repeats cover."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.pmod(F.xxhash64("text"), F.lit(KEYS)))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(rows, window).groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     joined = rows.join(spans.hint("shuffle_hash"), ["id", "key"], "left")
     return joined.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), F.col("text").alias(text_col), F.coalesce("spans", F.array()).alias("spans"))

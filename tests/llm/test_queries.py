@@ -245,6 +245,17 @@ def test_repeats_match_brute_force(spark, tmp_path):
     assert got == brute_repeats(rows, 20)
 
 
+def test_texts_under_one_id_keep_to_their_own_spans(spark, tmp_path):
+    """Two texts without an id whose hashes agree in the low 16 bits; only the first of them repeats something."""
+    passage, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    texts = spark.range(1500).select(F.concat(F.lit(f"x y {passage} z"), "id").alias("copy"), F.concat(F.lit(f"{other} y"), "id").alias("own"))
+    low = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 16)).alias("low")
+    copy, own = texts.select("copy", low("copy")).join(texts.select("own", low("own")), "low").select("copy", "own").orderBy("copy", "own").first()
+    folder = write(tmp_path, documents=documents([(None, passage), (None, copy), (None, own)]))
+    got = {r["n_words"]: r["n_removed"] for r in substring_dedup.op6_substring_dedup(spark, folder).collect()}
+    assert got == {30: 0, 33: 30, 31: 0}
+
+
 def test_equal_hashes_do_not_make_equal_windows(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_mix", lambda x: x * np.uint64(0))
     packer = substring_dedup.Packer(1, window=3, minimiser=2)
