@@ -6,9 +6,11 @@ the order of the paragraphs; adding or subtracting one paragraph's vector insert
 or deletes it without a look at the rest.
 
 The lanes: one that counts paragraphs (modulo 2**32); eight dense ones that every
-paragraph changes (modulo 2**32), which decide equality; and two banks of 64
-lanes (modulo 2**16) of which a paragraph changes one each, in the second bank
-only one paragraph in sixteen.  The difference of two fingerprints is the
+paragraph changes (modulo 2**32), which decide equality; and banks of 64 lanes (modulo
+2**16) of which a paragraph changes one each, in the second bank only one
+paragraph in sixteen, and so on by sixteenths: two banks at least, and as many
+as the longest text needs (``banks_for``).  Only the lanes up to the second bank
+are written out; the others serve likeness.  The difference of two fingerprints is the
 fingerprint of the paragraphs that they do not share, so the number of lanes that
 differ tells how many those are, and with the two counts how alike the documents
 are (Jaccard, 0 to 1).
@@ -35,6 +37,10 @@ SPARSE = 16
 WORD, HALF = 2**32, 2**16
 #: Differing lanes up to which a bank tells the number of differing paragraphs.
 FULL = 56
+#: Banks that every fingerprint has, and those that tell the longest string's paragraphs apart.
+BANKS, MOST_BANKS = 2, 7
+#: Paragraphs that a bank should get at most, well below what fills it.
+LOAD = 80
 
 #: Rows that one block should have, and the most blocks there may be.
 BLOCK_ROWS = 500
@@ -42,13 +48,21 @@ MOST_BLOCKS = 1 << 16
 COARSE = 256
 
 
-def fingerprint(text: Column) -> Column:
-    """The lanes of a text's fingerprint: ``array<bigint>`` of 1 + 8 + 64 + 64."""
+def banks_for(paragraphs: int) -> int:
+    """Banks that tell apart texts which do not share so many paragraphs."""
+    banks = BANKS
+    while banks < MOST_BANKS and paragraphs > LOAD * SPARSE ** (banks - 1):
+        banks += 1
+    return banks
+
+
+def fingerprint(text: Column, banks: int = MOST_BANKS) -> Column:
+    """The lanes of a text's fingerprint: ``array<bigint>`` of 1 + 8 and 64 for each bank."""
     hashed = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
-    return F.transform(F.array(hashed), _lanes)[0]
+    return F.transform(F.array(hashed), lambda x: _lanes(x, banks))[0]
 
 
-def _lanes(hashes: Column) -> Column:
+def _lanes(hashes: Column, banks: int) -> Column:
     """Sums over the digests of all paragraphs."""
 
     def total(values: Column, modulus: int) -> Column:
@@ -60,8 +74,11 @@ def _lanes(hashes: Column) -> Column:
     def bank(entries: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: total(F.transform(F.filter(entries, lambda e: e["lane"] == j), lambda e: e["v"]), HALF))
 
-    def entries(lane_at: int, value_at: int) -> Column:
-        return F.transform(hashes, lambda x: F.struct((digits(x, lane_at, 2) % LANES).alias("lane"), (digits(x, value_at, 4) * 2 + 1).alias("v"), (digits(x, 63, 2) % SPARSE).alias("s")))
+    def entries(lane_at: int, value_at: int, of: Column = hashes) -> Column:
+        return F.transform(of, lambda x: F.struct((digits(x, lane_at, 2) % LANES).alias("lane"), (digits(x, value_at, 4) * 2 + 1).alias("v"), (digits(x, 63, 2) % SPARSE).alias("s")))
+
+    def ending_in_zeros(k: int) -> Column:
+        return F.filter(hashes, lambda x: F.substring(x, 65 - k, k) == F.lit("0" * k))
 
     def dense_lane(j: int) -> Column:
         return total(F.transform(hashes, lambda x: digits(x, 8 * j + 1, 8)), WORD)
@@ -69,8 +86,11 @@ def _lanes(hashes: Column) -> Column:
     count = F.array(F.size(hashes).cast("long"))
     dense = F.array(*map(dense_lane, range(DENSE)))
     # bound to a variable, so that they are parsed once and not once for each lane
-    both = F.struct(entries(1, 3).alias("all"), F.filter(entries(7, 9), lambda e: e["s"] == 0).alias("few"))
-    return F.transform(F.array(both), lambda x: F.concat(count, dense, bank(x["all"]), bank(x["few"])))[0]
+    all_banks = [entries(1, 3), F.filter(entries(7, 9), lambda e: e["s"] == 0)]
+    for k in range(BANKS, banks):
+        all_banks.append(entries(6 * k + 1, 6 * k + 3, ending_in_zeros(k)))
+    bound = F.struct(*(b.alias(f"b{k}") for k, b in enumerate(all_banks)))
+    return F.transform(F.array(bound), lambda x: F.concat(count, dense, *(bank(x[f"b{k}"]) for k in range(banks))))[0]
 
 
 def _combine(a: Column, b: Column, sign: int) -> Column:
@@ -78,33 +98,36 @@ def _combine(a: Column, b: Column, sign: int) -> Column:
     return F.transform(F.zip_with(a, b, lambda x, y: x + y * sign), lambda x, i: F.pmod(x, F.when(i <= DENSE, F.lit(WORD)).otherwise(F.lit(HALF))))
 
 
-def insert(fp: Column, paragraphs: Column) -> Column:
+def insert(fp: Column, paragraphs: Column, banks: int = MOST_BANKS) -> Column:
     """The fingerprint with the paragraphs of a text added."""
-    return _combine(fp, fingerprint(paragraphs), 1)
+    return _combine(fp, fingerprint(paragraphs, banks), 1)
 
 
-def delete(fp: Column, paragraphs: Column) -> Column:
+def delete(fp: Column, paragraphs: Column, banks: int = MOST_BANKS) -> Column:
     """The fingerprint with the paragraphs of a text taken away."""
-    return _combine(fp, fingerprint(paragraphs), -1)
+    return _combine(fp, fingerprint(paragraphs, banks), -1)
 
 
 def to_string(fp: Column) -> Column:
-    """The lanes in hexadecimal digits: 8 for each of the first nine, then 4."""
-    return F.array_join(F.transform(fp, lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i <= DENSE, F.lit(8)).otherwise(F.lit(4)), F.lit("0")))), "")
+    """The lanes up to the second bank in hexadecimal digits: 8 for each of the first nine, then 4."""
+    return F.array_join(F.transform(F.slice(fp, 1, 1 + DENSE + BANKS * LANES), lambda x, i: F.lower(F.lpad(F.hex(x), F.when(i <= DENSE, F.lit(8)).otherwise(F.lit(4)), F.lit("0")))), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, banks: int = MOST_BANKS) -> Column:
     """Estimated share of common paragraphs (Jaccard) of two fingerprints; 1 if they are equal."""
     differ = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
 
-    def in_bank(first: int) -> Column:
-        return F.aggregate(F.slice(differ, first, LANES), F.lit(0), lambda s, x: s + x).cast("double")
+    def in_bank(k: int) -> Column:
+        return F.aggregate(F.slice(differ, DENSE + 2 + k * LANES, LANES), F.lit(0), lambda s, x: s + x).cast("double")
 
     def shown(lanes: Column) -> Column:
         return F.ln(1 - lanes / LANES) * -float(LANES)
 
-    one, two, both = in_bank(DENSE + 2), in_bank(DENSE + 2 + LANES), (a[0] + b[0]).cast("double")
-    apart = F.when(one <= FULL, shown(one)).when(two <= FULL, shown(two) * SPARSE).otherwise(both)
+    both = (a[0] + b[0]).cast("double")
+    apart = both
+    for k in reversed(range(banks)):
+        lanes = in_bank(k)
+        apart = F.when(lanes <= FULL, shown(lanes) * float(SPARSE**k)).otherwise(apart)
     apart = F.greatest(apart, F.abs(a[0] - b[0]).cast("double"))
     return F.when(a == b, F.lit(1.0)).otherwise(F.round(F.greatest(F.lit(0.0), (both - apart) / (both + apart)), 9))
 
@@ -157,18 +180,21 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all ``documents`` and of their edited texts."""
     docs = table(spark, sf_dir, "documents").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"), text_or_empty().alias("text"))
-    rows = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
+    longest = docs.agg(F.max(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    # an edited text has the paragraphs of two texts at most, and is compared with one more
+    banks = banks_for(3 * (longest or 0))
+    rows = with_next(docs.withColumn("fp", fingerprint(F.col("text"), banks)), ["text", "fp"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited")))
+    rows = rows.withColumn("edited", edited).withColumn("edited_fp", fingerprint(F.col("edited"), banks))
     return rows.select(
         F.when(F.col("__id") != NULL_ID, F.col("__id")).alias("doc_id"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         to_string(F.col("fp")).alias("fingerprint"),
         to_string(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp"), banks).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp"), banks).alias("near_next"),
     )
 
 

@@ -122,6 +122,19 @@ def test_fingerprints_ignore_order_and_follow_edits(spark):
     assert abs(row.half - 0.5) < 0.1
 
 
+def test_likeness_holds_for_very_long_texts(spark, tmp_path):
+    lines = lambda name, n: [f"{name} {i}" for i in range(n)]
+    common = lines("common", 27_000)
+    texts = {2: "\n".join(common + lines("a", 3_000)), 1: "\n".join(common + lines("b", 3_000))}
+    folder = write(tmp_path, documents=documents(list(texts.items())))
+    got = {r["doc_id"]: r for r in fingerprints.op3_document_fingerprints(spark, folder).collect()}
+    assert abs(got[2]["near_next"] - 27 / 33) < 0.1 and abs(got[1]["near_next"] - 27 / 33) < 0.1
+    for a, b in ((2, 1), (1, 2)):
+        half = len(texts[a]) // 2
+        x, y = Counter(texts[a].split("\n")), Counter((texts[a][: len(texts[a]) - half] + texts[b][:half]).split("\n"))
+        assert abs(got[a]["near_edited"] - (x & y).total() / (x | y).total()) < 0.15
+
+
 def test_next_document_wraps_around_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 7)
     ids = random.Random(3).sample(range(-(10**12), 10**12), 200)
