@@ -13,8 +13,8 @@ Learning: the labelled rows fall into four parts by ``crc32(id as text) mod 4``.
 Part 2 is held out and never read; parts 0 and 1 are counted, all of them; the
 curve is fitted on part 3, on ``CALIBRATION_ROWS`` rows at most, those with the
 smallest hashes of their ids.  All counts come from the whole of the counted
-rows; only the size of the tables is fixed: a gram's place in its table is its
-packed characters modulo a prime, and grams that meet there add up.
+rows and are exact: a table has one row for each distinct gram, so the model
+grows with what was counted.  Every worker holds it.
 
 Defined results: a null or empty text is scored as a text of one blank; rows
 without a label, or with a null label, are not learned from; several labels of
@@ -38,8 +38,6 @@ from .common import map_texts, table, text_or_empty
 ORDER = 5
 BITS = 12
 BLANK = 1
-#: Table sizes: the largest primes below 2**21 and 2**20.
-PLACES_TOP, PLACES = 2097143, 1048573
 DISCOUNT = 0.75
 #: Added to each continuation count of order 2, over so many characters.
 FLOOR, ALPHABET = 0.1, 200
@@ -135,39 +133,33 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Both language models; of a bounded size, whatever was counted.
+    """Both language models: sorted grams of each table and their values."""
 
-    Only occupied places are kept and sent; a worker lays the whole tables out
-    when it first needs them.
-    """
-
-    def __init__(self, occupied: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.occupied = occupied
-        self._tables: dict[str, np.ndarray] | None = None
+    #: Values of a gram that was never counted.
+    UNKNOWN = {"a": [0, 0], "c": [0, 0, 1, 1], "p": [1 / ALPHABET / 100]}
 
-    def __getstate__(self) -> dict:
-        return {"occupied": self.occupied, "_tables": None}
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.tables = {}
+        for name, (grams_, values) in counted.items():
+            order = np.argsort(grams_)
+            # the first row stands for all grams that are not there
+            self.tables[name] = np.append(-1, grams_[order]), np.concatenate([np.array([self.UNKNOWN[name[0]]], np.float32), values[order].astype(np.float32)])
 
-    @property
-    def tables(self) -> dict[str, np.ndarray]:
-        if self._tables is None:
-            self._tables = {}
-            for name, (places, values) in self.occupied.items():
-                rows = PLACES_TOP if name == f"a{ORDER}" else PLACES
-                empty = {"a": [0, 0], "c": [0, 0, 1, 1], "p": [1 / ALPHABET / 100]}[name[0]]
-                self._tables[name] = np.tile(np.array(empty, np.float32), (rows, 1))
-                self._tables[name][places] = values
-        return self._tables
+    def _values(self, name: str, wanted: np.ndarray) -> np.ndarray:
+        grams_, values = self.tables[name]
+        at = np.searchsorted(grams_, wanted, "right") - 1
+        return values[np.where(grams_[at] == wanted, at, 0)]
 
     def ratios(self, packed: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each gram's last character, toxic against ordinary."""
-        p = self.tables["p2"][(packed & ((1 << 2 * BITS) - 1)) % PLACES]
+        distinct, place = np.unique(packed, return_inverse=True)
+        p = self._values("p2", distinct & ((1 << 2 * BITS) - 1))
         for n in range(3, ORDER + 1):
-            gram = packed & ((1 << n * BITS) - 1)
-            above = self.tables[f"c{n}"][(gram >> BITS) % PLACES]
-            p = self.tables[f"a{n}"][gram % (PLACES_TOP if n == ORDER else PLACES)] * above[:, :2] + above[:, 2:] * p
+            gram = distinct & ((1 << n * BITS) - 1)
+            above = self._values(f"c{n}", gram >> BITS)
+            p = self._values(f"a{n}", gram) * above[:, :2] + above[:, 2:] * p
         logs = np.log(p)
-        return logs[:, 1] - logs[:, 0]
+        return (logs[:, 1] - logs[:, 0])[place]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Of each text: the ratio by n, its telling part by n, and the logarithm of n."""
@@ -208,46 +200,40 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
 
 
 def _tables(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Occupied places of the models' tables and their values.  What reaches the driver has at most one row for each place of each table."""
+    """The grams of the models' tables and their values.  What reaches the driver has one row for each distinct gram of each table."""
     kinds, level, names = [], counted, []
+    zero = F.lit(0)
 
-    def add(name: str, rows: DataFrame, key: Column, cols: list[Column]) -> None:
+    def add(name: str, rows: DataFrame, key: Column, cols: list[Column], grouped: bool = False) -> None:
         names.append(name)
-        sums = rows.groupBy(key.cast("int").alias("place")).agg(*(c.cast("float").alias(f"v{i}") for i, c in enumerate(cols)))
+        cols = [c.cast("float").alias(f"v{i}") for i, c in enumerate(cols)]
+        sums = rows.groupBy(key.alias("gram_")).agg(*cols) if grouped else rows.select(key.alias("gram_"), *cols)
         kinds.append(sums.select(F.lit(len(names) - 1).cast("byte").alias("kind"), "*"))
 
     for n in range(ORDER, 2, -1):
-        places = PLACES_TOP if n == ORDER else PLACES
         seen = [F.sum((F.col(c) > 0).cast("int")) for c in ("ordinary", "toxic")]
         sums = [F.sum(c) for c in ("ordinary", "toxic")]
-        zero = F.lit(0)
-        add(f"a{n}", level, F.col("gram") % places, [*sums, zero, zero])
-        add(f"c{n}", level, F.shiftright("gram", BITS) % PLACES, [*sums, *seen])
+        add(f"a{n}", level, F.col("gram"), [F.col("ordinary"), F.col("toxic"), zero, zero])
+        add(f"c{n}", level, F.shiftright("gram", BITS), [*sums, *seen], grouped=True)
         level = level.groupBy(F.col("gram").bitwiseAND((1 << (n - 1) * BITS) - 1).alias("gram")).agg(*(s.alias(c) for s, c in zip(seen, ("ordinary", "toxic"), strict=True)))
-    level = level.withColumn("k", F.col("ordinary") + F.col("toxic"))
-    # a place of order 2 keeps its context with it, to be divided by below
-    context = F.shiftright("gram", BITS) % PLACES
-    add("p2", level, F.col("gram") % PLACES, [F.sum("k"), F.first(context), F.lit(0), F.lit(0)])
-    add("h2", level, context, [F.sum("k"), F.lit(0), F.lit(0), F.lit(0)])
+    add("p2", level, F.col("gram"), [F.col("ordinary") + F.col("toxic"), zero, zero, zero])
     found = reduce(DataFrame.unionByName, kinds).toArrow()
     kind = found.column("kind").to_numpy()
-    place, values = found.column("place").to_numpy(), np.stack([found.column(f"v{i}").to_numpy() for i in range(4)], 1)
-    by = {name: (place[kind == i], values[kind == i]) for i, name in enumerate(names)}
+    gram, values = found.column("gram_").to_numpy(), np.stack([found.column(f"v{i}").to_numpy() for i in range(4)], 1)
+    by = {name: (gram[kind == i], values[kind == i]) for i, name in enumerate(names)}
     del found
-    nothing = np.empty(0, np.int32), np.empty((0, 4), np.float32)
     out = {}
     for n in range(3, ORDER + 1):
-        at, v = by.get(f"a{n}", nothing)
+        at, v = by[f"a{n}"]
         out[f"a{n}"] = at, np.maximum(v[:, :2] - DISCOUNT, 0)
-        at, v = by.get(f"c{n}", nothing)
+        at, v = by[f"c{n}"]
         total, kinds_ = v[:, :2], v[:, 2:]
         safe = np.maximum(total, 1)
         out[f"c{n}"] = at, np.concatenate([np.where(total > 0, 1 / safe, 0), np.where(total > 0, DISCOUNT * kinds_ / safe, 1)], 1)
-    total = np.zeros(PLACES, np.float32)
-    at, v = by.get("h2", nothing)
-    total[at] = v[:, 0]
-    at, v = by.get("p2", nothing)
-    out["p2"] = at, ((v[:, 0] + FLOOR) / (total[v[:, 1].astype(int)] + FLOOR * ALPHABET))[:, None]
+    at, v = by["p2"]
+    _, context = np.unique(at >> BITS, return_inverse=True)
+    total = np.bincount(context, v[:, 0])
+    out["p2"] = at, ((v[:, 0] + FLOOR) / (total[context] + FLOOR * ALPHABET))[:, None]
     return out
 
 

@@ -176,6 +176,15 @@ def test_toxic_texts_are_told_apart(spark, tmp_path):
     assert got.score.between(0, 1).all()
 
 
+def test_grams_keep_counts_of_their_own(spark):
+    """Ordinary grams that shared every place of order 5 with a toxic one leave its counts alone."""
+    toxic, apart = sum(ord(c) << 12 * i for i, c in enumerate("tsefu")), 2097143 * 1048573 << 12
+    rows = [(toxic, 0, 50), *((toxic + apart * k, 5000, 0) for k in range(1, 6))]
+    model = toxicity.Model(toxicity._tables(spark.createDataFrame(rows, "gram long, ordinary long, toxic long")))
+    ratios = model.ratios(np.array([g for g, *_ in rows]))
+    assert ratios[0] > 1 and (ratios[1:] < -1).all()
+
+
 def test_held_out_labels_change_nothing(spark, tmp_path):
     rows = [(i, f"text number {i} " + ("bad " if i % 4 == 0 else "good ")) for i in range(200)]
     scores = []
