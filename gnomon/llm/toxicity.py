@@ -10,9 +10,9 @@ so is the part of it from telling characters (more than ``TELLING`` above even,
 each); a logistic curve over the two and the logarithm of n gives the score.
 
 Learning: the labelled rows fall into four parts by ``crc32(id as text) mod 4``.
-Part 2 is held out and never read; parts 0 and 1 are counted, all of them; the
-curve is fitted on part 3, on ``CALIBRATION_ROWS`` rows at most, those with the
-smallest hashes of their ids.  All counts come from the whole of the counted
+Part 2 is held out and never read; the curve is fitted on ``CALIBRATION_ROWS``
+rows of part 3 at most, those with the smallest hashes of their ids; all others
+are counted, in parts 0, 1 and 3.  All counts come from the whole of the counted
 rows and are exact: a table has one row for each distinct gram, so the model
 grows with what was counted.  Every worker holds it.
 
@@ -244,11 +244,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     small = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(part("id") != HELD_OUT)
     rows = texts.join(F.broadcast(known) if small else known, "id")
+    last = rows.where(part("id") == CALIBRATED).select(F.xxhash64("id").alias("h")).orderBy("h").limit(calibration_rows).agg(F.max("h")).first()[0]
+    sampled = F.lit(False) if last is None else (part("id") == CALIBRATED) & (F.xxhash64("id") <= last)
     began = mark()
-    model = Model(_tables(materialize(count_grams(rows.where(part("id") != CALIBRATED)), "toxicity-grams")))
+    model = Model(_tables(materialize(count_grams(rows.where(~sampled)), "toxicity-grams")))
     discard(began)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    judged = map_texts(rows.where(part("id") == CALIBRATED), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
+    judged = map_texts(rows.where(sampled), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
     sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toArrow()
     x = np.stack([sample.column(f"f{i}").to_numpy() for i in range(3)], 1)
     curve = fit_curve(x, sample.column("toxic").to_numpy().astype(float)) if len(x) else None

@@ -185,6 +185,15 @@ def test_grams_keep_counts_of_their_own(spark):
     assert ratios[0] > 1 and (ratios[1:] < -1).all()
 
 
+def test_only_the_calibration_sample_is_not_counted(spark):
+    calibrated = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 3]
+    docs = spark.createDataFrame([(i, "calm words" + (" vilegrub" if i in calibrated else "")) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in calibrated)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, calibration_rows=10).sent.value
+    gram = sum(ord(c) << 12 * i for i, c in enumerate("burge"))
+    assert model._values("a5", np.array([gram]))[0].tolist() == [0, len(calibrated) - 10 - toxicity.DISCOUNT]
+
+
 def test_held_out_labels_change_nothing(spark, tmp_path):
     rows = [(i, f"text number {i} " + ("bad " if i % 4 == 0 else "good ")) for i in range(200)]
     scores = []
