@@ -3,8 +3,9 @@
 A line's quote level is the number of ``>`` at its head.  The lines of level 0 are
 a message's own; what is quoted at level 1 and deeper are passages: each line, and
 all lines of one level together (so that a message that was quoted as a whole is
-found however it was wrapped).  Passages and originals (each own line, and all own
-lines together) are normalised alike (lower case, blanks as one) and hashed; a
+found however it was wrapped), and also each run of neighbouring lines of one
+level and each paragraph in it (up to an empty line), joined.  Passages and originals (each own line, run and paragraph, and
+all own lines together) are normalised alike (lower case, blanks as one) and hashed; a
 passage belongs to the message of the same conversation that says it first.  A
 message answers the latest message that it quotes at its lowest linked level;
 without a link it answers the one before it.  A conversation comes out in reply
@@ -48,11 +49,16 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\x0b\f]+", " "))
 
 
-def _passages(lines: Column) -> Column:
-    """Hashes of the lines and of all of them together; empty ones are none."""
-    said = F.filter(F.transform(lines, lambda x: normalised(x["body"])), lambda x: x != "")
+def _passages(lines: Column, level: Column) -> Column:
+    """Hashes of the lines of a level, its paragraphs and runs, and all of it together; empty ones are none."""
+    of_level = F.filter(lines, lambda x: x["level"] == level)
+    said = F.filter(F.transform(of_level, lambda x: normalised(x["body"])), lambda x: x != "")
+    # neither break is in a normalised line: "\r" stands for a line of another level, an empty line ends a paragraph
+    joined = F.array_join(F.transform(lines, lambda x: F.when(x["level"] == level, normalised(x["body"])).otherwise(F.lit("\r"))), "\n")
+    pieces = F.concat(F.split(joined, "\r", -1), F.split(joined, "\r|\n\n+", -1))
+    parts = F.filter(F.transform(pieces, lambda x: F.trim(F.regexp_replace(x, "\n+", " "))), lambda x: x != "")
     whole = F.when(F.size(said) > 1, F.array(F.array_join(said, " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(said, whole), lambda x: F.md5(x)))
+    return F.array_distinct(F.transform(F.concat(said, parts, whole), lambda x: F.md5(x)))
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -61,9 +67,9 @@ def link(messages: DataFrame) -> DataFrame:
     levels = F.array_distinct(F.transform(deep, lambda x: x["level"]))
     quoting = messages.where((F.col("turn") < NO_TURN) & F.exists("lines", lambda x: x["level"] > 0))
     by_level = quoting.select("conv", "turn", F.col("lines"), F.explode(levels).alias("level"))
-    quotes = by_level.select("conv", "turn", "level", F.explode(_passages(F.filter("lines", lambda x: x["level"] == F.col("level")))).alias("passage")).distinct()
+    quotes = by_level.select("conv", "turn", "level", F.explode(_passages(F.col("lines"), F.col("level"))).alias("passage")).distinct()
     asked = quotes.select("conv", "passage").distinct()
-    own = messages.where(F.col("turn") < NO_TURN).select("conv", "turn", F.explode(_passages(F.filter("lines", lambda x: x["level"] == 0))).alias("passage"))
+    own = messages.where(F.col("turn") < NO_TURN).select("conv", "turn", F.explode(_passages(F.col("lines"), F.lit(0))).alias("passage"))
     first = own.join(asked, ["conv", "passage"], "left_semi").groupBy("conv", "passage").agg(F.min("turn").alias("origin"))
     found = quotes.join(first, ["conv", "passage"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     best = F.max(F.when(F.col("origin").isNotNull(), F.struct((-F.col("level")).alias("l"), F.col("origin").alias("o"))))

@@ -368,3 +368,17 @@ def test_quotes_are_linked_at_their_level(spark):
     assert [out[i].link for i in range(4)] == ["first", "quote", "quote", "previous"]
     assert [out[i].n_linked for i in range(4)] == [0, 1, 2, 0]
     assert out[2].chat == "<|user|>\ndelta" and [out[i].position for i in range(4)] == [0, 1, 2, 3]
+
+
+def test_rewrapped_runs_and_paragraphs_are_linked(spark):
+    rows = [
+        (1, 0, "a", "Dear all,\n\nthe quick brown\nfox jumps over\n\nregards"),
+        (1, 1, "b", "one two three\nfour five"),
+        (1, 2, "c", "nothing of that"),
+        (1, 3, "d", "> the quick\n> brown fox jumps\n> over\nyes"),  # one paragraph of a longer original
+        (1, 4, "e", "> one two\n> three four five\nno\n> nothing\n> of that\nwhy"),  # two originals, answers between
+        (1, 5, "f", "> dear all, the\n> quick brown fox jumps over regards\nbye"),  # a whole original
+    ]
+    out = {r.turn: r for r in chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(out[i].link, out[i].reply_to) for i in (3, 4, 5)] == [("quote", 0), ("quote", 2), ("quote", 0)]
+    assert out[4].n_linked == 2
