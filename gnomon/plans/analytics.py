@@ -286,7 +286,7 @@ def _(spark, sf):
 @query("critical_value_surface")
 def _(spark, sf):
     g = statistics.surface_grid(spark, {"n_assets": [3, 5], "n_obs": [60, 120], "n_vars": [1, 2]})
-    return statistics.build_surface(g, samples=20)
+    return statistics.build_surface(g, samples=500)
 
 
 @query("surface_lookup", "SELECT * FROM (VALUES (1, 15.0::DOUBLE), (2, 10.0::DOUBLE), (3, 32.5::DOUBLE)) v(id, value)")

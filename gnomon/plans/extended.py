@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("basket_null_filter")
 def _(spark, sf):
-    null = baskets.null_distribution(spark, n_obs=100, n_assets=4, n_vars=2, samples=64, tasks=4)
+    null = baskets.null_distribution(spark, n_obs=100, n_assets=4, n_vars=2, samples=500, tasks=4)
     return baskets.significant(literal(spark, ["name", "adf_t"], [("good", -9.0), ("bad", -0.5)]), null).select("name")
 
 

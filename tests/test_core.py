@@ -457,3 +457,10 @@ def test_baskets_and_chains(spark):
     assert (r.atm_iv, round(r.skew, 6), round(r.term_slope, 6)) == (0.5, 0.05, -0.05)
     q = scans.depth_quote(scalars.Q96, 10**24, 500, scalars.Q96, 10**24, 500, 10**18)
     assert q["net"] < 0 and 0 < q["impact_a"] < 1e-4
+
+
+def test_critical_values_come_from_enough_draws(spark, sf_dir):
+    got = {}
+    for r in base.REGISTERED["critical_value_surface"](spark, sf_dir).collect():
+        got.setdefault(r["point"], {})[r["pct"]] = r["value"]
+    assert len(got) == 8 and all(v[1.0] < v[5.0] < v[10.0] for v in got.values())
