@@ -464,3 +464,13 @@ def test_critical_values_come_from_enough_draws(spark, sf_dir):
     for r in base.REGISTERED["critical_value_surface"](spark, sf_dir).collect():
         got.setdefault(r["point"], {})[r["pct"]] = r["value"]
     assert len(got) == 8 and all(v[1.0] < v[5.0] < v[10.0] for v in got.values())
+
+
+def test_garch_models_cover_all_series(spark, sf_dir):
+    want = {r["asset"] for r in base.daily(spark, sf_dir).select("asset").distinct().collect()}
+    assert {r["asset"] for r in base.REGISTERED["garch_models"](spark, sf_dir).collect()} == want and len(want) == 5
+
+
+def test_sample_weights_cover_all_bars(spark, sf_dir):
+    got = base.REGISTERED["sample_weights"](spark, sf_dir)
+    assert got.count() == base.bars(spark, sf_dir).count() and got.where("weight IS NULL").count() == 0
