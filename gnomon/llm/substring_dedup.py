@@ -11,8 +11,16 @@ words that a repeat covers are removed.
 Before they travel, equal super-k-mers of one batch are collapsed: only the
 earliest can hold a first occurrence, the others are repeats as a whole.  So a
 passage that many documents share reaches its bucket once per batch, not once
-per document.  A task holds one bucket; there are ``BUCKETS`` times as many of
-them as shuffle partitions.
+per document; what is known to repeat already needs no comparison and travels
+by any bucket, dealt by its document.
+
+Buckets follow the input: one for each ``BUCKET_BYTES`` of packed strings, and
+``BUCKETS`` times the shuffle partitions at least.  Minimisers that would fill a
+bucket on their own are found beforehand, on one document in ``SAMPLE`` (this
+decides only where windows meet, never what is found); their windows are cut up
+once more, by a minimiser of ``LONG`` words, into other buckets.  A bucket that
+still exceeds ``BUCKET_BYTES`` is compared in passes, each over the windows of
+one class of hashes.
 
 Defined results: a null text has no words; a text of fewer words than a window
 loses none; a null id comes before all others; rows with the same id are one
@@ -37,7 +45,16 @@ from .common import NULL_ID, table, text_or_empty
 
 WINDOW = 20
 MINIMISER = 3
+#: Words of the minimiser that splits the windows of a frequent one.
+LONG = 10
 BUCKETS = 4
+#: Bytes of unpacked strings that a bucket should have; what has more is compared in passes.
+BUCKET_BYTES = 64 << 20
+#: Packed strings have about so many times the bytes of the texts.
+GROWTH = 3
+#: One document in so many tells which minimisers are frequent; so many of them are split at most.
+SAMPLE = 16
+MOST_FREQUENT = 1 << 16
 #: Bytes of texts whose super-k-mers one pass packs, and of packed strings that it hashes.
 BATCH_BYTES = 4 << 20
 PIECE_BYTES = 1 << 20
@@ -57,8 +74,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Packer:
     """Cuts texts into super-k-mers and packs them by bucket."""
 
-    def __init__(self, buckets: int, window: int = WINDOW, minimiser: int = MINIMISER):
+    def __init__(self, buckets: int, window: int = WINDOW, minimiser: int = MINIMISER, frequent: np.ndarray | None = None):
         self.buckets, self.window, self.minimiser = buckets, window, minimiser
+        self.frequent = np.empty(0, np.uint64) if frequent is None else np.sort(frequent)
         self._codes: dict[bytes, int] = {}
 
     def _code(self, words: list[bytes]) -> np.ndarray:
@@ -72,22 +90,27 @@ class Packer:
         return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
     def _minima(self, codes: np.ndarray) -> np.ndarray:
-        """The minimiser of the window that starts at each word (those past the end are not valid)."""
+        """The minimiser of the window that starts at each word (those past the end are not valid).
+
+        Where it is a frequent one, the minimiser of ``LONG`` words stands for it.
+        """
         n, m, k = len(codes), self.minimiser, self.window
         h = np.zeros(n - m + 1, np.uint64)
         for j in range(m):
             h += _mix(codes[j : n - m + 1 + j] * _ODD[j % 3] + np.uint64(j))
         h = _mix(h)
-        span = k - m + 1
-        width = 1
-        while width * 2 <= span:
-            h = np.minimum(h[: len(h) - width], h[width:])
-            width *= 2
-        rest = span - width
-        return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
-
-    def pack(self, ids: list[int], keys: list[int], texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        """``(bucket, payload)`` for the texts: super-k-mers to compare, and stretches that repeat already."""
+        low = _sliding_min(h, k - m + 1)
+        if len(self.frequent) and k > LONG:
+            hot = self.frequent[np.minimum(np.searchsorted(self.frequent, low), len(self.frequent) - 1)] == low
+            if hot.any():
+                wide = np.zeros(n - LONG + 1, np.uint64)
+                for j in [*range(0, LONG - m, m), LONG - m]:  # these runs cover all ``LONG`` words
+                    wide = _mix(wide * _ODD[0] + h[j : j + len(wide)])
+                low = np.where(hot, _sliding_min(wide, k - LONG + 1), low)
+        return low
+
+    def _windows(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """All words, words and number of each text with a window, each word's place in its text, minimisers, and which start a window."""
         words: list[bytes] = []
         sizes, owners = [], []
         for i, raw in enumerate(texts):
@@ -96,14 +119,30 @@ class Packer:
                 words += own
                 sizes.append(len(own))
                 owners.append(i)
+        sizes_a = np.array(sizes, np.int64)
+        start = np.arange(len(words)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a)
+        low = self._minima(self._code(words)) if words else np.empty(0, np.uint64)
+        valid = (start <= np.repeat(sizes_a - self.window, sizes_a))[: len(low)]
+        return words, sizes_a, owners, start, low, valid
+
+    def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Minimisers of the texts and how many windows have each."""
+        *_, low, valid = self._windows(texts)
+        return np.unique(low[valid], return_counts=True)
+
+    def pack(self, ids: list[int], keys: list[int], texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        """``(bucket, payload)`` for the texts: super-k-mers to compare, and stretches that repeat already."""
+        rows: dict[tuple[int, int], int] = {}
+        for i, name in enumerate(zip(ids, keys, strict=True)):
+            rows.setdefault(name, i)
+        if len(rows) < len(texts):  # a row repeated as it is has the same spans
+            once = sorted(rows.values())
+            ids, keys, texts = ([x[i] for i in once] for x in (ids, keys, texts))
+        words, sizes_a, owners, start, low, valid = self._windows(texts)
         if not words:
             return
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        sizes_a = np.array(sizes)
-        start = np.arange(len(words)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a)
-        low = self._minima(self._code(words))
-        valid = (start <= np.repeat(sizes_a - self.window, sizes_a))[: len(low)]
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
         first = np.flatnonzero(new)
@@ -116,6 +155,7 @@ class Packer:
         begin, end = np.where(first > 0, ends[first - 1] + 1, 0).tolist(), ends[past - 1 + self.window - 1].tolist()
         order = np.lexsort((at, doc, bucket))
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        known: list[np.ndarray] = []
         for group in np.split(order, cuts):
             seen: dict[bytes, int] = {}
             live, gone = [], []
@@ -126,9 +166,26 @@ class Packer:
                 else:
                     gone.append(i)
             live, gone = (np.array(x, np.int64) for x in (live, gone))
-            live, gone = (x[np.lexsort((at[x], key[x], doc[x]))] for x in (live, gone))
+            live = live[np.lexsort((at[live], key[live], doc[live]))]
+            known.append(gone)
             strings = b"\n".join([line[begin[i] : end[i]] for i in live.tolist()])
-            yield int(bucket[group[0]]), _payload([doc[live], key[live], at[live]], [doc[gone], key[gone], at[gone], at[gone] + n[gone] + self.window - 1], strings)
+            if len(live):
+                yield int(bucket[group[0]]), _payload([doc[live], key[live], at[live]], [doc[:0], key[:0], at[:0], at[:0]], strings)
+        gone = np.concatenate(known)
+        if len(gone):
+            gone = gone[np.lexsort((at[gone], key[gone], doc[gone]))]
+            anywhere = int(_mix(np.array([doc[gone[0]]]).astype(np.uint64) + np.uint64(len(gone)))[0] % np.uint64(self.buckets))
+            yield anywhere, _payload([doc[:0], key[:0], at[:0]], [doc[gone], key[gone], at[gone], at[gone] + n[gone] + self.window - 1], b"")
+
+
+def _sliding_min(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` neighbours."""
+    width = 1
+    while width * 2 <= span:
+        h = np.minimum(h[: len(h) - width], h[width:])
+        width *= 2
+    rest = span - width
+    return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
 #: Bytes of each number in a payload: of a document its id (as steps, which are small), key, and rows in both parts; then the places.
@@ -195,14 +252,18 @@ class _Hasher:
         return _mix((sums[e] - sums[s]) * self._down[s]), lines[first], s, e
 
 
-def repeats(payloads: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
+def repeats(payloads: list[bytes], window: int = WINDOW, most_bytes: int = BUCKET_BYTES) -> list[np.ndarray]:
     """``[doc, key, first, past]`` of the stretches of words that repeats in one bucket cover."""
     parts = [_unpack(p) for p in payloads]
     gone = [g for _, g, _ in parts]
     live = np.concatenate([x for x, *_ in parts], 1)
     strings = [s for *_, text in parts if text for s in text.split(b"\n")]
     del parts
-    order = np.lexsort((live[2], live[0]))
+    order = np.lexsort((live[2], live[1], live[0]))
+    again = np.zeros(len(order), bool)
+    again[1:] = (np.diff(live[:, order], axis=1) == 0).all(0)  # rows repeated as they are
+    order = order[~again]
+    order = order[np.lexsort((live[2, order], live[0, order]))]
     seen: dict[bytes, int] = {}
     kept, whole = [], []
     for i in order.tolist():
@@ -215,20 +276,32 @@ def repeats(payloads: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
     strings = [strings[i] for i in kept]
     live = live[:, kept]
 
-    hasher, piece, size, done = _Hasher(window), [], 0, 0
+    hasher = _Hasher(window)
+    passes = -(-sum(map(len, strings)) // most_bytes) or 1
+    for number in range(passes):
+        gone += _compared(strings, live, hasher, passes, number)
+    return gone
+
+
+def _compared(strings: list[bytes], live: np.ndarray, hasher: _Hasher, passes: int, number: int) -> list[np.ndarray]:
+    """Stretches that repeats cover among the windows whose hash falls to one pass."""
+    piece, size, done = [], 0, 0
     found: list[list[np.ndarray]] = []
     for i, s in enumerate(strings):
         piece.append(s)
         size += len(s) + 1
         if size >= PIECE_BYTES or i == len(strings) - 1:
             h, line, b, e = hasher.hashes(b"\n".join(piece))
+            place = np.arange(len(h)) - np.searchsorted(line, line)  # the window's number in its super-k-mer
             begins = np.cumsum([0] + [len(x) + 1 for x in piece])
-            found.append([h, line + done, b - begins[line], e - begins[line]])
+            mine = slice(None) if passes == 1 else h % np.uint64(passes) == number
+            found.append([x[mine] for x in (h, line + done, place, b - begins[line], e - begins[line])])
             piece, size, done = [], 0, i + 1
     if not found:
-        return gone
-    h, line, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
-    place = np.arange(len(h)) - np.searchsorted(line, line)  # the window's number in its super-k-mer
+        return []
+    h, line, place, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(h):
+        return []
     by_hash = np.argsort(h, kind="stable")
     same = np.concatenate([[False], h[by_hash][1:] == h[by_hash][:-1]])
     again = np.zeros(len(h), bool)
@@ -241,47 +314,74 @@ def repeats(payloads: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
             first = firsts.setdefault(first, {}).setdefault(text, w)
         again[w] = live[0, line[first]] != live[0, line[w]] or live[2, line[first]] + place[first] != live[2, line[w]] + place[w]
     hit = np.flatnonzero(again)
-    if len(hit):
-        cut = np.concatenate([[True], (line[hit][1:] != line[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
-        runs = np.flatnonzero(cut)
-        n = np.diff(np.append(runs, len(hit)))
-        at = live[2, line[hit[runs]]] + place[hit[runs]]
-        gone.append(np.stack([live[0, line[hit[runs]]], live[1, line[hit[runs]]], at, at + n + window - 1]))
-    return gone
+    if not len(hit):
+        return []
+    cut = np.concatenate([[True], (line[hit][1:] != line[hit][:-1]) | (place[hit][1:] != place[hit][:-1] + 1)])
+    runs = np.flatnonzero(cut)
+    n = np.diff(np.append(runs, len(hit)))
+    at = live[2, line[hit[runs]]] + place[hit[runs]]
+    return [np.stack([live[0, line[hit[runs]]], live[1, line[hit[runs]]], at, at + n + hasher.window - 1])]
 
 
 _SPANS = "id long, key long, first int, past int"
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Rows ``(id, key, text)`` in groups of ``BATCH_BYTES`` of texts."""
+    ids, keys, texts, size = [], [], [], 0
+    for batch in batches:
+        for i, k, t in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()))), strict=True):
+            ids.append(i)
+            keys.append(k)
+            texts.append(t)
+            size += len(t)
+            if size >= BATCH_BYTES:
+                yield ids, keys, texts
+                ids, keys, texts, size = [], [], [], 0
+    if texts:
+        yield ids, keys, texts
+
+
+def plan_buckets(docs: DataFrame, window: int = WINDOW, *, sample: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, np.ndarray]:
+    """Number of buckets for rows ``(id, key, text)``, and the minimisers too frequent for one bucket.
+
+    Estimated on one row in ``sample``: where windows meet depends on it, what
+    is found does not.  A minimiser is frequent if it has as many windows as a
+    bucket should have, so there can't be more of them than buckets.
+    """
+
+    sample = sample or SAMPLE
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(1, window)
+        for _, _, texts in _texts(batches):
+            low, n = packer.count(texts)
+            lows = pa.array(np.append(low.view(np.int64), 0), mask=np.append(np.zeros(len(low), bool), True))
+            yield pa.RecordBatch.from_arrays([lows, pa.array(np.append(n, n.sum())), pa.array(np.append(np.zeros(len(n), np.int64), sum(map(len, texts))))], names=["low", "n", "bytes"])
+
+    counted = docs.where(F.pmod(F.xxhash64("id", "key"), F.lit(sample)) == 0).select("id", "key", "text").mapInArrow(count, "low long, n long, bytes long")
+    # the row without a minimiser has the sums, and so comes first
+    top = counted.groupBy("low").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("n"), F.asc_nulls_first("low")).limit(MOST_FREQUENT).collect()
+    total, size = (top[0]["n"], top[0]["bytes"]) if top else (0, 0)
+    buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * sample * GROWTH // bucket_bytes))
+    return buckets, np.array([r["low"] for r in top[1:] if r["n"] * buckets >= total], np.int64).view(np.uint64)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(id, key, first, past)``: stretches of words to remove, of rows ``(id, key, text)``."""
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, frequent = plan_buckets(docs, window)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets, window)
-        ids, keys, texts, size = [], [], [], 0
-
-        def out() -> pa.RecordBatch:
+        packer = Packer(buckets, window, frequent=frequent)
+        for ids, keys, texts in _texts(batches):
             rows = list(packer.pack(ids, keys, texts))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
-
-        for batch in batches:
-            for i, k, t in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()))), strict=True):
-                ids.append(i)
-                keys.append(k)
-                texts.append(t)
-                size += len(t)
-                if size >= BATCH_BYTES:
-                    yield out()
-                    ids, keys, texts, size = [], [], [], 0
-        if texts:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
     def compare(rows: pa.Table) -> pa.Table:
         found = np.concatenate([np.empty((4, 0), np.int64), *repeats(rows.column("payload").to_pylist(), window)], 1)
         return pa.table([pa.array(found[0]), pa.array(found[1]), pa.array(found[2].astype(np.int32)), pa.array(found[3].astype(np.int32))], names=["id", "key", "first", "past"])
 
-    packed = docs.select("id", "key", "text").mapInArrow(pack, "bucket int, payload binary")
+    packed = docs.select("id", "key", "text").mapInArrow(pack, "bucket long, payload binary")
     return packed.groupBy("bucket").applyInArrow(compare, _SPANS)
 
 
@@ -289,7 +389,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """``(id, text, spans)``: every row with the stretches of words (first, past) that repeats cover."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     spans = repeated_spans(rows, window).groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
-    joined = rows.join(spans.hint("shuffle_hash"), ["id", "key"], "left")
+    joined = rows.join(spans, ["id", "key"], "left")
     return joined.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), F.col("text").alias(text_col), F.coalesce("spans", F.array()).alias("spans"))
 
 
