@@ -15,18 +15,21 @@ Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates; texts that agre
 on a band are candidates.  Equal texts are one node from the start.  In a bucket of
 a band all members are first held against one leader, by their exact similarity;
 classes are the connected components.  A bucket that still has members of
-different classes is worked off in cells of two blocks of ``BLOCK`` members at
-most: inside a cell signatures tell which pairs of different classes may be
-similar (within ``MARGIN`` of the threshold), each pair counts in the first band
-that it shares, the exact similarity decides, and only links that join two classes
-come out.  So a bucket of many copies never becomes rows of pairs, no task holds
-more than two blocks, and no candidate is left out.
+different classes is worked off in cells of two blocks of ``BLOCK_ELEMENTS``
+elements each.  Inside a cell two members can only be similar enough if they share
+one of the first elements of both, the rarest of the cell first, as many as the
+threshold leaves out of a set (prefix filtering), and if their sizes allow it; a
+pair counts in the first band that it shares; the exact similarity decides, and
+only links that join two classes come out.  So a bucket of many copies never
+becomes rows of pairs, a task holds two blocks, dealt by a hash of the id, and no
+candidate is left out.
 
 Defined results: a null text is the empty text; texts without words are alike
-only if they are equal; rows with an id of null stand for themselves, by their
-text; the class id is the smallest id (for null, a hash of the text) in the
-class; repeated rows give repeated rows; an empty table gives an empty table;
-columns other than id and text are ignored.
+only if they are equal; every different text is one node, named by the smallest id
+that has it; a text without an id, and of several texts under one id all but one,
+are named by a hash; the class id is the smallest name in the class; repeated rows
+give repeated rows; an empty table gives an empty table; columns other than id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -45,10 +48,10 @@ from .common import table, text_or_empty
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-#: Members of a bucket in one block of a cell.
-BLOCK = 1024
-#: Signatures may be so far below the similarity (more than three deviations).
-MARGIN = 0.12
+#: Elements of a bucket's members in one block of a cell (4 bytes each).
+BLOCK_ELEMENTS = 1 << 18
+#: Members that one member is held against at once.
+VERIFIED = 64
 #: Beyond ln k, so many darts per coordinate; more make empty coordinates rarer.
 SPARE = 3.0
 #: Ranks of the first cell; each further cell ends at twice the rank.
@@ -202,7 +205,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _bands_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc, id, key, bands, signature)`` of rows ``(doc, id, key, text)``; 4 bytes for each coordinate."""
+    """``(doc, id, key, bands)`` of rows ``(doc, id, key, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -210,16 +213,14 @@ def _bands_of(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(3).to_pylist()
             out: list = []
-            short: list[bytes] = []
             for first, past in _chunks(texts):
                 owner, element, weight = shingler.sets(texts[first:past])
                 darts = dart_signatures(owner, element, weight, past - first, BANDS * ROWS)
                 some = np.bincount(owner, minlength=past - first) > 0
                 out += [h if s else [] for h, s in zip(band_hashes(darts), some.tolist(), strict=True)]
-                short += [x.tobytes() for x in darts.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind), pa.array(short, pa.binary())], names=["doc", "id", "key", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["doc", "id", "key", "bands"])
 
-    return docs.mapInArrow(run, "doc long, id long, key binary, bands array<long>, signature binary")
+    return docs.mapInArrow(run, "doc long, id long, key binary, bands array<long>")
 
 
 def _elements_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -253,66 +254,78 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
     return both.where(common >= F.lit(similarity) * (F.size("ea") + F.size("eb") - common)).select("a", "b").distinct()
 
 
-def cell_links(band: int, ids: np.ndarray, labels: np.ndarray, signatures: np.ndarray, elements: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def _prefixes(elements: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Of each set, numbers of so many of its elements that two similar sets must share one; the rarest ones."""
+    sizes = np.array([len(x) for x in elements])
+    _, place, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    out = []
+    for own, n in zip(np.split(rank[place], np.cumsum(sizes)[:-1]), sizes.tolist(), strict=True):
+        most = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+        out.append(np.partition(own, most - 1)[:most] if most < n else own)
+    return out
+
+
+def cell_links(band: int, ids: np.ndarray, labels: np.ndarray, bands: np.ndarray, elements: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links between different classes among ``rows`` x ``cols`` of a cell's members.
 
-    ``signatures`` is ``(members, BANDS, ROWS)``; a pair that shares an earlier
-    band belongs to that band's cell.  Links that join nothing new are left out.
+    ``bands`` is ``(members, BANDS)``; a pair that shares an earlier band belongs
+    to that band's cell.  ``elements`` are sets.  Links that join nothing new are
+    left out.
     """
-    agree = np.zeros((len(rows), len(cols)), np.int16)
-    for b in range(signatures.shape[1]):
-        whole = np.ones(agree.shape, bool)
-        for r in range(signatures.shape[2]):
-            same = signatures[rows, b, r][:, None] == signatures[cols, b, r][None, :]
-            agree += same
-            whole &= same
-        if b < band:
-            agree[whole] = -30000
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while top.get(x, x) != x:
-            top[x] = top.get(top[x], top[x])
-            x = top[x]
-        return x
-
+    prefixes = _prefixes(elements, similarity)
+    keys = np.concatenate([prefixes[b] for b in cols.tolist()])
+    owners = np.repeat(cols, [len(prefixes[b]) for b in cols.tolist()])
+    order = np.argsort(keys, kind="stable")
+    keys, owners = keys[order], owners[order]
+    sizes = np.array([len(x) for x in elements])
+    classes = labels.copy()
     out = []
-    least = (similarity - MARGIN) * signatures.shape[1] * signatures.shape[2]
-    for i, a in enumerate(rows.tolist()):
-        near = np.flatnonzero(agree[i] >= least)
-        near = cols[near[np.argsort(-agree[i, near], kind="stable")]]
-        near = [b for b in near.tolist() if ids[a] != ids[b] and root(labels[a]) != root(labels[b])]
-        if not near:
+    for a in rows.tolist():
+        other = np.zeros(len(ids), bool)
+        other[cols] = (classes[cols] != classes[a]) & (np.minimum(sizes[cols], sizes[a]) >= similarity * np.maximum(sizes[cols], sizes[a]))
+        if not other.any():
             continue
-        sizes = np.array([len(elements[b]) for b in near])
-        inside = np.isin(np.concatenate([elements[b] for b in near]), elements[a])
-        common = np.add.reduceat(inside, np.cumsum(sizes) - sizes)
-        for b, yes in zip(near, (common >= similarity * (len(elements[a]) + sizes - common)).tolist(), strict=True):
-            x, y = root(labels[a]), root(labels[b])
-            if yes and x != y:
-                top[max(x, y)] = min(x, y)
-                out.append((int(ids[a]), int(ids[b])))
+        low, high = np.searchsorted(keys, prefixes[a], "left"), np.searchsorted(keys, prefixes[a], "right")
+        met = np.zeros(len(ids), bool)
+        for x, y in zip(low.tolist(), high.tolist(), strict=True):
+            met[owners[x:y]] = True
+        near = np.flatnonzero(met & other)
+        near = near[~(bands[near, :band] == bands[a, :band]).any(1)]
+        while len(near):
+            some, near = near[:VERIFIED], near[VERIFIED:]
+            inside = np.isin(np.concatenate([elements[b] for b in some.tolist()]), elements[a])
+            of = sizes[some]
+            common = np.add.reduceat(inside, np.cumsum(of) - of, dtype=np.int64)
+            for b in some[common >= similarity * (sizes[a] + of - common)].tolist():
+                if classes[a] != classes[b]:
+                    out.append((int(ids[a]), int(ids[b])))
+                    classes[classes == classes[b]] = classes[a]
+            near = near[classes[near] != classes[a]]
     return out
 
 
-def _cell_links(members: DataFrame, signatures: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
-    """Links of ``(bucket, band, id, n, label)`` between different classes of a bucket, cell by cell."""
+def _cell_links(members: DataFrame, bands: DataFrame, elements: DataFrame, similarity: float, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Links of ``(bucket, band, id, label)`` between different classes of a bucket, cell by cell."""
 
     def run(cell: pa.Table) -> pa.Table:
         col = lambda c: cell.column(c).to_numpy()
-        sigs = np.frombuffer(b"".join(cell.column("signature").to_pylist()), np.uint32).reshape(cell.num_rows, BANDS, ROWS)
+        own = np.stack([x.values.to_numpy() for x in cell.column("bands")])
         sets = [np.unique(x.values.to_numpy()) for x in cell.column("elements")]
         first = col("mine") == col("i")
         rows = np.flatnonzero(first)
         cols = rows if col("i")[0] == col("j")[0] else np.flatnonzero(~first)
-        links = cell_links(int(col("band")[0]), col("id"), col("label"), sigs, sets, rows, cols, similarity)
+        links = cell_links(int(col("band")[0]), col("id"), col("label"), own, sets, rows, cols, similarity) if len(rows) and len(cols) else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    size = elements.select("id", F.size("elements").alias("size"))
+    sizes = members.join(size, "id").groupBy("bucket").agg(F.sum("size").alias("all"))
+    blocks = F.ceil(F.col("all") / block_elements).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.select("*", blocks.alias("blocks"), mine.alias("mine")).withColumn("other", others)
-    dealt = dealt.join(signatures, "id").join(elements, "id").select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "signature", "elements")
+    dealt = members.join(sizes, "bucket").select("bucket", "band", "id", "label", blocks.alias("blocks")).select("*", mine.alias("mine")).withColumn("other", others)
+    dealt = dealt.join(bands, "id").join(elements, "id").select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "bands", "elements")
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -341,46 +354,50 @@ def node_id(id_col: str, text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``(id, node, class_id, key)`` of every row.
+    """``(id, class_id, representative, row_id, key)`` of every row.
 
-    ``node`` is the id by which classes are named, ``key`` the text's MD5; a row
-    stands for its class if its node is the class id.
+    ``row_id`` and ``key`` tell the different rows apart: the id (for null, a
+    hash of the text) and the text's MD5.  The rows that stand for their class
+    are those with the text and the smallest id that name it.
     """
     began = mark()
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), node_id(id_col, text).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     signed = materialize(_bands_of(rows, shingle), "near-bands")
-    texts = materialize(signed.groupBy("key").agg(F.min("id").alias("id")), "near-texts")
+    firsts = materialize(signed.groupBy("key").agg(F.min("id").alias("first")), "near-texts")
+    # an id names one text; further ones under it have a hash for a name
+    named = firsts.groupBy("first").agg(F.min("key").alias("named"))
+    named = firsts.join(named, "first").select("key", "first", F.when(F.col("key") == F.col("named"), F.col("first")).otherwise(F.xxhash64("first", "key")).alias("id"))
+    texts = materialize(named, "near-texts")
 
     # one row for each band of each different text; buckets with company
-    banded = signed.select("key", "bands").where(F.size("bands") > 0).distinct().join(texts, "key").select("id", F.posexplode("bands").alias("band", "bucket"))
-    banded = materialize(banded, "near-buckets")
+    bands = materialize(signed.select("key", "bands").where(F.size("bands") > 0).distinct().join(texts, "key").select("id", "bands"), "near-signed")
+    banded = materialize(bands.select("id", F.posexplode("bands").alias("band", "bucket")), "near-buckets")
     shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "near-shared")
     members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", "lead"), "near-members")
 
     wanted = members.select("id").distinct()
-    wanted = texts.join(wanted, "id").select("key", F.col("id").alias("node"))
-    read = rows.join(wanted, "key").where(F.col("id") == F.col("node"))
-    elements = materialize(_elements_of(read.select("id", "text"), shingle), "near-elements")
+    wanted = texts.join(wanted, "id").select("key", F.col("first").alias("id"), F.col("id").alias("node"))
+    read = rows.join(wanted, ["key", "id"]).select(F.col("node").alias("id"), "text")
+    elements = materialize(_elements_of(read, shingle), "near-elements")
 
     leads = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     edges = materialize(_verified(leads, elements, similarity), "near-links")
     labels = components(edges)
-    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "near-left")
     if left.limit(1).count():
-        signatures = signed.join(texts.withColumnRenamed("id", "node"), "key").where(F.col("id") == F.col("node")).select("id", "signature")
-        found = materialize(_cell_links(left, signatures.dropDuplicates(["id"]), elements.dropDuplicates(["id"]), similarity), "near-links")
+        found = materialize(_cell_links(left, bands, elements.dropDuplicates(["id"]), similarity), "near-links")
         labels = components(edges.unionByName(found))
 
-    classes = texts.join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"))
+    classes = texts.join(labels, "id", "left").select("key", "first", F.coalesce("label", "id").alias("class_id"), (F.coalesce("label", "id") == F.col("id")).alias("stands"))
     classes = materialize(classes, "near-classes")
     discard(began, keep=("near-bands", "near-classes"))
-    return signed.select("doc", "id", "key").join(classes, "key").select(F.col("doc").alias(id_col), F.col("id").alias("node"), "class_id", "key")
+    out = signed.select("doc", "id", "key").join(classes, "key")
+    return out.select(F.col("doc").alias(id_col), "class_id", (F.col("stands") & (F.col("id") == F.col("first"))).alias("representative"), F.col("id").alias("row_id"), "key")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of every document of ``documents``, and whether it stands for it."""
-    found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", (F.col("node") == F.col("class_id")).alias("representative"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "representative")
