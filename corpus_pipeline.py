@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat it, id and text, are copies of it too, so one row stays.
     """
     found = near_dedup.near_duplicates(docs)
-    keep = found.where(F.col("node") == F.col("class_id")).select(F.col("node").alias("__node"), F.col("key").alias("__key")).distinct()
+    keep = found.where("representative").select(F.col("row_id").alias("__node"), F.col("key").alias("__key")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("__node", near_dedup.node_id("doc_id", text)).withColumn("__key", F.unhex(F.md5(text)))
     return rows.join(keep, ["__node", "__key"], "left_semi").dropDuplicates(["__node", "__key"]).select(*docs.columns)
