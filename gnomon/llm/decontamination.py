@@ -1,15 +1,22 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over the benchmark's words.
 
 Texts and items are normalised alike: A-Z become a-z, and what is neither a
 digit, a letter a-z nor beyond ASCII only separates words.  Every ten
 consecutive words of an item are a window (an item of fewer words, but not none,
-is one window); all windows of all items go into one automaton, which scans each
-normalised text once.  A word inside an occurrence is hit; the hit stretches are
-mapped back to offsets in the original text.
+is one window).  A word inside an occurrence of a window is hit; the hit
+stretches are mapped back to offsets in the original text.
 
-The automaton goes to every worker, so its size is checked: a benchmark of more
-than ``PART_BYTES`` is cut into parts by item, and the texts are scanned with one
-automaton after the other; the stretches of all parts are merged.
+The automaton reads words, not characters, each as one to three symbols (the more
+frequent in the benchmark, the fewer).  Of each item it has every seventh run of ``RUN`` words: any window has one of them, so that one
+scan of a text meets all occurrences, with a seventh of the windows' states.
+Where a run ends, the windows around it are looked up in a table of all windows
+(by hash, then word for word).  It takes about five bytes of memory for each byte
+of the benchmark.
+
+Every worker builds the automaton once and keeps it for all its tasks.  What is
+sent has a checked size: a benchmark of more than ``PART_BYTES`` is cut by item
+into parts, one on the driver at a time, and there is one automaton and one scan
+for each; the stretches of all parts are merged.
 
 Defined results: a null text has no words; a null item or one without words has
 no window; a null item id has no name to report but its words are hit; an item id
@@ -20,7 +27,9 @@ rows give repeated rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +39,12 @@ from pyspark.sql import functions as F
 from .common import fresh, map_texts, table
 
 WINDOW = 10
+#: Words of the runs that the automaton has.
+RUN = 3
 #: Bytes of benchmark texts in one automaton; a part never exceeds this by more than one item.
-PART_BYTES = 8 << 20
+PART_BYTES = 64 << 20
+#: Words of texts whose places are looked up at once.
+LOOKUP = 1 << 16
 
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _KEEP = frozenset(range(48, 58)) | frozenset(range(97, 123)) | frozenset(range(128, 256))
@@ -44,42 +57,157 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(items: list[tuple[str | None, str | None]], size: int = WINDOW) -> dict[bytes, tuple[int, frozenset]]:
-    """Each window's words joined by blanks, with their number and the items that have it."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item, text in items:
-        own = words(text or "")
-        for i in range(max(1, len(own) - size + 1) if own else 0):
-            key = b" " + b" ".join(own[i : i + size]) + b" "
-            found.setdefault(key, (min(size, len(own)), set()))[1].add(item)
-    return {k: (n, frozenset(i for i in ids if i is not None)) for k, (n, ids) in found.items()}
+#: Words of one symbol; leads of words of two; trails of each symbol.
+ONE, TWO, TRAILS = 64, 64, 128
+#: Where the trails of words of two and of three symbols begin, and the symbol of all words that the items don't have.
+SECOND, THIRD, UNKNOWN = 1 << 20, 1 << 21, 1 << 22
+
+
+def symbols(words_: int) -> np.ndarray:
+    """The symbols of words 0 to ``words_``, a row each, -1 where a word has fewer; 0 is unknown.  No symbol leads a word and trails another."""
+    k = np.arange(words_ + 1) - 1
+    two = k - ONE
+    three = two - TWO * TRAILS
+    out = np.full((len(k), 3), -1, np.int32)
+    out[:, 0] = np.select([k < 0, two < 0, three < 0], [np.full(len(k), UNKNOWN), k, ONE + two // TRAILS], ONE + TWO + three // TRAILS**2)
+    out[:, 1] = np.select([two < 0, three < 0], [-np.ones(len(k), np.int64), SECOND + two % TRAILS], SECOND + TRAILS + three // TRAILS % TRAILS)
+    out[:, 2] = np.where(three < 0, -1, THIRD + three % TRAILS)
+    return out
+
+
+_SPREAD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hashes(ids: np.ndarray) -> np.ndarray:
+    """32 bits of each row of word numbers."""
+    h = np.zeros(len(ids), np.uint64)
+    for j in range(ids.shape[1]):
+        h = (h ^ ids[:, j].astype(np.uint64)) * _SPREAD
+        h = (h ^ (h >> np.uint64(29))) * _STEP
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 class Scanner:
-    """The automaton over some items' windows."""
+    """The automaton over some items' words, and the table of their windows."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
         import ahocorasick
 
-        self._automaton = ahocorasick.Automaton()
-        for key, value in windows(items, size).items():
-            self._automaton.add_word(key.decode("latin-1"), value)
+        self._size = size
+        self._numbers: dict[bytes, int] = {}
+        names: dict[str | None, int] = {}
+        numbers, lengths, owners = [], [], []
+        for item, text in items:
+            own = words(text or "")
+            if own:
+                for w in set(own).difference(self._numbers):
+                    self._numbers[w] = len(self._numbers) + 1
+                numbers.append(self._numbered(own))
+                lengths.append(len(own))
+                owners.append(names.setdefault(item, len(names)))
+        self._names = list(names)
+        self._owners = np.array(owners, np.int32)
+        self._words = np.concatenate([np.empty(0, np.int32), *numbers])
+        del numbers
+        # the most frequent word is 1, and so on
+        rank = np.empty(len(self._numbers) + 1, np.int32)
+        rank[np.argsort(-np.bincount(self._words, minlength=len(rank))[1:], kind="stable") + 1] = np.arange(1, len(rank))
+        rank[0] = 0
+        self._words = rank[self._words]
+        self._numbers = {w: int(rank[i]) for w, i in self._numbers.items()}
+        lengths = np.array(lengths, np.int64)
+        self._starts = np.cumsum(lengths) - lengths
+
+        # the windows by length (shorter ones are whole items): their hashes in order, and their places
+        self._tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({size, *lengths[lengths < size].tolist()} if len(lengths) else ()):
+            if n < size:
+                at = self._starts[lengths == n]
+            else:
+                last = np.repeat(self._starts + lengths - size, lengths)
+                at = np.flatnonzero(np.arange(len(self._words)) <= last)
+                del last
+            if not len(at):
+                continue
+            h = np.concatenate([_hashes(self._rows(self._words, part, n)) for part in np.array_split(at, len(at) // LOOKUP + 1)])
+            order = np.argsort(h, kind="stable")
+            self._tables[n] = h[order], at[order].astype(np.int32)
+
+        self._symbols = symbols(len(self._numbers))
+        run = min(RUN, size)
+        self._step = size - run + 1
+        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for first, n in zip(self._starts.tolist(), lengths.tolist(), strict=True):
+            codes, ends = self._coded(self._words[first : first + n])
+            codes, ends = codes.tolist(), [0, *(ends + 1).tolist()]
+            for at in range(0, max(n - run, 0) + 1, self._step):
+                past = min(at + run, n)
+                self._automaton.add_word(tuple(codes[ends[at] : ends[past]]), past - at)
         if len(self._automaton):
             self._automaton.make_automaton()
 
+    def _numbered(self, own: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self._numbers.get, own, repeat(0)), np.int32, len(own))
+
+    def _coded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words, and the place of each word's last symbol."""
+        rows = self._symbols[numbers]
+        there = rows >= 0
+        return rows[there], np.cumsum(there.sum(1)) - 1
+
+    @staticmethod
+    def _rows(numbers: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        return numbers[at[:, None] + np.arange(n)]
+
+    def _windows_at(self, numbers: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of places in a text those where a window of ``n`` words is, and the places of equal windows in the items."""
+        hashes, places = self._tables[n]
+        rows = self._rows(numbers, at, n)
+        h = _hashes(rows)
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        hit, found = [], []
+        for i in np.flatnonzero(high > low).tolist():
+            there = places[low[i] : high[i]]
+            there = there[(self._rows(self._words, there, n) == rows[i]).all(1)]
+            if len(there):
+                hit.append(at[i])
+                found.append(there)
+        return np.array(hit, np.int64), np.concatenate([np.empty(0, np.int32), *found])
+
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], list[str]]:
         """Number of words, hit stretches of words (first, past the last), and items found, sorted."""
         own = words(text)
         if not own or not len(self._automaton):
             return len(own), [], []
-        line = b" " + b" ".join(own) + b" "
-        found = list(self._automaton.iter(line.decode("latin-1")))
-        if not found:
+        numbers = self._numbered(own)
+        codes, ends = self._coded(numbers)
+        seen = list(self._automaton.iter(tuple(codes.tolist())))
+        if not seen:
             return len(own), [], []
-        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        ends = np.searchsorted(blanks, [end for end, _ in found])
-        spans = merge([(int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, found, strict=True)])
-        return len(own), spans, sorted(set().union(*(ids for _, (_, ids) in found)))
+        seen = np.array(seen, np.int64)
+        starts = np.searchsorted(ends, seen[:, 0]) + 1 - seen[:, 1]
+        spans, places = [], []
+        for n in self._tables:
+            back = self._step if n == self._size else 1  # a shorter item begins with its run
+            at = np.unique((starts[:, None] - np.arange(back)).ravel())
+            at = at[(at >= 0) & (at <= len(own) - n)]
+            for part in np.array_split(at, len(at) // LOOKUP + 1):
+                hit, found = self._windows_at(numbers, part, n)
+                spans += [(i, i + n) for i in hit.tolist()]
+                places.append(found)
+        items = np.unique(self._owners[np.searchsorted(self._starts, np.unique(np.concatenate(places)), "right") - 1])
+        return len(own), merge(spans), sorted(x for x in (self._names[i] for i in items.tolist()) if x is not None)
+
+
+_built: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, items: list[tuple[str | None, str | None]], size: int) -> Scanner:
+    """The automaton of a worker, built by its first task."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Scanner(items, size)
+    return _built[key]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -99,13 +227,14 @@ def original(text: str, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"begin": at[first][0], "end": at[end - 1][1]} for first, end in spans]
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> list[list[tuple]]:
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """The benchmark in parts of a checked size; one part is on the driver at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // limit) or 1
     place = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[(r["id"], r["text"]) for r in (items if n == 1 else items.where(place == i)).collect()] for i in range(n)]
+    for i in range(n):
+        yield [(r["id"], r["text"]) for r in (items if n == 1 else items.where(place == i)).toLocalIterator()]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -114,10 +243,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     out = docs
     names: list[tuple[str, str]] = []
     for items in _parts(benchmark, item_id_col, item_col, part_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+        del items
 
-        def make(sent=sent) -> Callable[[list[str]], list[pa.Array]]:
-            scanner = Scanner(sent.value, window)
+        def make(sent=sent, key=key) -> Callable[[list[str]], list[pa.Array]]:
+            scanner = _scanner(key, sent.value, window)
 
             def work(texts: list[str]) -> list[pa.Array]:
                 done = [scanner.scan(t) for t in texts]
