@@ -5,9 +5,9 @@ character its probability after the four before it.  Orders 5, 4 and 3 belong to
 the class (order 5 counts occurrences, the lower ones count the different
 characters that go before); an expression too rare for them backs off to order 2,
 whose continuation counts both classes share, so that what neither class knows
-speaks for neither.  A text's log-likelihood ratio is divided by its length n, and
+speaks for neither.  A text's log-likelihood ratio is divided by its length, and
 so is the part of it from telling characters (more than ``TELLING`` above even,
-each); a logistic curve over the two and the logarithm of n gives the score.
+each); a logistic curve over the two gives the score.
 
 Learning: the labelled rows fall into four parts by ``crc32(id as text) mod 4``.
 Part 2 is held out and never read; the curve is fitted on ``CALIBRATION_ROWS``
@@ -57,9 +57,13 @@ def part(id_col: str = "doc_id") -> Column:
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4).cast("int")
 
 
+#: Characters below this are codes themselves; the others are two codes, a lead and a trail.
+DIRECT, TRAILS = 1984, 1088
+
+
 def _code_table() -> np.ndarray:
-    """Code of each character below 4000: letters and all beyond ASCII themselves, else blank."""
-    codes = np.arange(4000, dtype=np.int64)
+    """Code of each character below ``DIRECT``: letters and all beyond ASCII themselves, else blank."""
+    codes = np.arange(DIRECT, dtype=np.int64)
     codes[:128] = np.where((codes[:128] >= 97) & (codes[:128] <= 122), codes[:128], BLANK)
     codes[0] = 0
     return codes
@@ -68,6 +72,16 @@ def _code_table() -> np.ndarray:
 _CODES = _code_table()
 
 
+def _coded(points: np.ndarray) -> np.ndarray:
+    """Code points as codes of 12 bits, none of which stands for two of them."""
+    high = points >= DIRECT
+    if not high.any():
+        return _CODES[points]
+    codes = np.where(high, DIRECT + points // TRAILS, _CODES[np.minimum(points, DIRECT - 1)])
+    at = np.flatnonzero(high)
+    return np.insert(codes, at + 1, DIRECT + 1024 + points[at] % TRAILS)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed grams of order 5 of lower-cased texts, and the text that each belongs to.
 
@@ -75,8 +89,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends with a blank and has four more before it as a first context.
     """
     joined = "".join("\0 " + t.lower().replace("\0", " ") + " " for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where(points < 4000, _CODES[np.minimum(points, 3999)], 4000 + points % 96)
+    codes = _coded(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != BLANK) | (codes[:-1] != BLANK)
     codes = codes[keep]
@@ -162,14 +175,14 @@ class Model:
         return (logs[:, 1] - logs[:, 0])[place]
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Of each text: the ratio by n, its telling part by n, and the logarithm of n."""
-        out = np.zeros((len(texts), 3))
+        """Of each text: the ratio by its length, and the ratio's telling part by its length."""
+        out = np.zeros((len(texts), 2))
         for first, chunk in _chunks(texts):
             packed, owner = grams(chunk)
             n = np.bincount(owner, minlength=len(chunk)).astype(float)
             ratios = self.ratios(packed)
             total, telling = (np.bincount(owner, x, len(chunk)) for x in (ratios, np.maximum(ratios - TELLING, 0)))
-            out[first : first + len(chunk)] = np.stack([total / n, telling / n, np.log(n)], 1)
+            out[first : first + len(chunk)] = np.stack([total / n, telling / n], 1)
         return out
 
 
@@ -250,9 +263,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model = Model(_tables(materialize(count_grams(rows.where(~sampled)), "toxicity-grams")))
     discard(began)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    judged = map_texts(rows.where(sampled), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double, f2 double")
-    sample = judged.select("toxic", "f0", "f1", "f2", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toArrow()
-    x = np.stack([sample.column(f"f{i}").to_numpy() for i in range(3)], 1)
+    judged = map_texts(rows.where(sampled), "text", lambda: lambda t: [pa.array(c) for c in sent.value.features(t).T], "f0 double, f1 double")
+    sample = judged.select("toxic", "f0", "f1", F.xxhash64("id").alias("h")).orderBy("h", "toxic", "f0").limit(calibration_rows).toArrow()
+    x = np.stack([sample.column(f"f{i}").to_numpy() for i in range(2)], 1)
     curve = fit_curve(x, sample.column("toxic").to_numpy().astype(float)) if len(x) else None
     return Judge(sent, curve)
 
