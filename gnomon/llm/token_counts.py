@@ -1,7 +1,7 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Each task takes its Arrow batches, cuts the texts at safe boundaries and hands
-the library batches of about equal bytes.  For this kind of vocabulary (white
+Each task takes its Arrow batches, cuts the texts at safe boundaries, pools the
+pieces of all texts of a batch, and hands the library batches of about equal bytes.  For this kind of vocabulary (white
 space is dropped and no token crosses it) every ASCII white-space run is a safe
 boundary: the tokens of a text are the tokens of its pieces, in order.  Only
 the lengths leave the encoder; a bounded memory of lengths spares it pieces
@@ -26,6 +26,8 @@ from .common import table, text_or_empty
 
 #: Bytes of pieces that the encoder gets at once.
 BATCH_BYTES = 1 << 18
+#: Bytes of texts whose pieces wait for one another at most.
+HELD_BYTES = 8 << 20
 #: Bytes of one text that are cut into pieces at once.
 SLICE_BYTES = 1 << 20
 #: Pieces whose lengths a worker remembers, and the longest of them in bytes.
@@ -75,23 +77,42 @@ class LengthCounter:
                 batch, size = [], 0
 
     def count(self, texts: list[bytes]) -> list[int]:
-        """Tokens of each UTF-8 text."""
-        out = []
-        for raw in texts:
-            total = 0
+        """Tokens of each UTF-8 text.
+
+        Pieces that are not remembered wait until there are ``batch_bytes`` of
+        them, whatever texts they come from; the texts that have them wait too.
+        """
+        out = [0] * len(texts)
+        waiting: list[tuple[int, list[bytes]]] = []
+        new: set[bytes] = set()
+        size = held = 0
+
+        def settle() -> None:
+            nonlocal new, size, held
+            if new:
+                self._encode(list(new))
+            for i, pieces in waiting:
+                out[i] += sum(map(self._memo.__getitem__, pieces))
+            if len(self._memo) > MEMO_PIECES:
+                self._memo.clear()
+            else:
+                for piece in new:
+                    if len(piece) > MEMO_PIECE_BYTES:
+                        del self._memo[piece]
+            waiting.clear()
+            new, size, held = set(), 0, 0
+
+        for i, raw in enumerate(texts):
             for part in safe_slices(raw, SLICE_BYTES):
                 pieces = part.split()
-                new = set(pieces).difference(self._memo)
-                if new:
-                    self._encode(list(new))
-                total += sum(map(self._memo.__getitem__, pieces))
-                if len(self._memo) > MEMO_PIECES:
-                    self._memo.clear()
-                else:
-                    for piece in new:
-                        if len(piece) > MEMO_PIECE_BYTES:
-                            del self._memo[piece]
-            out.append(total)
+                fresh = set(pieces).difference(self._memo, new)
+                new |= fresh
+                size += sum(map(len, fresh))
+                held += len(part)
+                waiting.append((i, pieces))
+                if size >= self._batch_bytes or held >= HELD_BYTES:
+                    settle()
+        settle()
         return out
 
 
