@@ -30,6 +30,8 @@ from .common import hex_number, table, text_or_empty
 SHARDS = 24
 #: Blocks of each shard whose rows are ordered by one task.
 BLOCKS = 1024
+#: Rows of the table of blocks' first slots up to which it is broadcast.
+BROADCAST_STARTS = 1_000_000
 #: Bytes that each row counts besides its text.
 ROW_BYTES = 8
 
@@ -103,7 +105,8 @@ def shard_documents(
     """``(id, size, text_crc32, shard, slot, grown_shard)`` of every row.
 
     The only broadcast table has one row per shard and block, at most
-    ``len(leaves) * blocks``.
+    ``len(leaves) * blocks``; beyond ``BROADCAST_STARTS`` rows it is joined by a
+    shuffle.
     """
     key = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
     block = hex_number(F.substring(F.md5(F.concat(key, F.lit("|block"))), 1, 8)) % blocks
@@ -118,7 +121,8 @@ def shard_documents(
     starts = counts.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "block").orderBy("__id", "crc", "n")
     rows = placed(full).withColumn("at", F.row_number().over(inside).cast("long"))
-    return rows.join(F.broadcast(starts), ["shard", "block"]).select(
+    starts = F.broadcast(starts) if len(leaves) * blocks <= BROADCAST_STARTS else starts
+    return rows.join(starts, ["shard", "block"]).select(
         F.col("__id").alias(id_col),
         (F.col("n") + ROW_BYTES).alias("size"),
         F.col("crc").alias("text_crc32"),
