@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, mark, materialize
 from .common import NULL_ID, table, text_or_empty
 
 WINDOW = 20
@@ -350,7 +351,7 @@ def plan_buckets(docs: DataFrame, window: int = WINDOW, *, sample: int | None =
     bucket should have, so there can't be more of them than buckets.
     """
 
-    sample = sample or SAMPLE
+    sample, began = sample or SAMPLE, mark()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(1, window)
@@ -360,11 +361,13 @@ def plan_buckets(docs: DataFrame, window: int = WINDOW, *, sample: int | None =
             yield pa.RecordBatch.from_arrays([lows, pa.array(np.append(n, n.sum())), pa.array(np.append(np.zeros(len(n), np.int64), sum(map(len, texts))))], names=["low", "n", "bytes"])
 
     counted = docs.where(F.pmod(F.xxhash64("id", "key"), F.lit(sample)) == 0).select("id", "key", "text").mapInArrow(count, "low long, n long, bytes long")
-    # the row without a minimiser has the sums, and so comes first
-    top = counted.groupBy("low").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).orderBy(F.desc("n"), F.asc_nulls_first("low")).limit(MOST_FREQUENT).collect()
-    total, size = (top[0]["n"], top[0]["bytes"]) if top else (0, 0)
+    counted = materialize(counted.groupBy("low").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")), "repeats-minimisers")
+    sums = counted.where(F.col("low").isNull()).first()  # the row without a minimiser has the sums
+    total, size = (sums["n"], sums["bytes"]) if sums else (0, 0)
     buckets = max(BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * sample * GROWTH // bucket_bytes))
-    return buckets, np.array([r["low"] for r in top[1:] if r["n"] * buckets >= total], np.int64).view(np.uint64)
+    many = counted.where(F.col("low").isNotNull() & (F.col("n") * buckets >= total)).orderBy(F.desc("n"), "low").limit(MOST_FREQUENT).collect()
+    discard(began)
+    return buckets, np.array([r["low"] for r in many], np.int64).view(np.uint64)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
