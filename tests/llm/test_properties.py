@@ -12,19 +12,21 @@ words = st.lists(st.sampled_from(["a", "b", "cc", "ä", "😀"]), max_size=40)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(words, min_size=1, max_size=8), st.integers(1, 3))
-def test_packed_windows_repeat_as_counted(docs, minimiser):
-    k = 4
+@given(st.lists(words, min_size=1, max_size=8), st.integers(1, 3), st.booleans(), st.sampled_from([4, 12]), st.sampled_from([1, 40, 1 << 20]))
+def test_packed_windows_repeat_as_counted(docs, minimiser, split, k, most_bytes):
     texts = [" ".join(d).encode() for d in docs]
     half = len(texts) // 2
-    payloads = []
+    frequent = substring_dedup.Packer(1, k, minimiser).count(texts)[0] if split else None
+    buckets = {}
     for part in (range(half), range(half, len(texts))):
-        packer = substring_dedup.Packer(1, k, minimiser)
-        payloads += [p for _, p in packer.pack(list(part), [0] * len(part), [texts[i] for i in part])]
+        packer = substring_dedup.Packer(3, k, minimiser, frequent)
+        for bucket, payload in packer.pack(list(part), [0] * len(part), [texts[i] for i in part]):
+            buckets.setdefault(bucket, []).append(payload)
     gone = [set() for _ in docs]
-    for found in substring_dedup.repeats(payloads, k) if payloads else []:
-        for doc, _, first, past in found.T.tolist():
-            gone[doc] |= set(range(first, past))
+    for payloads in buckets.values():
+        for found in substring_dedup.repeats(payloads, k, most_bytes):
+            for doc, _, first, past in found.T.tolist():
+                gone[doc] |= set(range(first, past))
     first_at, want = {}, [set() for _ in docs]
     for i, d in enumerate(docs):
         for j in range(len(d) - k + 1):

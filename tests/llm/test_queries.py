@@ -76,6 +76,17 @@ def test_token_counts_are_the_librarys(spark, odd):
     assert got == want
 
 
+def test_encoder_gets_pieces_of_many_texts_at_once():
+    counter = token_counts.LengthCounter(token_counts.default_vocabulary(), batch_bytes=4000)
+    calls, encode = [], counter._encode
+    counter._encode = lambda pieces: (calls.append(sum(map(len, pieces))), encode(pieces))
+    texts = [f"word{i} another{i} {'x' * (i % 60)}".encode() for i in range(1000)] + [b"", b"word1 " * 3]
+    got = counter.count(texts)
+    assert len(calls) < 20 and all(4000 <= n < 4200 for n in calls[:-1])
+    fresh = token_counts.LengthCounter(token_counts.default_vocabulary())
+    assert got == [len(fresh._encoder.encode(t.decode(), add_special_tokens=False)) for t in texts]
+
+
 def test_slices_join_to_the_text_and_cut_at_white_space():
     raw = ("ab cde\tf " * 500).encode()
     parts = list(token_counts.safe_slices(raw, 64))
@@ -155,6 +166,62 @@ def test_grams_are_those_of_each_text_alone():
         assert (packed[owner == i] == alone).all()
 
 
+def test_no_two_characters_share_codes():
+    points = np.concatenate([np.arange(0x80, 0xD800), np.arange(0xE000, 0x110000)])
+    seen = Counter()
+    for part in np.array_split(points, 50):
+        codes = toxicity._coded(part)
+        assert codes.max() < 1 << toxicity.BITS
+        leads = (codes >= toxicity.DIRECT) & (codes < toxicity.DIRECT + 1024)
+        trails = codes >= toxicity.DIRECT + 1024
+        assert (np.flatnonzero(leads) + 1 == np.flatnonzero(trails)).all()
+        seen.update(zip(codes[leads].tolist(), codes[trails].tolist(), strict=True))
+        seen.update(codes[~leads & ~trails].tolist())
+    assert len(seen) == len(points) and max(seen.values()) == 1
+    packed, _ = toxicity.grams(["日本"])
+    assert len(packed) == len(toxicity.grams(["abcd"])[0])
+
+
+def brute_kneser_ney(texts: list[str]):
+    """P(character | four before it) of one class, backing off to order 2 given as counts; by dictionaries."""
+    five = Counter()
+    for t in texts:
+        padded = " " * 5 + t + " "
+        for i in range(4, len(padded)):
+            five[padded[i - 4 : i + 1]] += 1
+    levels = {5: five}
+    for n in (4, 3, 2):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    return levels
+
+
+def test_models_are_those_of_counting_by_hand(spark):
+    """A small alphabet; every gram's ratio against interpolated Kneser-Ney written with dictionaries."""
+    rng = random.Random(13)
+    texts = [("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 25))).strip() or "a", y) for y in (0, 1) for _ in range(30)]
+    texts = [(" ".join(t.split()), y) for t, y in texts]
+    rows = spark.createDataFrame(texts, "text string, toxic int")
+    model = toxicity.Model(toxicity._tables(toxicity.count_grams(rows)))
+    levels = [brute_kneser_ney([t for t, y in texts if y == label]) for label in (0, 1)]
+    shared = levels[0][2] + levels[1][2]
+
+    def probability(gram: str, label: int) -> float:
+        p = (shared[gram[-2:]] + toxicity.FLOOR) / (sum(v for g, v in shared.items() if g[0] == gram[-2]) + toxicity.FLOOR * toxicity.ALPHABET)
+        for n in (3, 4, 5):
+            counts, own = levels[label][n], gram[-n:]
+            after = [v for g, v in counts.items() if g[:-1] == own[:-1]]
+            if after:
+                p = max(counts[own] - toxicity.DISCOUNT, 0) / sum(after) + toxicity.DISCOUNT * len(after) / sum(after) * p
+        return p
+
+    wanted = sorted(g for g in set(levels[0][5]) | set(levels[1][5]))
+    assert len(wanted) > 150
+    packed = np.array([sum((1 if c == " " else ord(c)) << toxicity.BITS * (4 - i) for i, c in enumerate(g)) for g in wanted])
+    got = model.ratios(packed)
+    want = [np.log(probability(g, 1) / probability(g, 0)) for g in wanted]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_toxic_texts_are_told_apart(spark, tmp_path):
     rng = random.Random(5)
     calm, rude = [f"{a}{b}" for a in "bdfglm" for b in ("one", "ato", "ire", "ul")], ["vilegrub", "foulnit", "grubscum"]
@@ -287,6 +354,32 @@ def test_texts_under_one_id_keep_to_their_own_spans(spark, tmp_path):
     assert got == {30: 0, 33: 30, 31: 0}
 
 
+def test_thousands_of_rows_without_an_id_lose_only_what_repeats(spark, tmp_path):
+    """Half of 4,000 texts under the null id share a passage at the same place; the last text has over 10 MB."""
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(str(rng.random()) for _ in range(25)) + (f" {passage}" if i % 2 else "") for i in range(4000)]
+    long = " ".join(str(rng.random()) for _ in range(600_000))
+    rows = [*((None, t) for t in texts), *((None, texts[1]) for _ in range(50)), (5, passage), (6, long), (7, long[: 1 << 20].rsplit(" ", 1)[0])]
+    assert len(long) > 10 << 20
+    folder = write(tmp_path, documents=documents(rows))
+    got = Counter(tuple(r) for r in substring_dedup.op6_substring_dedup(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == brute_repeats(rows, 20)
+
+
+def test_frequent_minimisers_are_found_and_change_nothing(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(200)))) for i in range(120)]
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    docs = spark.createDataFrame(rows, "id long, text string").withColumn("key", F.xxhash64("text"))
+    buckets, frequent = substring_dedup.plan_buckets(docs, sample=1)
+    assert buckets == 16 and 0 < len(frequent) <= 16
+    assert substring_dedup.plan_buckets(docs, sample=1, bucket_bytes=100)[0] > 16
+    folder = write(tmp_path, documents=documents(rows))
+    got = Counter(tuple(r) for r in substring_dedup.op6_substring_dedup(spark, folder).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == brute_repeats(rows, 20)
+
+
 def test_equal_hashes_do_not_make_equal_windows(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_mix", lambda x: x * np.uint64(0))
     packer = substring_dedup.Packer(1, window=3, minimiser=2)
@@ -329,10 +422,46 @@ def test_classes_match_brute_force(spark, tmp_path):
 
 def test_cells_find_links_between_members():
     sets = [np.arange(30 * i, 30 * i + 400, dtype=np.int32) for i in range(3)] + [np.arange(10**6, 10**6 + 400, dtype=np.int32)]
-    sigs, all_of = np.ones((4, 25, 5), np.uint32), np.arange(4)
-    links = near_dedup.cell_links(0, np.arange(4), np.arange(4), sigs, sets, all_of, all_of, 0.8)
+    bands, all_of = np.ones((4, 25), np.int64), np.arange(4)
+    links = near_dedup.cell_links(0, np.arange(4), np.arange(4), bands, sets, all_of, all_of, 0.8)
     assert {frozenset(x) for x in links} == {frozenset((0, 1)), frozenset((1, 2))}
-    assert near_dedup.cell_links(1, np.arange(4), np.arange(4), sigs, sets, all_of, all_of, 0.8) == []
+    assert near_dedup.cell_links(1, np.arange(4), np.arange(4), bands, sets, all_of, all_of, 0.8) == []
+
+
+def test_cells_lose_no_pair_at_the_threshold():
+    """Random sets with many pairs near 0.8, against all pairs: the classes are the same."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = 40
+        base = rng.choice(10**6, 60, replace=False)
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(45, 60), replace=False), rng.choice(10**6, rng.integers(0, 12))])).astype(np.int32) for _ in range(n)]
+        half = np.arange(n) % 2 == 0
+        rows, cols = np.flatnonzero(half), np.flatnonzero(~half)
+        links = near_dedup.cell_links(0, np.arange(n), np.arange(n), np.zeros((n, 25), np.int64), sets, rows, cols, 0.8)
+        pairs = [(a, b) for a in rows for b in cols if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+
+        def classes(edges):
+            top = list(range(n))
+            for a, b in edges:
+                x, y = top[a], top[b]
+                top = [x if t == y else t for t in top]
+            return [min(j for j in range(n) if top[j] == top[i]) for i in range(n)]
+
+        assert set(map(tuple, links)) <= {(int(a), int(b)) for a, b in pairs} and classes(links) == classes(pairs)
+
+
+def test_texts_under_one_id_are_nodes_of_their_own(spark, tmp_path):
+    rng = random.Random(12)
+    one, two = (" ".join(str(rng.random()) for _ in range(60)) for _ in "ab")
+    rows = [(1, one), (1, two), (1, two), (2, two + " end"), (3, one), (None, one + " end")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    classes = {}
+    for r in found:
+        classes.setdefault(r.class_id, []).append((r.doc_id, r.representative))
+    assert sorted(({d for d, _ in x} for x in classes.values()), key=repr) == sorted([{1, 3, None}, {1, 2}], key=repr)
+    # every class keeps one text (twice where the row that stands for it is there twice)
+    kept = {c: {d for d, r in x if r} for c, x in classes.items()}
+    assert all(len(x) == 1 for x in kept.values())
 
 
 # --- 8 to 10 --------------------------------------------------------------------------------------------------
@@ -361,6 +490,34 @@ def test_spans_point_into_the_original(spark):
         assert [row["text"][s.begin : s.end] for s in row["spans"]] == ["fox"]
 
 
+def test_scanner_finds_windows_of_words_of_any_number_of_symbols():
+    """A vocabulary that needs words of one, two and three symbols, against all windows of all items."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(12_000)]
+    items = [(str(i), " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 9, 10, 25, 60])))) for i in range(900)]
+    items += [("dup", items[0][1]), ("all", " ".join(vocabulary))]
+    scanner = decontamination.Scanner(items)
+    windows = {}
+    for name, text in items:
+        w = text.split()
+        for j in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[j : j + 10]), set()).add(name)
+    for _ in range(60):
+        own = [rng.choice(vocabulary) for _ in range(200)]
+        for _ in range(3):
+            source, at = rng.choice(items)[1].split(), rng.randrange(180)
+            first = rng.randrange(len(source))
+            own[at : at + 15] = source[first : first + 15]
+        hit, names = set(), set()
+        for n in {len(k) for k in windows}:
+            for j in range(len(own) - n + 1):
+                if tuple(own[j : j + n]) in windows:
+                    hit |= set(range(j, j + n))
+                    names |= windows[tuple(own[j : j + n])]
+        n, spans, found = scanner.scan(" ".join(own))
+        assert {w for a, b in spans for w in range(a, b)} == hit and found == sorted(names)
+
+
 def test_quotes_are_linked_at_their_level(spark):
     rows = [(1, 0, "user", "alpha\nbeta"), (1, 1, "bot", "> alpha\ngamma"), (1, 2, "user", ">> beta\n> GAMMA\ndelta"), (1, 3, "bot", "> nobody said\nend")]
     out = {r.turn: r for r in chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -382,3 +539,43 @@ def test_rewrapped_runs_and_paragraphs_are_linked(spark):
     out = {r.turn: r for r in chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(out[i].link, out[i].reply_to) for i in (3, 4, 5)] == [("quote", 0), ("quote", 2), ("quote", 0)]
     assert out[4].n_linked == 2
+
+
+def test_answers_follow_what_they_answer_thread_by_thread(spark):
+    rows = [
+        (1, 0, "a", "start here"),
+        (1, 1, "b", "first thread"),
+        (1, 2, "c", "> start here\nsecond thread"),
+        (1, 3, "b", "> first thread\nmore of one"),
+        (1, 4, "c", "> second thread\nmore of two"),
+        (1, 5, "b", "> more of one\nend of one"),
+        (1, 6, "d", "> first thread\naside"),
+        (1, None, "e", "> aside\nlost"),
+    ]
+    out = sorted(chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r.position)
+    assert [r.turn for r in out] == [0, 1, 3, 5, 6, 2, 4, None]
+    assert [r.thread for r in out] == [None, None, None, None, 6, 2, 2, None] and [r.depth for r in out] == [0, 0, 0, 0, 1, 1, 1, 0]
+
+
+def test_threads_match_sql_on_quoting_conversations(spark, tmp_path, monkeypatch):
+    """Random interleaved threads that quote lines, paragraphs, runs and whole messages, over many blocks."""
+    monkeypatch.setattr(chat_format, "BLOCK", 4)
+    rng = random.Random(14)
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(rng.choice([1, 5, 30])):
+            own = "\n".join(rng.choice(["", *(" ".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(4))]) for _ in range(rng.randrange(1, 5)))
+            quoted = ""
+            for _ in range(rng.randrange(3) if said else 0):
+                lines = rng.choice(said).split("\n")
+                first = rng.randrange(len(lines))
+                part = lines[first : first + rng.randrange(1, 4)]
+                quoted += "".join(f"{rng.choice(['> ', '>> ', '>'])}{x}\n" for x in (part if rng.random() < 0.6 else [" ".join(part)])) + rng.choice(["", "ok\n"])
+            said.append(own)
+            rows.append((conv, turn * rng.choice([1, 1, 2]) if rng.random() < 0.95 else None, rng.choice(["u", "v"]), quoted + own))
+    table = pa.table({"conv_id": pa.array([r[0] for r in rows], pa.int64()), "turn": pa.array([r[1] for r in rows], pa.int64()), "role": pa.array([r[2] for r in rows]), "text": pa.array([r[3] for r in rows])})
+    folder = write(tmp_path, conversations=table)
+    df = chat_format.op10_chat_formatting(spark, folder).cache()
+    assert df.where("depth > 1").count() > 20 and df.where("link = 'quote'").count() > 100
+    same(df, chat_format.OP10_SQL, folder)
