@@ -9,17 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- keys -----------------------------------------------------------------------------------------------------
-
-#: Identifier types of each security type, most preferred first.
-IDENTIFIERS = {
-    "EQUITY": ("figi", "isin", "cusip", "sedol", "ticker"),
-    "BOND": ("isin", "cusip", "figi", "ticker"),
-    "ETF": ("figi", "isin", "ticker"),
-    "CRYPTO": ("symbol", "ticker"),
-    "FUTURE": ("figi", "ticker"),
-}
+from .fixed import CFI, CFI_FIRST, CREDIT_TIERS, ESG, IDENTIFIERS, MARKETS, MOODY_RATINGS, SP_RATINGS
 
+# --- keys -----------------------------------------------------------------------------------------------------
 
 def base_id(text: str = "bpk"):
     """XXH64 with seed 0 of the UTF-8 text, as a signed long.
@@ -36,13 +28,26 @@ def base_id(text: str = "bpk"):
     return hashed(F.col(text))
 
 
-def business_key(kind: Column, identifiers: dict[str, Column], order: tuple[str, ...]) -> Column:
-    """``KIND|IDTYPE|VALUE`` with the first identifier present; null without one."""
-    return F.coalesce(*(F.when(F.trim(identifiers[i]) != "", F.concat_ws("|", F.upper(kind), F.lit(i.upper()), F.trim(identifiers[i]))) for i in order if i in identifiers))
+def business_key(kind: Column, identifiers: dict[str, Column]) -> Column:
+    """``KIND|IDTYPE|VALUE`` with the first identifier, in the kind's order, that is not empty; null without one or for an unknown kind."""
+    given = {name.upper(): value for name, value in identifiers.items()}
+    kind, out = F.upper(kind), F.lit(None).cast("string")
+    for name, order in IDENTIFIERS.items():
+        found = [F.when(given[i] != "", F.concat_ws("|", F.lit(name), F.lit(i), given[i])) for i in order if i in given]
+        if found:
+            out = F.when(kind == name, F.coalesce(*found)).otherwise(out)
+    return out
 
 
-def valid_business_key(key: Column) -> Column:
-    return F.coalesce(key.rlike(r"^[A-Z_]+\|[A-Z_]+\|[^|]+$"), F.lit(False))
+def valid_business_key(key: Column, entity: str = "security") -> Column:
+    """Whether a key is not empty, has no blanks around it, and the parts of its entity: three of a security, two of a model."""
+    ok = (key != "") & (key == F.trim(key))
+    parts = F.split(key, r"\|", -1)
+    if entity == "security":
+        ok = ok & (F.size(parts) == 3) & F.try_element_at(parts, F.lit(1)).isin(*IDENTIFIERS) & (F.try_element_at(parts, F.lit(3)) != "")
+    elif entity == "model":
+        ok = ok & (F.size(parts) == 2)
+    return F.coalesce(ok, F.lit(False))
 
 
 def version_stamp(base: Column, number: Column) -> Column:
@@ -178,35 +183,58 @@ def first_number(text: Column) -> Column:
 
 # --- ladders --------------------------------------------------------------------------------------------------
 
-#: The rating ladder of one agency, best first, and the other's names for the same notches.
-RATINGS = ("AAA", "AA+", "AA", "AA-", "A+", "A", "A-", "BBB+", "BBB", "BBB-", "BB+", "BB", "BB-", "B+", "B", "B-", "CCC+", "CCC", "CCC-", "CC", "C", "D")
-RATINGS_OTHER = ("Aaa", "Aa1", "Aa2", "Aa3", "A1", "A2", "A3", "Baa1", "Baa2", "Baa3", "Ba1", "Ba2", "Ba3", "B1", "B2", "B3", "Caa1", "Caa2", "Caa3", "Ca", "C", "D")
-#: First letters of a CFI code.
-CFI = {"ES": ("EQUITY", "COMMON"), "EP": ("EQUITY", "PREFERRED"), "DB": ("DEBT", "BOND"), "DC": ("DEBT", "CONVERTIBLE"), "CE": ("FUND", "ETF"), "CI": ("FUND", "OPEN_END"), "OC": ("OPTION", "CALL"), "OP": ("OPTION", "PUT"), "FF": ("FUTURE", "FINANCIAL"), "FC": ("FUTURE", "COMMODITY")}
-CFI_CLASS = {"E": "EQUITY", "D": "DEBT", "C": "FUND", "O": "OPTION", "F": "FUTURE", "S": "SWAP", "R": "RIGHT", "I": "SPOT", "M": "OTHER"}
-
 
 def lookup(key: Column, table: dict) -> Column:
     """A small map as an expression."""
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
-def notch(rating: Column) -> Column:
-    """Place on the ladder, by either agency's name; 0 is best."""
-    return F.coalesce(lookup(rating, {r: i for i, r in enumerate(RATINGS)}), lookup(rating, {r: i for i, r in enumerate(RATINGS_OTHER)}))
+def credit_rank(rating: Column, agency: str) -> Column:
+    """Rank of a rating from 1 (best) on the ladder of ``sp`` (letters of any case) or ``moody`` (as they are written)."""
+    if agency == "sp":
+        return lookup(F.upper(F.trim(rating)), {r: i for i, r in enumerate(SP_RATINGS, 1)})
+    return lookup(F.trim(rating), {r: i for i, r in enumerate(MOODY_RATINGS, 1)})
+
+
+def credit_tier(rank: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for tier, last in reversed(CREDIT_TIERS.items()):
+        out = F.when(rank <= last, tier).otherwise(out)
+    return out
+
+
+def moody_of_sp(rating: Column) -> Column:
+    """The other agency's name of the same rank; it has none for the last one."""
+    return F.try_element_at(F.array(*map(F.lit, MOODY_RATINGS)), credit_rank(rating, "sp"))
+
+
+def compare_ratings(sp: Column, moody: Column) -> list[Column]:
+    """Ranks apart, whether both agree on investment grade, and whether the issuer is split rated; null where one is unknown."""
+    a, b = credit_rank(sp, "sp"), credit_rank(moody, "moody")
+    grade = CREDIT_TIERS["INVESTMENT_GRADE"]
+    agree = (a <= grade) == (b <= grade)
+    return [F.abs(a - b).alias("notch_difference"), agree.alias("ig_agreement"), (~agree).alias("split_rated")]
+
+
+def market_tier(country: Column) -> list[Column]:
+    """Tier and region of a country by its code."""
+    code = F.upper(F.trim(country))
+    tier = {c: t for t, regions in MARKETS.items() for codes in regions.values() for c in codes}
+    region = {c: r for regions in MARKETS.values() for r, codes in regions.items() for c in codes}
+    return [lookup(code, tier).alias("market_tier"), lookup(code, region).alias("region")]
 
 
-def rating_tier(rating: Column) -> Column:
-    n = notch(rating)
-    return F.when(n <= 3, "PRIME").when(n <= 9, "INVESTMENT").when(n <= 15, "SPECULATIVE").when(n.isNotNull(), "DISTRESSED")
+def esg_tier(rating: Column) -> list[Column]:
+    """Tier and number of an ESG rating."""
+    code = F.upper(F.trim(rating))
+    return [lookup(code, {k: v[0] for k, v in ESG.items()}).alias("esg_tier"), lookup(code, {k: v[1] for k, v in ESG.items()}).alias("esg_number")]
 
 
 def cfi_decode(code: Column) -> list[Column]:
-    """Class and type of a CFI code by its first two letters, else the class by the first; null below two letters."""
+    """Class, type and settlement of a CFI code by its first two letters, else by the first; null below two letters."""
     two, one = F.upper(F.substring(code, 1, 2)), F.upper(F.substring(code, 1, 1))
-    ok = F.length(code) >= 2
-    cls = F.coalesce(lookup(two, {k: v[0] for k, v in CFI.items()}), lookup(one, CFI_CLASS))
-    return [F.when(ok, cls).alias("asset_class"), F.when(ok, lookup(two, {k: v[1] for k, v in CFI.items()})).alias("asset_type")]
+    of = lambda i: F.when(F.length(code) >= 2, F.coalesce(lookup(two, {k: v[i] for k, v in CFI.items()}), lookup(one, {k: v[i] for k, v in CFI_FIRST.items()})))
+    return [of(0).alias("asset_class"), of(1).alias("asset_type"), of(2).alias("settlement")]
 
 
 # --- vectors --------------------------------------------------------------------------------------------------

@@ -130,15 +130,19 @@ def threshold_probability(members: DataFrame, *, keys: list[str], value: str, th
     return members.groupBy(*keys).agg(F.avg(hit.cast("int")).alias("probability"), F.count(value).alias("members"))
 
 
-def overreaction(snapshots: DataFrame, *, market: str, ts: str, price: str, hours: tuple[int, ...] = (6, 12, 24), tolerance: int = 1800) -> DataFrame:
+def overreaction(snapshots: DataFrame, *, market: str, ts: str, price: str, tie: str, hours: tuple[int, ...] = (6, 12, 24), tolerance: int = 1800) -> DataFrame:
     """Largest move of each snapshot against the newest one around some hours earlier; the best snapshot of each market."""
     w = Window.partitionBy(market).orderBy("__t")
     rows = snapshots.withColumn("__t", F.unix_seconds(ts))
+    point = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(price).alias("price"))
+    moves = []
     for h in hours:
-        rows = rows.withColumn(f"__m{h}", F.col(price) / F.last(price, ignorenulls=True).over(w.rangeBetween(-h * 3600 - tolerance, -h * 3600 + tolerance)) - 1)
-    best = F.array_max(F.array_compact(F.array(*(F.when(F.col(f"__m{h}").isNotNull(), F.struct(F.abs(f"__m{h}").alias("size"), F.col(f"__m{h}").alias("move"), F.lit(h).alias("hours"))) for h in hours))))
-    rows = rows.withColumn("__b", best).where(F.col("__b").isNotNull())
-    return rows.groupBy(market).agg(F.max_by(F.struct("__b.move", "__b.hours", F.col(ts)), F.struct("__b.size", "__t")).alias("r")).select(market, "r.*")
+        rows = rows.withColumn(f"__p{h}", F.max(point).over(w.rangeBetween(-h * 3600 - tolerance, -h * 3600 + tolerance))["price"])
+        move = F.col(price) / F.nullif(F.col(f"__p{h}"), F.lit(0.0)) - 1
+        moves.append(F.when(move.isNotNull(), F.struct(F.abs(move).alias("size"), F.lit(h).alias("hours"), move.alias("move"))))
+    rows = rows.withColumn("__b", F.array_max(F.array_compact(F.array(*moves)))).where(F.col("__b").isNotNull())
+    best = F.max_by(F.struct("__b.move", "__b.hours", F.col(ts)), F.struct("__b.size", "__b.hours", F.col(ts), F.col(tie)))
+    return rows.groupBy(market).agg(best.alias("r")).select(market, "r.*")
 
 
 def health(df: DataFrame, *, failures: str, age_hours: str) -> Column:

@@ -8,7 +8,8 @@ from ..functions import calendar as C
 from ..functions import scalars as S
 from ..operators import portfolio, regimes, scans, statistics, windows
 from .base import BARS, DAILY, TRADES, bars, daily, query, t, trades
-from .param_grids import FUNDING_GRID, GRIDBOT_GRID, PAIRS_GRID, TA_GRID, grid
+from ..functions.fixed import BARRIER_AXES, CFI, CFI_FIRST, ESG, FUNDING_AXES, GRIDBOT_AXES, IDENTIFIERS, MARKETS, MOODY_RATINGS, PAIRS_AXES, SP_RATINGS, TA_AXES
+from . import param_grids
 
 K = {"keys": ["asset"], "order": ["ts"]}
 
@@ -16,10 +17,17 @@ K = {"keys": ["asset"], "order": ["ts"]}
 # --- scalars --------------------------------------------------------------------------------------------------
 
 
-@query("business_keys", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'EQUITY|FIGI|F' || c_custkey::VARCHAR ELSE 'EQUITY|TICKER|' || c_name END AS bpk FROM customer")
+_KINDS = ", ".join(f"'{k}'" for k in [*IDENTIFIERS, "OTHER"])
+_ID_TYPES = list(dict.fromkeys(i for order in IDENTIFIERS.values() for i in order))
+_KEY_SQL = " ".join(f"WHEN '{k}' THEN coalesce({', '.join(f'{chr(39)}{k}|{i}|{chr(39)} || {i}' for i in order)})" for k, order in IDENTIFIERS.items())
+
+
+@query("business_keys", f"WITH c AS (SELECT c_custkey, [{_KINDS}][c_custkey % 9 + 1] AS kind, {', '.join(f'CASE WHEN c_custkey % {n + 2} = 0 THEN c_name || {n} END AS {i}' for n, i in enumerate(_ID_TYPES))} FROM customer) SELECT c_custkey, CASE kind {_KEY_SQL} END AS bpk FROM c")
 def _(spark, sf):
-    ids = {"figi": F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("F"), F.col("c_custkey").cast("string"))), "ticker": F.col("c_name")}
-    return t(spark, sf, "customer").select("c_custkey", S.business_key(F.lit("equity"), ids, S.IDENTIFIERS["EQUITY"]).alias("bpk"))
+    k = F.col("c_custkey")
+    ids = {i.lower(): F.when(k % (n + 2) == 0, F.concat("c_name", F.lit(str(n)))) for n, i in enumerate(_ID_TYPES)}
+    kind = F.lower(F.element_at(F.array(*(F.lit(x) for x in [*IDENTIFIERS, "OTHER"])), (k % 9 + 1).cast("int")))
+    return t(spark, sf, "customer").select("c_custkey", S.business_key(kind, ids).alias("bpk"))
 
 
 @query("base_ids")
@@ -142,19 +150,57 @@ def _(spark, sf):
     return t(spark, sf, "events").select("event_id", F.round(S.fahrenheit(v), 6).alias("f"), F.round(S.spread_bps(v, v + 1), 6).alias("bps"))
 
 
-@query("rating_ladder", "SELECT * FROM (VALUES ('AAA', 0, 'PRIME', 0), ('BBB-', 9, 'INVESTMENT', 0), ('B1', 13, 'SPECULATIVE', 13), ('Caa2', 17, 'DISTRESSED', 17), ('?', NULL::INTEGER, NULL, NULL::INTEGER)) v(rating, notch, tier, again)")
+def _values(rows) -> str:
+    """Rows of strings, numbers and nulls as SQL."""
+    one = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+    return ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+def _coded(spark, sf, codes: list[str]):
+    """Every customer with one of the codes, as they are written by hand: some in lower case, some with blanks around."""
+    k = F.col("c_custkey")
+    code = F.element_at(F.array(*map(F.lit, codes)), (k % len(codes) + 1).cast("int"))
+    return t(spark, sf, "customer").select("c_custkey", F.when(k % 7 == 0, F.lower(code)).when(k % 5 == 0, F.concat(F.lit(" "), code, F.lit(" "))).otherwise(code).alias("code"))
+
+
+def _coded_sql(codes: list[str]) -> str:
+    return f"c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN lower(x) WHEN c_custkey % 5 = 0 THEN ' ' || x || ' ' ELSE x END AS code FROM (SELECT c_custkey, [{', '.join(repr(c) for c in codes)}][c_custkey % {len(codes)} + 1] AS x FROM customer))"
+
+
+_RATED = [*SP_RATINGS, *MOODY_RATINGS, "?"]
+_SP = [(r, i, "INVESTMENT_GRADE" if i <= 10 else "HIGH_YIELD" if i <= 16 else "DISTRESSED") for i, r in enumerate(SP_RATINGS, 1)]
+_MOODY = [(r, i, "INVESTMENT_GRADE" if i <= 10 else "HIGH_YIELD" if i <= 16 else "DISTRESSED") for i, r in enumerate(MOODY_RATINGS, 1)]
+
+
+@query("rating_ladder", f"WITH {_coded_sql(_RATED)}, s(r, n, tier) AS (VALUES {_values(_SP)}), m(r, n, tier) AS (VALUES {_values(_MOODY)}) SELECT c_custkey, s.n AS sp_rank, s.tier AS sp_tier, m.n AS moody_rank, m.tier AS moody_tier, (SELECT r FROM m x WHERE x.n = s.n) AS moody_name, abs(s.n - m.n) AS notch_difference, s.tier = 'INVESTMENT_GRADE' AND m.tier = 'INVESTMENT_GRADE' OR s.tier <> 'INVESTMENT_GRADE' AND m.tier <> 'INVESTMENT_GRADE' AS ig_agreement FROM c LEFT JOIN s ON s.r = upper(trim(code)) LEFT JOIN m ON m.r = trim(code)")
 def _(spark, sf):
-    from .param_grids import literal
+    c = F.col("code")
+    sp, moody = S.credit_rank(c, "sp"), S.credit_rank(c, "moody")
+    both = S.compare_ratings(c, c)[:2]
+    return _coded(spark, sf, _RATED).select("c_custkey", sp.alias("sp_rank"), S.credit_tier(sp).alias("sp_tier"), moody.alias("moody_rank"), S.credit_tier(moody).alias("moody_tier"), S.moody_of_sp(c).alias("moody_name"), *both)
+
 
-    r = literal(spark, ["rating", "again0"], [("AAA", 0), ("BBB-", 0), ("B1", 13), ("Caa2", 17), ("?", None)])
-    return r.select("rating", S.notch(F.col("rating")).alias("notch"), S.rating_tier(F.col("rating")).alias("tier"), F.col("again0").cast("int").alias("again"))
+_COUNTRIES = [*(c for regions in MARKETS.values() for codes in regions.values() for c in codes), "XX"]
 
 
-@query("cfi_decode", "SELECT * FROM (VALUES ('ESVUFR', 'EQUITY', 'COMMON'), ('DBXXXX', 'DEBT', 'BOND'), ('EXXXXX', 'EQUITY', NULL), ('E', NULL, NULL)) v(code, asset_class, asset_type)")
+@query("market_tiers", f"WITH {_coded_sql(_COUNTRIES)}, m(r, tier, region) AS (VALUES {_values((c, tier, region) for tier, regions in MARKETS.items() for region, codes in regions.items() for c in codes)}) SELECT c_custkey, tier AS market_tier, region FROM c LEFT JOIN m ON r = upper(trim(code))")
 def _(spark, sf):
-    from .param_grids import literal
+    return _coded(spark, sf, _COUNTRIES).select("c_custkey", *S.market_tier(F.col("code")))
 
-    return literal(spark, ["code"], [("ESVUFR",), ("DBXXXX",), ("EXXXXX",), ("E",)]).select("code", *S.cfi_decode(F.col("code")))
+
+@query("esg_tiers", f"WITH {_coded_sql([*ESG, 'D'])}, m(r, tier, n) AS (VALUES {_values((k, *v) for k, v in ESG.items())}) SELECT c_custkey, tier AS esg_tier, n AS esg_number FROM c LEFT JOIN m ON r = upper(trim(code))")
+def _(spark, sf):
+    return _coded(spark, sf, [*ESG, "D"]).select("c_custkey", *S.esg_tier(F.col("code")))
+
+
+_CODES = [*(f"{k}VUFR" for k in CFI), *(f"{k}XXXXX" for k in CFI_FIRST), "E", "ZZZZZZ", ""]
+
+
+@query("cfi_decode", f"WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN lower(x) ELSE x END AS code FROM (SELECT c_custkey, [{', '.join(repr(c) for c in _CODES)}][c_custkey % {len(_CODES)} + 1] AS x FROM customer)), a(r, x, y, z) AS (VALUES {_values((k, *v) for k, v in CFI.items())}), b(r, x, y, z) AS (VALUES {_values((k, *v) for k, v in CFI_FIRST.items())}) SELECT c_custkey, coalesce(a.x, b.x) AS asset_class, coalesce(a.y, b.y) AS asset_type, coalesce(a.z, b.z) AS settlement FROM c LEFT JOIN a ON a.r = upper(substr(code, 1, 2)) AND len(code) >= 2 LEFT JOIN b ON b.r = upper(substr(code, 1, 1)) AND len(code) >= 2")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (k % len(_CODES) + 1).cast("int"))
+    return t(spark, sf, "customer").select("c_custkey", F.when(k % 7 == 0, F.lower(code)).otherwise(code).alias("code")).select("c_custkey", *S.cfi_decode(F.col("code")))
 
 
 @query("json_round_trip", "SELECT event_id, (props ->> '$.k')::INTEGER AS k, '{\"k\":' || (props ->> '$.k') || ',\"t\":\"' || event_type || '\"}' AS again FROM events")
@@ -203,10 +249,43 @@ def _(spark, sf):
     return _binary(spark, sf).select("event_id", F.round(S.longshot_rate(F.col("price")), 8).alias("rate"))
 
 
-@query("param_grids", "SELECT 'ta' AS strategy, 72::BIGINT AS configs UNION ALL SELECT 'funding', 36 UNION ALL SELECT 'pairs', 64 UNION ALL SELECT 'gridbot', 27")
+def _axes_sql(axes: dict[str, list], extra: str = "", keep: str = "true") -> str:
+    """A grid in SQL: the axes' product, numbered in their order."""
+    frames = ", ".join(f"(SELECT unnest({[float(v) for v in values]}::DOUBLE[]) AS {name}, unnest(range({len(values)})) AS o_{name}) q_{name}" for name, values in axes.items())
+    return f"SELECT row_number() OVER (ORDER BY {', '.join(f'o_{n}' for n in axes)}) - 1 AS i, {', '.join(axes)}{extra} FROM {frames} WHERE {keep}"
+
+
+_TA_COLUMNS = ["period", "threshold_lo", "threshold_hi", "fast_period", "slow_period", "signal_period", "multiplier", "vol_multiplier"]
+
+
+def _ta_sql() -> str:
+    parts = []
+    for n, (kind, axes) in enumerate(TA_AXES.items()):
+        have = {**{a: a for a in axes}, **({"threshold_lo": "threshold", "threshold_hi": "threshold"} if "threshold" in axes else {})}
+        keep = "fast_period < slow_period" if "fast_period" in axes else "true"
+        parts.append(f"SELECT {n} AS o, '{kind}' AS kind, i, {', '.join(f'{have[c]} AS {c}' if c in have else f'NULL::DOUBLE AS {c}' for c in _TA_COLUMNS)} FROM ({_axes_sql(axes, keep=keep)})")
+    exits = _axes_sql(BARRIER_AXES, ", round(sl_pct * tp_ratio, 4) AS tp_pct", "trail_pct <= sl_pct")
+    return f"SELECT row_number() OVER (ORDER BY a.o, a.i, b.i) - 1 AS config_id, kind, {', '.join(_TA_COLUMNS)}, sl_pct, tp_pct, trail_pct, t_bars FROM ({' UNION ALL '.join(parts)}) a, ({exits}) b"
+
+
+@query("param_grid_ta", _ta_sql())
+def _(spark, sf):
+    return param_grids.as_frame(spark, param_grids.ta_rows())
+
+
+@query("param_grid_funding", f"SELECT i AS config_id, * EXCLUDE (i) FROM ({_axes_sql(FUNDING_AXES)})")
+def _(spark, sf):
+    return param_grids.as_frame(spark, param_grids.funding_rows()).drop("kind")
+
+
+@query("param_grid_pairs", f"SELECT i AS config_id, * EXCLUDE (i) FROM ({_axes_sql(PAIRS_AXES, keep='exit_z < entry_z AND entry_z < stop_z')})")
+def _(spark, sf):
+    return param_grids.as_frame(spark, param_grids.pairs_rows()).drop("kind")
+
+
+@query("param_grid_gridbot", f"SELECT i AS config_id, * EXCLUDE (i) FROM ({_axes_sql(GRIDBOT_AXES, keep='grid_spacing_pct < range_width_pct')})")
 def _(spark, sf):
-    one = lambda n, g: grid(spark, g).agg(F.count(F.lit(1)).alias("configs")).select(F.lit(n).alias("strategy"), "configs")
-    return one("ta", TA_GRID).union(one("funding", FUNDING_GRID)).union(one("pairs", PAIRS_GRID)).union(one("gridbot", GRIDBOT_GRID))
+    return param_grids.as_frame(spark, param_grids.gridbot_rows()).drop("kind")
 
 
 # --- statistics -----------------------------------------------------------------------------------------------
@@ -403,7 +482,7 @@ def _(spark, sf):
 
 @query("allocation_methods")
 def _(spark, sf):
-    r = _returns(spark, sf).where("day >= date'1996-01-01' AND day < date'1998-01-01'").select(F.lit("p").alias("portfolio"), "asset", "day", "r")
+    r = _returns(spark, sf).select(F.lit("p").alias("portfolio"), "asset", "day", "r")
     return portfolio.allocations(r, portfolio="portfolio", asset="asset", ts="day", value="r")
 
 
@@ -421,9 +500,9 @@ def _(spark, sf):
     return w.select("asset", "window_ms", "trades", F.round("total", 6).alias("total"), "reason")
 
 
-@query("spike_detection", f"WITH {TRADES}, p AS (SELECT asset, ts, quote, trade_id FROM trades WHERE trade_id % 5 = 0), f AS (SELECT a.asset, a.ts, a.quote AS start_price, arg_max(b.quote, {{'m': abs(b.quote / a.quote - 1), 'q': b.quote}}) AS peak_price FROM p a JOIN p b ON a.asset = b.asset AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 60 MINUTE WHERE a.quote BETWEEN 20 AND 100 GROUP BY ALL) SELECT asset, ts, start_price, peak_price, round(100 * (peak_price / start_price - 1), 6) AS pct FROM f WHERE abs(peak_price / start_price - 1) >= 0.5")
+@query("spike_detection", f"WITH {TRADES}, p AS (SELECT asset, ts, quote, trade_id FROM trades), f AS (SELECT a.asset, a.ts, a.quote AS start_price, arg_max(b.quote, {{'m': abs(b.quote / a.quote - 1), 'q': b.quote}}) AS peak_price FROM p a JOIN p b ON a.asset = b.asset AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 60 MINUTE WHERE a.quote BETWEEN 20 AND 100 GROUP BY ALL) SELECT asset, ts, start_price, peak_price, round(100 * (peak_price / start_price - 1), 6) AS pct FROM f WHERE abs(peak_price / start_price - 1) >= 0.5")
 def _(spark, sf):
-    p = trades(spark, sf).where("trade_id % 5 = 0").select("asset", "ts", "quote")
+    p = trades(spark, sf).select("asset", "ts", "quote")
     s = scans.spikes(p, keys=["asset"], ts="ts", price="quote", minutes=60, threshold_pct=50.0, lowest=20.0, highest=100.0)
     return s.select("asset", "ts", "start_price", "peak_price", F.round("pct", 6).alias("pct"))
 
@@ -493,11 +572,11 @@ def _(spark, sf):
     return scans.threshold_probability(e, keys=["event_type", "day"], value="value", threshold=F.lit(60.0)).withColumn("probability", F.round("probability", 6))
 
 
-@query("overreaction", "WITH e AS (SELECT event_type, epoch(date_trunc('second', ts))::BIGINT AS s, value, event_id FROM events WHERE event_id % 7 = 0), m AS (SELECT event_type, s, h, value / last_value(value) OVER (PARTITION BY event_type, h ORDER BY s RANGE BETWEEN CURRENT ROW AND CURRENT ROW) AS x, value, event_id FROM e, (VALUES (6), (12), (24)) t(h)) SELECT event_type, count(DISTINCT s) AS n FROM m GROUP BY 1")
+@query("overreaction", "WITH e AS (SELECT event_type, ts, epoch(date_trunc('second', ts))::BIGINT AS s, value, event_id FROM events), m AS (SELECT a.event_type, a.ts, a.s, a.event_id, a.value, h, arg_max(b.value, (b.ts, b.event_id)) AS before FROM e a, (VALUES (6), (12), (24)) t(h), e b WHERE b.event_type = a.event_type AND b.s BETWEEN a.s - h * 3600 - 1800 AND a.s - h * 3600 + 1800 GROUP BY ALL), x AS (SELECT *, value / before - 1 AS move FROM m WHERE before <> 0) SELECT event_type, ts, h AS hours, round(move, 6) AS move FROM x QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(move) DESC, h DESC, ts DESC, event_id DESC) = 1")
 def _(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 7 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = scans.overreaction(e, market="event_type", ts="ts", price="value")
-    return e.groupBy("event_type").agg(F.countDistinct(F.unix_seconds("ts")).alias("n")).join(found, "event_type", "left_semi")
+    e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = scans.overreaction(e, market="event_type", ts="ts", price="value", tie="event_id")
+    return found.select("event_type", F.col("ts"), "hours", F.round("move", 6).alias("move"))
 
 
 @query("health_ladder", "SELECT event_id, CASE WHEN user_id % 5 >= 3 THEN 'disable' WHEN user_id % 5 >= 2 THEN 'reduce' WHEN value > 48 THEN 'restart' WHEN value > 24 THEN 'warn' ELSE 'ok' END AS action FROM events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import MOVES
 from ..operators import baskets, carry, features, paper, signals, statistics, windows
 from .base import BARS, DAILY, TRADES, bars, daily, query, t, trades
 from .param_grids import literal
@@ -43,14 +44,14 @@ def _(spark, sf):
     return f.select("trade_id", "ret_1m", "ret_60m", "velocity", "acceleration", "place")
 
 
-_HOLD = f"{TRADES}, h AS (SELECT asset, trade_id AS hold, ts AS start, ts + INTERVAL 3 DAY AS fin FROM trades WHERE trade_id % 500 = 9), sp AS (SELECT asset, ts, trade_id, quote + 100 AS p FROM trades WHERE trade_id % 2 = 0), pp AS (SELECT asset, ts, trade_id, quote + 101 AS p FROM trades WHERE trade_id % 2 = 1), fu AS (SELECT asset, ts, (quote - 40) / 100000 AS rate FROM trades WHERE trade_id % 10 = 0)"
+_HOLD = f"{TRADES}, h AS (SELECT asset, trade_id AS hold, ts AS start, ts + INTERVAL 3 DAY AS fin FROM trades), sp AS (SELECT asset, ts, trade_id, quote + 100 AS p FROM trades WHERE trade_id % 2 = 0), pp AS (SELECT asset, ts, trade_id, quote + 101 AS p FROM trades WHERE trade_id % 2 = 1), fu AS (SELECT asset, ts, (quote - 40) / 100000 AS rate FROM trades)"
 
 
 def _holds(spark, sf):
     r = trades(spark, sf)
-    holds = r.where("trade_id % 500 = 9").select("asset", F.col("trade_id").alias("hold"), F.col("ts").alias("start"))
+    holds = r.select("asset", F.col("trade_id").alias("hold"), F.col("ts").alias("start"))
     px = lambda odd, add: r.where(F.col("trade_id") % 2 == odd).select("asset", "ts", (F.col("quote") + add).alias("price"), F.col("trade_id").alias("tie"))
-    fund = r.where("trade_id % 10 = 0").select("asset", "ts", ((F.col("quote") - 40) / 100000).alias("rate"))
+    fund = r.select("asset", "ts", ((F.col("quote") - 40) / 100000).alias("rate"))
     return holds, px(0, 100), px(1, 101), fund
 
 
@@ -60,18 +61,18 @@ def _(spark, sf):
     return h.where("spot_in IS NOT NULL AND perp_in IS NOT NULL").select("asset", "hold", (F.round("funding", 8) + 0.0).alias("funding"), F.round("net", 8).alias("net"))
 
 
-@query("funding_spread_hold")
+@query("funding_spread_hold", f"WITH {_HOLD}, g AS (SELECT asset, ts, rate - rate * 0.7::DOUBLE AS gap FROM fu), q AS (SELECT h.asset, hold, (SELECT arg_max(gap, ts) FROM g WHERE g.asset = h.asset AND ts <= start) AS entry, (SELECT sum(gap) FROM g WHERE g.asset = h.asset AND ts > start AND ts <= fin) AS total, (SELECT count(*) FROM g WHERE g.asset = h.asset AND ts > start AND ts <= fin) AS n FROM h) SELECT asset, hold, nullif(n, 0) AS events, round(sign(entry) * coalesce(total, 0) - 4 * 1.0::DOUBLE / 10000, 9) AS net FROM q")
 def _(spark, sf):
     holds, _, _, fund = _holds(spark, sf)
     other = fund.withColumn("rate", F.col("rate") * 0.7)
-    return carry.spread_hold(holds, fund, other, keys=["asset"], days=3, cost_bps=1.0).select("asset", "hold", "events", "net")
+    return carry.spread_hold(holds, fund, other, keys=["asset"], days=3, cost_bps=1.0).select("asset", "hold", "events", F.round("net", 9).alias("net"))
 
 
-@query("carry_accrual", "WITH p AS (SELECT event_type AS asset, event_id AS position, ts AS opened FROM events WHERE event_id % 400 = 3), f AS (SELECT event_type AS asset, ts, (value - 40) / 1000 AS rate FROM events WHERE event_id % 25 = 0), a AS (SELECT p.asset, position, sum(rate * 100) AS a, arg_max(rate, ts) AS r FROM p JOIN f ON f.asset = p.asset AND f.ts > opened AND f.ts <= TIMESTAMP '2024-01-31' GROUP BY 1, 2) SELECT p.asset, position, round(coalesce(a, 0), 6) + 0.0 AS accrued, CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', opened)) >= 10 * 86400 THEN 'expired' WHEN coalesce(r, 1) < 0 THEN 'rate_negative' END AS exit FROM p LEFT JOIN a USING (asset, position)")
+@query("carry_accrual", "WITH p AS (SELECT event_type AS asset, event_id AS position, ts AS opened FROM events), f AS (SELECT event_type AS asset, ts, (value - 40) / 1000 AS rate FROM events), a AS (SELECT p.asset, position, sum(rate * 100) AS a, arg_max(rate, ts) AS r FROM p JOIN f ON f.asset = p.asset AND f.ts > opened AND f.ts <= TIMESTAMP '2024-01-31' GROUP BY 1, 2) SELECT p.asset, position, round(coalesce(a, 0), 6) + 0.0 AS accrued, CASE WHEN epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', opened)) >= 10 * 86400 THEN 'expired' WHEN coalesce(r, 1) < 0 THEN 'rate_negative' END AS exit FROM p LEFT JOIN a USING (asset, position)")
 def _(spark, sf):
     e = t(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    pos = e.where("event_id % 400 = 3").select(F.col("event_type").alias("asset"), F.col("event_id").alias("position"), F.col("ts").alias("opened"), F.col("ts").alias("paid_until"), F.lit(100.0).alias("notional"), F.lit(10).alias("max_days"))
-    fund = e.where("event_id % 25 = 0").select(F.col("event_type").alias("asset"), "ts", ((F.col("value") - 40) / 1000).alias("rate"))
+    pos = e.select(F.col("event_type").alias("asset"), F.col("event_id").alias("position"), F.col("ts").alias("opened"), F.col("ts").alias("paid_until"), F.lit(100.0).alias("notional"), F.lit(10).alias("max_days"))
+    fund = e.select(F.col("event_type").alias("asset"), "ts", ((F.col("value") - 40) / 1000).alias("rate"))
     a = carry.accrue(pos, fund, keys=["asset"], until=F.lit("2024-01-31").cast("timestamp"))
     return a.select("asset", "position", (F.round("accrued", 6) + 0.0).alias("accrued"), "exit")
 
@@ -163,9 +164,9 @@ def _(spark, sf):
     return d.select(F.col("asset").alias("a"), "day", "price").join(other, "day").groupBy("a", "b").agg(F.round(F.corr("price", "pb"), 6).alias("corr"))
 
 
-@query("smart_money_performance", "WITH s AS (SELECT user_id % 20 AS wallet, value - 50 AS pnl, value > 60 AS won FROM events WHERE event_id % 3 = 0) SELECT wallet, count(*) AS signals, count(*) FILTER (WHERE won) AS wins, round(sum(pnl), 6) AS pnl, round(count(*) FILTER (WHERE won) / count(*)::DOUBLE, 6) AS win_rate FROM s GROUP BY 1")
+@query("smart_money_performance", "WITH s AS (SELECT user_id % 20 AS wallet, value - 50 AS pnl, value > 60 AS won FROM events) SELECT wallet, count(*) AS signals, count(*) FILTER (WHERE won) AS wins, round(sum(pnl), 6) AS pnl, round(count(*) FILTER (WHERE won) / count(*)::DOUBLE, 6) AS win_rate FROM s GROUP BY 1")
 def _(spark, sf):
-    s = t(spark, sf, "events").where("event_id % 3 = 0").select((F.col("user_id") % 20).alias("wallet"), (F.col("value") - 50).alias("pnl"), (F.col("value") > 60).alias("won"))
+    s = t(spark, sf, "events").select((F.col("user_id") % 20).alias("wallet"), (F.col("value") - 50).alias("pnl"), (F.col("value") > 60).alias("won"))
     return s.groupBy("wallet").agg(F.count(F.lit(1)).alias("signals"), F.count_if("won").alias("wins"), F.round(F.sum("pnl"), 6).alias("pnl"), F.round(F.count_if("won") / F.count(F.lit(1)), 6).alias("win_rate"))
 
 
@@ -208,11 +209,15 @@ def _(spark, sf):
     return a.crossJoin(F.broadcast(b))
 
 
-@query("model_lifecycle", "SELECT o_custkey AS model, CASE WHEN count(*) >= 3 THEN 'paper' WHEN count(*) = 2 THEN 'validated' ELSE 'draft' END AS state, true AS valid FROM orders WHERE o_custkey < 300 GROUP BY 1")
+_STATES = list(MOVES)
+_MOVES = ["'>DRAFT'", *(f"'{a}>{b}'" for a, bs in MOVES.items() for b in bs)]
+
+
+@query("model_lifecycle", f"WITH o AS (SELECT o_custkey AS model, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, {_STATES!r}[o_orderkey % {len(_STATES)} + 1] AS to_ FROM orders), g AS (SELECT model, count(*)::INTEGER AS moves, list_prepend(struct_pack(s := '', r := 0), list(struct_pack(s := CASE WHEN n = 1 THEN 'DRAFT' ELSE to_ END, r := 0) ORDER BY n)) AS l FROM o GROUP BY 1), e AS (SELECT model, moves, list_reduce(l, lambda a, x: CASE WHEN list_contains([{', '.join(_MOVES)}], a.s || '>' || x.s) THEN struct_pack(s := x.s, r := a.r) ELSE struct_pack(s := a.s, r := a.r + 1) END) AS e FROM g) SELECT model, e.s AS state, moves, e.r::INTEGER AS rejected FROM e")
 def _(spark, sf):
     from .workflow import lifecycle
 
     w = windows.series(["model"], "o_orderdate", "o_orderkey")
-    o = t(spark, sf, "orders").where("o_custkey < 300").withColumn("model", F.col("o_custkey")).withColumn("n", F.row_number().over(w))
-    moves = o.where("n <= 3").withColumn("state", F.element_at(F.array(F.lit("draft"), F.lit("validated"), F.lit("paper")), F.col("n")))
-    return lifecycle(moves, key="model", ts="n", state="state")
+    o = t(spark, sf, "orders").withColumn("model", F.col("o_custkey")).withColumn("n", F.row_number().over(w))
+    to = F.element_at(F.array(*map(F.lit, _STATES)), (F.col("o_orderkey") % len(_STATES) + 1).cast("int"))
+    return lifecycle(o.withColumn("state", F.when(F.col("n") == 1, "DRAFT").otherwise(to)), key="model", ts="n", state="state")

@@ -108,9 +108,9 @@ def _(spark, sf):
     return j.select("asset", "day", F.round("price", 4).alias("price"), F.round(F.coalesce("a", F.lit(50.0)), 6).alias("sentiment"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("funding"), F.when(F.col("asset") == "2-HIGH", F.coalesce("a", F.lit(0.0)) > 0).alias("onchain"))
 
 
-@query("snapshot_diff", "WITH a AS (SELECT user_id, event_type, sum(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-15' AND event_id % 9 < 2 GROUP BY 1, 2), b AS (SELECT user_id, event_type, sum(value) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND event_id % 9 < 2 GROUP BY 1, 2), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.s AS o, b.s AS n FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type), k AS (SELECT *, CASE WHEN o IS NULL THEN 'ENTER' WHEN n IS NULL THEN 'EXIT' WHEN n > o * 1.05 THEN 'INCREASE' WHEN n < o * 0.95 THEN 'DECREASE' END AS change FROM j) SELECT user_id, event_type, change, round(n, 6) AS new_size, round(o, 6) AS old_size FROM k WHERE change IS NOT NULL")
+@query("snapshot_diff", "WITH a AS (SELECT user_id, event_type, sum(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2), b AS (SELECT user_id, event_type, sum(value) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2), j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.s AS o, b.s AS n FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type), k AS (SELECT *, CASE WHEN o IS NULL THEN 'ENTER' WHEN n IS NULL THEN 'EXIT' WHEN n > o * 1.05 THEN 'INCREASE' WHEN n < o * 0.95 THEN 'DECREASE' END AS change FROM j) SELECT user_id, event_type, change, round(n, 6) AS new_size, round(o, 6) AS old_size FROM k WHERE change IS NOT NULL")
 def _(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 9 < 2")
+    e = t(spark, sf, "events")
     mid = F.lit("2024-01-15").cast("timestamp")
     old, new = (e.where(x).groupBy("user_id", "event_type").agg(F.sum("value").alias("size")) for x in (F.col("ts") < mid, F.col("ts") >= mid))
     d = joins.diff_snapshots(new, old, keys=["user_id", "event_type"], size="size")
@@ -124,11 +124,11 @@ def _(spark, sf):
     return a.join(b, "user_id", "full_outer").select("user_id", F.coalesce("a", F.lit(0)).alias("filled"), F.coalesce("b", F.lit(0)).alias("pending"))
 
 
-@query("needs_anti_join", "WITH c AS (SELECT c_custkey, d::DATE AS day FROM customer, range(TIMESTAMP '1996-03-01', TIMESTAMP '1996-04-01', INTERVAL 1 DAY) r(d) WHERE c_custkey < 40 AND isodow(d) < 6), f AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders), n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.o_custkey = c.c_custkey AND f.day = c.day)) SELECT c_custkey, day, round(100.0::DOUBLE * (1 - (SELECT count(*) FROM n) / (SELECT count(*) FROM c)::DOUBLE), 6) AS savings_pct FROM n")
+@query("needs_anti_join", "WITH c AS (SELECT c_custkey, d::DATE AS day FROM customer, range(TIMESTAMP '1996-03-01', TIMESTAMP '1996-04-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6), f AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders), n AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.o_custkey = c.c_custkey AND f.day = c.day)) SELECT c_custkey, day, round(100.0::DOUBLE * (1 - (SELECT count(*) FROM n) / (SELECT count(*) FROM c)::DOUBLE), 6) AS savings_pct FROM n")
 def _(spark, sf):
     from ..operators.resample import expand_calendar
 
-    ids = t(spark, sf, "customer").where("c_custkey < 40").select("c_custkey", F.lit("1996-03-01").cast("date").alias("a"), F.lit("1996-03-31").cast("date").alias("b"))
+    ids = t(spark, sf, "customer").select("c_custkey", F.lit("1996-03-01").cast("date").alias("a"), F.lit("1996-03-31").cast("date").alias("b"))
     required = expand_calendar(ids, keys=["c_custkey"], first="a", last="b")
     loaded = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day"))
     needs = required.join(loaded, ["c_custkey", "day"], "left_anti")
@@ -155,12 +155,12 @@ def _(spark, sf):
     return e.crossJoin(F.broadcast(stats)).where("abs(value - m) > 5 * s").select("event_id", F.round((F.col("value") - F.col("m")) / F.col("s"), 6).alias("z"))
 
 
-@query("parameter_grid", f"WITH {DAILY}, g AS (SELECT * FROM (VALUES (5), (10), (20)) a(lookback), (VALUES (1.0::DOUBLE), (1.5::DOUBLE)) b(entry)) SELECT asset, day, lookback, entry, round(price * lookback / entry, 4) AS x FROM daily, g WHERE day < DATE '1995-02-01'")
+@query("parameter_grid", f"WITH {DAILY}, g AS (SELECT * FROM (VALUES (5), (10), (20)) a(lookback), (VALUES (1.0::DOUBLE), (1.5::DOUBLE)) b(entry)) SELECT asset, day, lookback, entry, round(price * lookback / entry, 4) AS x FROM daily, g")
 def _(spark, sf):
     from .param_grids import grid
 
     g = grid(spark, {"lookback": [5, 10, 20], "entry": [1.0, 1.5]})
-    d = daily(spark, sf).where("day < date'1995-02-01'").crossJoin(F.broadcast(g))
+    d = daily(spark, sf).crossJoin(F.broadcast(g))
     return d.select("asset", "day", "lookback", "entry", F.round(F.col("price") * F.col("lookback") / F.col("entry"), 4).alias("x"))
 
 
@@ -178,20 +178,20 @@ def _(spark, sf):
     return a.join(b, "day").select("day", F.round(F.col("pa") - 0.5 * F.col("pb"), 6).alias("spread"))
 
 
-@query("asof_backward", f"WITH {TRADES}, v AS (SELECT asset, trade_id, ts, quote FROM trades WHERE trade_id % 3 = 0), u AS (SELECT asset, trade_id AS probe, ts FROM trades WHERE trade_id % 3 = 1) SELECT u.asset, u.probe, max(v.ts) AS asof_ts, round(arg_max(v.quote, (v.ts, v.trade_id)), 6) AS asof_quote FROM u LEFT JOIN v ON u.asset = v.asset AND v.ts <= u.ts GROUP BY 1, 2")
+@query("asof_backward", f"WITH {TRADES}, v AS (SELECT asset, trade_id, ts, quote FROM trades WHERE trade_id % 2 = 0), u AS (SELECT asset, trade_id AS probe, ts FROM trades WHERE trade_id % 2 = 1) SELECT u.asset, u.probe, max(v.ts) AS asof_ts, round(arg_max(v.quote, (v.ts, v.trade_id)), 6) AS asof_quote FROM u LEFT JOIN v ON u.asset = v.asset AND v.ts <= u.ts GROUP BY 1, 2")
 def _(spark, sf):
     r = trades(spark, sf)
-    left, right = r.where("trade_id % 3 = 1").select("asset", F.col("trade_id").alias("probe"), "ts"), r.where("trade_id % 3 = 0").select("asset", "trade_id", F.col("ts").alias("vts"), "quote")
+    left, right = r.where("trade_id % 2 = 1").select("asset", F.col("trade_id").alias("probe"), "ts"), r.where("trade_id % 2 = 0").select("asset", "trade_id", F.col("ts").alias("vts"), "quote")
     j = joins.asof_backward(left, right, keys=["asset"], ts="ts", right_ts="vts", values=["quote"], tie="trade_id")
     return j.select("asset", "probe", "asof_ts", F.round("asof_quote", 6).alias("asof_quote"))
 
 
-_NEAR = f"WITH {TRADES}, p AS (SELECT u.asset, u.trade_id AS probe, v.trade_id, abs(epoch_us(u.ts) - epoch_us(v.ts)) AS d, v.ts FROM trades u JOIN trades v ON u.asset = v.asset AND u.trade_id % 50 = 7 AND v.trade_id % 2 = 0 AND v.ts BETWEEN u.ts - INTERVAL 1800 SECOND AND u.ts + INTERVAL 1800 SECOND)"
+_NEAR = f"WITH {TRADES}, p AS (SELECT u.asset, u.trade_id AS probe, v.trade_id, abs(epoch_us(u.ts) - epoch_us(v.ts)) AS d, v.ts FROM trades u JOIN trades v ON u.asset = v.asset AND u.trade_id % 2 = 1 AND v.trade_id % 2 = 0 AND v.ts BETWEEN u.ts - INTERVAL 1800 SECOND AND u.ts + INTERVAL 1800 SECOND)"
 
 
 def _near(spark, sf, newest):
     r = trades(spark, sf)
-    left, right = r.where("trade_id % 50 = 7").select("asset", F.col("trade_id").alias("probe"), "ts"), r.where("trade_id % 2 = 0").select("asset", "trade_id", F.col("ts").alias("vts"))
+    left, right = r.where("trade_id % 2 = 1").select("asset", F.col("trade_id").alias("probe"), "ts"), r.where("trade_id % 2 = 0").select("asset", "trade_id", F.col("ts").alias("vts"))
     return joins.nearest(left, right, keys=["asset"], left_id="probe", ts="ts", right_ts="vts", right_id="trade_id", tolerance=1800, newest=newest).select("asset", "probe", "trade_id")
 
 
@@ -205,10 +205,10 @@ def _(spark, sf):
     return _near(spark, sf, False)
 
 
-@query("window_join", f"WITH {TRADES} SELECT u.asset, u.trade_id AS probe, count(v.trade_id) AS n, round(coalesce(sum(v.quote), 0), 6) AS total FROM trades u LEFT JOIN trades v ON u.asset = v.asset AND v.ts > u.ts AND v.ts <= u.ts + INTERVAL 2 HOUR WHERE u.trade_id % 40 = 3 GROUP BY 1, 2")
+@query("window_join", f"WITH {TRADES} SELECT u.asset, u.trade_id AS probe, count(v.trade_id) AS n, round(coalesce(sum(v.quote), 0), 6) AS total FROM trades u LEFT JOIN trades v ON u.asset = v.asset AND v.ts > u.ts AND v.ts <= u.ts + INTERVAL 2 HOUR GROUP BY 1, 2")
 def _(spark, sf):
     r = trades(spark, sf)
-    left = r.where("trade_id % 40 = 3").select("asset", F.col("trade_id").alias("probe"), "ts")
+    left = r.select("asset", F.col("trade_id").alias("probe"), "ts")
     pairs = joins.within(left, r.select("asset", "trade_id", F.col("ts").alias("vts"), "quote"), keys=["asset"], ts="ts", right_ts="vts", before=0, after=7200).where("vts > ts")
     held = pairs.groupBy("asset", "probe").agg(F.count(F.lit(1)).alias("n"), F.sum("quote").alias("s"))
     return left.join(held, ["asset", "probe"], "left").select("asset", "probe", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("total"))
@@ -234,21 +234,21 @@ def _(spark, sf):
     return a.join(F.broadcast(edges), "cause").join(b, ["effect", "g"]).select("cause", "effect", "g", "n_cause", "n_effect")
 
 
-@query("lookup_latest_mapping", "WITH m(code, class, version) AS (VALUES ('O', 'open', 1), ('O', 'open2', 2), ('F', 'filled', 1)) SELECT o_orderkey, (SELECT arg_max(class, version) FROM m WHERE code = o_orderstatus) AS class FROM orders WHERE o_custkey < 300")
+@query("lookup_latest_mapping", "WITH m(code, class, version) AS (VALUES ('O', 'open', 1), ('O', 'open2', 2), ('F', 'filled', 1)) SELECT o_orderkey, (SELECT arg_max(class, version) FROM m WHERE code = o_orderstatus) AS class FROM orders")
 def _(spark, sf):
     one = lambda a, b, c: F.struct(F.lit(a).alias("code"), F.lit(b).alias("class"), F.lit(c).alias("version"))
     m = spark.range(1).select(F.inline(F.array(one("O", "open", 1), one("O", "open2", 2), one("F", "filled", 1))))
     newest = m.groupBy("code").agg(F.max_by("class", "version").alias("class"))
-    o = t(spark, sf, "orders").where("o_custkey < 300")
+    o = t(spark, sf, "orders")
     return o.join(F.broadcast(newest), F.col("code") == F.col("o_orderstatus"), "left").select("o_orderkey", "class")
 
 
-@query("cascading_identifiers", "WITH want AS (SELECT c_custkey AS id, 'EQ' AS kind, unnest([{'p': 1, 'v': 'Customer#' || lpad((c_custkey * 3)::VARCHAR, 9, '0')}, {'p': 2, 'v': 'Customer#' || lpad((c_custkey + 7)::VARCHAR, 9, '0')}]) AS i FROM customer WHERE c_custkey < 700), hit AS (SELECT id, i.p AS p, c.c_custkey AS found, CASE WHEN c.c_nationkey % 2 = 0 THEN 'EQ' ELSE 'BOND' END AS k, kind FROM want JOIN customer c ON c.c_name = i.v) SELECT id, arg_min(found, p) AS found, arg_min(p, p)::INTEGER AS by_priority, arg_min(k, p) <> 'EQ' AS conflict FROM hit GROUP BY id")
+@query("cascading_identifiers", "WITH want AS (SELECT c_custkey AS id, 'EQ' AS kind, unnest([{'p': 1, 'v': 'Customer#' || lpad((c_custkey * 3)::VARCHAR, 9, '0')}, {'p': 2, 'v': 'Customer#' || lpad((c_custkey + 7)::VARCHAR, 9, '0')}]) AS i FROM customer), hit AS (SELECT id, i.p AS p, c.c_custkey AS found, CASE WHEN c.c_nationkey % 2 = 0 THEN 'EQ' ELSE 'BOND' END AS k, kind FROM want JOIN customer c ON c.c_name = i.v) SELECT id, arg_min(found, p) AS found, arg_min(p, p)::INTEGER AS by_priority, arg_min(k, p) <> 'EQ' AS conflict FROM hit GROUP BY id")
 def _(spark, sf):
     c = t(spark, sf, "customer")
     name = lambda x: F.concat(F.lit("Customer#"), F.lpad(x.cast("string"), 9, "0"))
     ids = F.array(F.struct(F.lit(1).alias("p"), name(F.col("c_custkey") * 3).alias("v")), F.struct(F.lit(2).alias("p"), name(F.col("c_custkey") + 7).alias("v")))
-    want = c.where("c_custkey < 700").select(F.col("c_custkey").alias("id"), F.inline(ids))
+    want = c.select(F.col("c_custkey").alias("id"), F.inline(ids))
     known = c.select(F.col("c_name").alias("v"), F.col("c_custkey").alias("found"), F.when(F.col("c_nationkey") % 2 == 0, "EQ").otherwise("BOND").alias("k"))
     best = want.join(known, "v").groupBy("id").agg(F.min_by(F.struct("found", "p", "k"), "p").alias("b"))
     return best.select("id", "b.found", F.col("b.p").alias("by_priority"), (F.col("b.k") != "EQ").alias("conflict"))

@@ -16,6 +16,7 @@ from ..functions.scalars import condition
 from ..operators import backtest
 from .config import ModelConfig
 from .plugins import FunctionRegistry, defaults
+from ..functions.fixed import MOVES
 
 
 @dataclass
@@ -120,27 +121,32 @@ def priorities(df: DataFrame, *, score: str, name: str) -> DataFrame:
     return df.withColumn("priority", F.row_number().over(Window.orderBy(F.desc(score), name)))
 
 
-#: Allowed moves between model states.
-MOVES = {"draft": {"validated", "retired"}, "validated": {"paper", "draft", "retired"}, "paper": {"live", "validated", "retired"}, "live": {"paused", "retired"}, "paused": {"live", "retired"}, "retired": set()}
-
-
 def transition(state: str | None, to: str) -> str:
+    """The state that a model goes to; it begins as a draft."""
+    to = to.upper()
     if state is None:
-        if to != "draft":
+        if to != "DRAFT":
             raise ValueError("a model starts as a draft")
-    elif to not in MOVES[state]:
+    elif to not in MOVES[state.upper()]:
         raise ValueError(f"{state} can't become {to}")
     return to
 
 
 def lifecycle(moves: DataFrame, *, key: str, ts: str, state: str) -> DataFrame:
-    """The state of each model after its moves, and whether all of them were allowed."""
-    w = Window.partitionBy(key).orderBy(ts)
-    allowed = F.create_map(*(x for a, bs in MOVES.items() for x in (F.lit(a), F.array(*map(F.lit, sorted(bs))).cast("array<string>"))))
-    back = F.lag(state).over(w)
-    rows = moves.withColumn("__back", back)
-    ok = F.when(F.col("__back").isNull(), F.col(state) == "draft").otherwise(F.array_contains(F.try_element_at(allowed, F.col("__back")), F.col(state)))
-    return rows.withColumn("__ok", F.coalesce(ok, F.lit(False))).groupBy(key).agg(F.max_by(state, ts).alias("state"), F.min("__ok").alias("valid"))
+    """``(key, state, moves, rejected)``: the state of each model after its moves; one that is not allowed changes nothing.
+
+    A model's moves are one array, in order of time.
+    """
+    allowed = F.array(F.lit(">DRAFT"), *(F.lit(f"{a}>{b}") for a, bs in MOVES.items() for b in bs))
+    begin = F.struct(F.lit("").alias("state"), F.lit(0).alias("rejected"))
+
+    def step(acc, x):
+        ok = F.array_contains(allowed, F.concat(acc["state"], F.lit(">"), x["to"]))
+        return F.struct(F.when(ok, x["to"]).otherwise(acc["state"]).alias("state"), (acc["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"))
+
+    asked = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("at"), F.coalesce(F.upper(state), F.lit("?")).alias("to"))))
+    found = moves.groupBy(key).agg(asked.alias("asked")).select(key, F.size("asked").alias("moves"), F.aggregate("asked", begin, step).alias("end"))
+    return found.select(key, F.nullif(F.col("end.state"), F.lit("")).alias("state"), "moves", F.col("end.rejected").alias("rejected"))
 
 
 def run_model(config: ModelConfig, bars: DataFrame, *, keys: list[str], order_by: list[str], registry: FunctionRegistry | None = None) -> dict[str, DataFrame]:
