@@ -3,7 +3,8 @@
 ``spark.checkpoint.dir`` names a folder that the driver and all executors can
 reach.  Tables written there outlive any executor, so a stage that reads one
 never has to recompute what lies before it.  The setting is read from the
-session; only where it is unset (tests, a laptop) a folder of our own is used.
+session; only where it is unset and Spark runs on this machine alone (tests, a
+laptop) a folder of our own is used.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, one made here."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset on a local master, one made here."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gnomon-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
