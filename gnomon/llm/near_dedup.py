@@ -22,7 +22,9 @@ threshold leaves out of a set (prefix filtering), and if their sizes allow it; a
 pair counts in the first band that it shares; the exact similarity decides, and
 only links that join two classes come out.  So a bucket of many copies never
 becomes rows of pairs, a task holds two blocks, dealt by a hash of the id, and no
-candidate is left out.
+candidate is left out.  What is known of the hot buckets, those with many members, is
+a table of ``MOST_HOT`` rows at most and goes to the members, so that no task has to
+read a whole bucket.
 
 Defined results: a null text is the empty text; texts without words are alike
 only if they are equal; every different text is one node, named by the smallest id
@@ -50,6 +52,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Elements of a bucket's members in one block of a cell (4 bytes each).
 BLOCK_ELEMENTS = 1 << 18
+#: Members from which on a bucket is hot, and the most hot buckets there may be; their table is broadcast.
+HOT_MEMBERS, MOST_HOT = 1000, 100_000
 #: Members that one member is held against at once.
 VERIFIED = 64
 #: Beyond ln k, so many darts per coordinate; more make empty coordinates rarer.
@@ -306,8 +310,15 @@ def cell_links(band: int, ids: np.ndarray, labels: np.ndarray, bands: np.ndarray
     return out
 
 
-def _cell_links(members: DataFrame, bands: DataFrame, elements: DataFrame, similarity: float, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """Links of ``(bucket, band, id, label)`` between different classes of a bucket, cell by cell."""
+def _with_bucket(members: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
+    """Members joined with a table of one row for each bucket, both with ``n``; what hot buckets have goes to their members."""
+    few = F.broadcast(buckets.where(F.col("n") > hot).drop("n"))
+    rest = members.where(F.col("n") <= hot).join(buckets.where(F.col("n") <= hot).drop("n"), "bucket")
+    return members.where(F.col("n") > hot).join(few, "bucket").unionByName(rest)
+
+
+def _cell_links(members: DataFrame, bands: DataFrame, elements: DataFrame, similarity: float, hot: int, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """Links of ``(bucket, band, id, n, label)`` between different classes of a bucket, cell by cell."""
 
     def run(cell: pa.Table) -> pa.Table:
         col = lambda c: cell.column(c).to_numpy()
@@ -320,11 +331,11 @@ def _cell_links(members: DataFrame, bands: DataFrame, elements: DataFrame, simil
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     size = elements.select("id", F.size("elements").alias("size"))
-    sizes = members.join(size, "id").groupBy("bucket").agg(F.sum("size").alias("all"))
+    sizes = members.join(size, "id").groupBy("bucket").agg(F.sum("size").alias("all"), F.max("n").alias("n"))
     blocks = F.ceil(F.col("all") / block_elements).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.join(sizes, "bucket").select("bucket", "band", "id", "label", blocks.alias("blocks")).select("*", mine.alias("mine")).withColumn("other", others)
+    dealt = _with_bucket(members, sizes, hot).select("bucket", "band", "id", "label", blocks.alias("blocks")).select("*", mine.alias("mine")).withColumn("other", others)
     dealt = dealt.join(bands, "id").join(elements, "id").select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "bands", "elements")
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -374,7 +385,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bands = materialize(signed.select("key", "bands").where(F.size("bands") > 0).distinct().join(texts, "key").select("id", "bands"), "near-signed")
     banded = materialize(bands.select("id", F.posexplode("bands").alias("band", "bucket")), "near-buckets")
     shared = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "near-shared")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "id", "n", "lead"), "near-members")
+    hot = max(HOT_MEMBERS, banded.count() // MOST_HOT)
+    marked = banded.join(F.broadcast(shared.where(F.col("n") > hot)), "bucket", "left")
+    cold = marked.where("n IS NULL").select("bucket", "band", "id").join(shared.where(F.col("n") <= hot), "bucket")
+    members = materialize(marked.where("n IS NOT NULL").unionByName(cold).select("bucket", "band", "id", "n", "lead"), "near-members")
 
     wanted = members.select("id").distinct()
     wanted = texts.join(wanted, "id").select("key", F.col("first").alias("id"), F.col("id").alias("node"))
@@ -384,11 +398,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     leads = members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     edges = materialize(_verified(leads, elements, similarity), "near-links")
     labels = components(edges)
-    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "near-left")
+    placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n")).where("low != high")
+    left = materialize(_with_bucket(placed, mixed.select("bucket", "n"), hot), "near-left")
     if left.limit(1).count():
-        found = materialize(_cell_links(left, bands, elements.dropDuplicates(["id"]), similarity), "near-links")
+        found = materialize(_cell_links(left, bands, elements.dropDuplicates(["id"]), similarity, hot), "near-links")
         labels = components(edges.unionByName(found))
 
     classes = texts.join(labels, "id", "left").select("key", "first", F.coalesce("label", "id").alias("class_id"), (F.coalesce("label", "id") == F.col("id")).alias("stands"))
