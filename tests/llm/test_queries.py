@@ -404,7 +404,9 @@ def test_darts_agree_with_the_weighted_similarity():
     assert abs((darts[0] == darts[1]).mean() - real) < 0.04
 
 
-def test_classes_match_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_classes_match_brute_force(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(near_dedup, "HOT_MEMBERS", hot)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     rows = []
