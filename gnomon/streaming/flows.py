@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,16 @@ def file_stream(spark, schema, path: str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def settled(rows: DataFrame, done: DataFrame, *, keys: list[str], ts: str, last: str, now: Column, lag_seconds: int = 30) -> DataFrame:
+    """What a micro-batch appends: rows after the ``last`` time done of their key and before ``now`` less a safety lag.
+
+    Both ends are open.  A key of which nothing is done yet begins with its first row.
+    """
+    ready = rows.where(F.unix_micros(ts) < F.unix_micros(now) - lag_seconds * 1_000_000)
+    upto = done.groupBy(*keys).agg(F.max(last).alias("__last"))
+    return ready.join(upto, keys, "left").where(F.col("__last").isNull() | (F.col(ts) > F.col("__last"))).drop("__last")
+
+
 def windowed_flow(trades: DataFrame, *, keys: list[str], ts: str = "ts", window: str = "30 seconds", slide: str | None = None, late: str | None = "30 seconds") -> DataFrame:
     """Count, total and imbalance of each window, once it is behind the watermark (``late`` is null where the stream has one)."""
     signed = F.sum(F.when(F.col("side") == "buy", F.col("quote")).otherwise(-F.col("quote")))
@@ -101,7 +111,11 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append")
 
 
 def deliver_once(df: DataFrame, ledger_path: str, keys: list[str], post: Callable[[list], None], checkpoint: str):
-    """Posts each key once: a row enters the ledger only after its delivery."""
+    """Posts each key that is not in the ledger, and enters a batch's keys after its delivery.
+
+    So a batch that fails on the way is posted again from its beginning: at least
+    once, and once where nothing fails.  Posts go one by one from the driver.
+    """
     from ..sources.readers import exists
     from ..sources.sinks import undelivered
 

@@ -137,6 +137,14 @@ def test_stream_and_batch_give_the_same_bars(spark, tmp_path, kind):
     assert np.isclose(want.base_volume.sum() + 0, want.base_volume.sum())
 
 
+def test_batches_append_only_what_is_settled(spark):
+    at = lambda s: dt.datetime(2024, 1, 1, 12, 0, s)
+    rows = spark.createDataFrame([("a", at(1)), ("a", at(5)), ("a", at(20)), ("a", at(25)), ("b", at(2)), ("b", at(29))], "k string, ts timestamp")
+    done = spark.createDataFrame([("a", at(1)), ("a", at(5)), ("c", at(9))], "k string, last timestamp")
+    found = flows.settled(rows, done, keys=["k"], ts="ts", last="last", now=F.lit("2024-01-01 12:00:55").cast("timestamp")).collect()
+    assert sorted((r.k, r.ts.second) for r in found) == [("a", 20), ("b", 2)]
+
+
 def test_streamed_windows_exits_and_replays(spark, tmp_path):
     rows = [("A", dt.datetime(2024, 1, 1, 0, 0, s), float(s), 100.0 + s, s == 0, "buy" if s % 2 else "sell") for s in range(0, 60, 5)]
     df = spark.createDataFrame(rows, "asset string, ts timestamp, ts_s double, price double, open boolean, side string").withColumn("quote", F.col("price"))
