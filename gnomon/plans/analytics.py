@@ -323,14 +323,14 @@ def _(spark, sf):
     return statistics.adf_lag0(daily(spark, sf), keys=["asset"], order=["day"], value="price").select("asset", "n", F.round("t_stat", 4).alias("t_stat"), "level")
 
 
-@query("cointegration_pairs", f"WITH {DAILY}, p AS (SELECT a.asset || '/' || b.asset AS pair, a.day, a.price AS a, b.price * 0.5::DOUBLE + a.price AS b FROM daily a JOIN daily b USING (day) WHERE a.asset < b.asset) SELECT pair, round(corr(a, b), 6) AS corr, round(regr_slope(a, b), 6) AS hedge_ratio FROM p GROUP BY 1")
+@query("cointegration_pairs", f"WITH {DAILY}, p AS (SELECT a.asset || '/' || b.asset AS pair, a.day, a.price AS a, b.price * 0.5::DOUBLE + a.price AS b FROM daily a JOIN daily b USING (day) WHERE a.asset < b.asset), f AS (SELECT pair, corr(a, b) AS corr, regr_slope(a, b) AS hedge_ratio, regr_intercept(a, b) AS icpt FROM p GROUP BY 1), e AS (SELECT pair, day, a - hedge_ratio * b - icpt AS resid FROM p JOIN f USING (pair) WHERE abs(corr) >= 0.5), d AS (SELECT pair, resid - lag(resid) OVER w AS d, lag(resid) OVER w AS l FROM e WINDOW w AS (PARTITION BY pair ORDER BY day)), r AS ({_ADF.format(k='pair')}), s AS (SELECT pair, b, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS s FROM r) SELECT f.pair, round(corr, 6) AS corr, round(hedge_ratio, 6) AS hedge_ratio, round(s, 4) AS t_stat, CASE WHEN s < -3.51 THEN 0.01 WHEN s < -2.89 THEN 0.05 WHEN s < -2.58 THEN 0.10 WHEN s IS NOT NULL THEN 1.0 END::DOUBLE AS level, round(CASE WHEN b > -1 AND b < 0 THEN -ln(2::DOUBLE) / ln(1 + b) END, 5) AS half_life FROM f LEFT JOIN s USING (pair)")
 def _(spark, sf):
     from ..operators import joins
 
     p = joins.pairs(daily(spark, sf).select("asset", "day", "price"), keys=["day"], member="asset")
     p = p.select(F.concat_ws("/", "asset", "asset_2").alias("pair"), "day", F.col("price").alias("a"), (F.col("price_2") * 0.5 + F.col("price")).alias("b"))
     c = statistics.cointegration(p, keys=["pair"], order=["day"], a="a", b="b")
-    return c.select("pair", F.round("corr", 6).alias("corr"), F.round("hedge_ratio", 6).alias("hedge_ratio"))
+    return c.select("pair", F.round("corr", 6).alias("corr"), F.round("hedge_ratio", 6).alias("hedge_ratio"), F.round("t_stat", 4).alias("t_stat"), "level", F.round("half_life", 5).alias("half_life"))
 
 
 @query("empirical_risk", "WITH r AS (SELECT event_type AS asset, value - 50 AS r FROM events), q AS (SELECT asset, quantile_cont(r, 0.05) AS q5, quantile_cont(r, 0.01) AS q1 FROM r GROUP BY 1) SELECT asset, round(-any_value(q5), 6) AS var_95, round(-any_value(q1), 6) AS var_99, round(-avg(r) FILTER (WHERE r <= q5), 6) AS es_95, round(-avg(r) FILTER (WHERE r <= q1), 6) AS es_99 FROM r JOIN q USING (asset) GROUP BY 1")
