@@ -10,8 +10,9 @@ only documents inside it do.  A shard added as a region of its own takes
 documents only into itself.
 
 Slots number the documents of a shard without gaps.  No task ever holds a whole
-shard: documents are ordered inside hashed blocks of their shard, and a table
-with one count per shard and block says where each block starts.
+shard: documents are ordered inside blocks of their shard, hashed from the id and
+the text's check sum (so that rows of one id, as all without one, spread), and a
+table with one count per shard and block says where each block starts.
 
 Defined results: a null id is a key like any other; a null text has no bytes
 and the check sum of the empty text; repeated rows share the shard and get slots
@@ -25,6 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .common import hex_number, table, text_or_empty
 
 SHARDS = 24
@@ -104,23 +106,21 @@ def shard_documents(
 ) -> DataFrame:
     """``(id, size, text_crc32, shard, slot, grown_shard)`` of every row.
 
-    The only broadcast table has one row per shard and block, at most
-    ``len(leaves) * blocks``; beyond ``BROADCAST_STARTS`` rows it is joined by a
-    shuffle.
+    The texts are read once; where each row goes (a few numbers) is a table in the
+    shared folder, from which blocks are counted and slots are dealt.  The only
+    broadcast table has one row per shard and block, at most ``len(leaves) * blocks``;
+    beyond ``BROADCAST_STARTS`` rows it is joined by a shuffle.
     """
     key = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
-    block = hex_number(F.substring(F.md5(F.concat(key, F.lit("|block"))), 1, 8)) % blocks
-    ids = docs.select(F.col(id_col).alias("__id"))
+    block = hex_number(F.substring(F.md5(F.concat(key, F.lit("|"), F.col("crc").cast("string"), F.lit("|block"))), 1, 8)) % blocks
     full = docs.select(F.col(id_col).alias("__id"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n"), F.crc32(text_or_empty(text_col).cast("binary")).alias("crc"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", assign(key, leaves)).withColumn("block", block)
-
-    counts = placed(ids).groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
+    grown_shard = assign(key, grown) if grown else F.lit(None).cast("int")
+    placed = materialize(full.select("*", assign(key, leaves).alias("shard"), block.alias("block"), grown_shard.alias("grown_shard")), "shards")
+    counts = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "block").orderBy("__id", "crc", "n")
-    rows = placed(full).withColumn("at", F.row_number().over(inside).cast("long"))
+    rows = placed.withColumn("at", F.row_number().over(inside).cast("long"))
     starts = F.broadcast(starts) if len(leaves) * blocks <= BROADCAST_STARTS else starts
     return rows.join(starts, ["shard", "block"]).select(
         F.col("__id").alias(id_col),
@@ -128,7 +128,7 @@ def shard_documents(
         F.col("crc").alias("text_crc32"),
         "shard",
         (F.col("start") + F.col("at") - 1).alias("slot"),
-        (assign(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
+        "grown_shard",
     )
 
 
@@ -167,10 +167,10 @@ d AS (
     xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
       lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc,
     {_sql_assign(topology(SHARDS))} AS shard, {_sql_assign(topology(SHARDS + 1))} AS grown_shard,
-    ('0x' || substr(md5(k || '|block'), 1, 8))::BIGINT % {BLOCKS} AS block
+    k
   FROM d, crc_table
 )
 SELECT doc_id, n + {ROW_BYTES} AS size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, crc, n) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || '|' || crc || '|block'), 1, 8))::BIGINT % {BLOCKS}, doc_id NULLS FIRST, crc, n) - 1 AS slot, grown_shard::INTEGER AS grown_shard
 FROM r
 """
