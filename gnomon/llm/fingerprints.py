@@ -18,7 +18,7 @@ are (Jaccard, 0 to 1).
 Defined results: a null text is the empty text, which has one empty paragraph;
 equal texts have equal fingerprints, as have texts with the same paragraphs in
 another order; a null id comes after all others; documents with the same id are
-ordered by a hash of their text; the only document is its own next one.
+ordered by a hash of their text, then by the text; the only document is its own next one.
 """
 
 from __future__ import annotations
@@ -132,11 +132,13 @@ def likeness(a: Column, b: Column, banks: int = MOST_BANKS) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.round(F.greatest(F.lit(0.0), (both - apart) / (both + apart)), 9))
 
 
-def _blocks(ids: DataFrame) -> Column:
-    """A column that numbers blocks of neighbouring ``__id`` in rising order.
+def _blocks(ids: DataFrame) -> tuple[Column, bool]:
+    """A column that numbers blocks of neighbours in rising order of ``__id`` and ``tie``, and whether it needs ``tie``.
 
-    The driver gets at most ``COARSE`` quantiles and a count; blocks follow the
-    quantiles and, between two of them, equal steps.
+    The driver gets at most ``COARSE`` quantiles, the counts of their ids and one
+    count; blocks follow the quantiles and, between two of them, equal steps.  An
+    id with a share of the rows above ``1 / COARSE`` is a quantile, so that its
+    count is known: its rows are split by equal steps of ``tie``.
     """
     rows = ids.count()
     blocks = max(1, min(MOST_BLOCKS, math.ceil(rows / BLOCK_ROWS)))
@@ -144,35 +146,46 @@ def _blocks(ids: DataFrame) -> Column:
     shares = [i / coarse for i in range(coarse)] + [1.0]
     found = ids.agg(F.percentile_approx("__id", shares, 10000)).first()[0] if rows else None
     edges = sorted(set(found or [0]))
-    low, high = [float(x) for x in edges], [float(x) for x in edges[1:]] + [float(edges[-1]) + 1]
-    fine = math.ceil(blocks / len(edges))
     at = F.greatest(F.size(F.filter(F.lit(edges), lambda e: e <= F.col("__id"))), F.lit(1))
-    if fine == 1:
-        return at.cast("long")
-    here, above = F.element_at(F.lit(low), at), F.element_at(F.lit(high), at)
-    step = F.floor((F.col("__id").cast("double") - here) / F.greatest(above - here, F.lit(1.0)) * fine)
-    return at.cast("long") * fine + F.least(F.greatest(step, F.lit(0)), F.lit(fine - 1))
+    fine = math.ceil(blocks / len(edges))
+    here = F.element_at(F.lit(edges), at)
+    block = at.cast("long") * fine
+    if fine > 1:
+        low, high = [float(x) for x in edges], [float(x) for x in edges[1:]] + [float(edges[-1]) + 1]
+        start, above = F.element_at(F.lit(low), at), F.element_at(F.lit(high), at)
+        step = F.floor((F.col("__id").cast("double") - start) / F.greatest(above - start, F.lit(1.0)) * fine)
+        block = block + F.least(F.greatest(step, F.lit(0)), F.lit(fine - 1))
+    counts = dict(ids.where(F.col("__id").isin(edges)).groupBy("__id").count().collect()) if rows else {}
+    size = max(BLOCK_ROWS, rows / MOST_BLOCKS)
+    parts = [math.ceil(counts.get(x, 0) / size) for x in edges]
+    if max(parts) <= 2:
+        return block, False
+    within = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.element_at(F.lit(parts), at))
+    return block * (max(parts) + 1) + F.when(F.col("__id") == here, F.greatest(F.least(within, F.element_at(F.lit(parts), at) - 1), F.lit(0))).otherwise(max(parts)), True
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with ``next_<c>`` of the row after it in falling order of ``__id``; the first after the last.
 
-    One shuffle of the rows by blocks of neighbouring ids.  The first row of each
-    block also goes, as a ghost, to the block before it, whose last row needs it.
-    The broadcast table has one row per block, ``MOST_BLOCKS`` plus ``COARSE`` at most.
+    Rows of one id follow each other by a hash of the first of ``columns``, then by
+    that column itself.  One shuffle of the rows by blocks of neighbours.  The first
+    row of each block also goes, as a ghost, to the block before it, whose last row
+    needs it.  The broadcast table has one row per block: those of the quantiles and
+    those of hot ids, each ``MOST_BLOCKS`` plus ``COARSE`` at most.
     """
-    ids = docs.select("__id")
-    block = _blocks(ids)
-    firsts = ids.groupBy(block.alias("block")).agg(F.max("__id").alias("__id"))
+    tied = docs.withColumn("tie", F.xxhash64(columns[0]))
+    block, split = _blocks(docs.select("__id"))
+    place = ["__id", "tie"] if split else ["__id"]
+    firsts = tied.groupBy(block.alias("block")).agg(F.max(F.struct(*place)).alias("first")).select("block", "first.*")
     rising = Window.orderBy("block")
     ends = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    targets = firsts.select("__id", F.coalesce(F.lead("block").over(rising), F.first("block").over(ends)).alias("target"))
-    rows = docs.withColumn("block", block).withColumn("tie", F.xxhash64(*columns)).join(F.broadcast(targets), "__id", "left")
+    targets = firsts.select(*place, F.coalesce(F.lead("block").over(rising), F.first("block").over(ends)).alias("target"))
+    rows = tied.withColumn("block", block).join(F.broadcast(targets), place, "left")
     places = F.when(F.col("target").isNull(), F.array(F.struct(F.col("block"), F.lit(False).alias("ghost")))).otherwise(
         F.array(F.struct(F.col("block"), F.lit(False).alias("ghost")), F.struct(F.col("target").alias("block"), F.lit(True).alias("ghost")))
     )
     dealt = rows.withColumn("place", F.explode(places)).select("__id", "tie", *columns, "place.*")
-    order = Window.partitionBy("block").orderBy("ghost", F.col("__id").desc(), F.col("tie").desc())
+    order = Window.partitionBy("block").orderBy("ghost", F.col("__id").desc(), F.col("tie").desc(), F.col(columns[0]).desc())
     nexts = [F.lead(c).over(order).alias(f"next_{c}") for c in columns]
     return dealt.select("__id", "ghost", *columns, *nexts).where(~F.col("ghost")).drop("ghost")
 

@@ -116,6 +116,19 @@ def test_weights_confine_movement_to_their_subtree(spark):
     assert abs((rows.b >= 12).mean() - 2 / 3) < 0.04
 
 
+def test_rows_of_one_id_spread_over_blocks_and_slots_have_no_gaps(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"text {i % 2500}") for i in range(4000)]
+    folder = write(tmp_path, documents=documents(rows))
+    df = queries.QUERIES["op2_sharding"](spark, folder)
+    same(df, queries.SQL["op2_sharding"], folder)
+    got = df.toPandas()
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    # no order by text inside the one id: its rows are dealt over hashed blocks first
+    nulls = got[got.doc_id.isna()].sort_values("slot")
+    assert len(nulls) == sum(i is None for i, _ in rows) and not nulls.text_crc32.is_monotonic_increasing
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 
 
@@ -155,6 +168,18 @@ def test_next_document_wraps_around_across_blocks(spark, monkeypatch):
     assert got == {a: str(b) for a, b in zip(down, [*down[1:], down[0]], strict=True)}
 
 
+def test_next_document_of_hot_ids_is_right_and_their_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 16)
+    ids = [fingerprints.NULL_ID] * 400 + [50] * 300 + [51] * 9 + list(range(500))
+    df = spark.createDataFrame([(x, f"t{i % 600}") for i, x in enumerate(ids)], "__id long, text string")
+    block, split = fingerprints._blocks(df.select("__id"))
+    blocks = df.withColumn("tie", F.xxhash64("text")).groupBy(block).count().collect()
+    assert split and max(r["count"] for r in blocks) <= 64
+    down = [(r["__id"], r["text"]) for r in df.orderBy(F.desc("__id"), F.xxhash64("text").desc(), F.desc("text")).collect()]
+    want = Counter((a, t, u) for (a, t), (_, u) in zip(down, [*down[1:], down[0]], strict=True))
+    assert Counter(map(tuple, fingerprints.with_next(df, ["text"]).select("__id", "text", "next_text").collect())) == want
+
+
 # --- 4 --------------------------------------------------------------------------------------------------------
 
 
