@@ -6,57 +6,134 @@ vector to the next day, so that a day's features never see that day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as W
+from .folds import Columns, Ema, Lag, Rolling, ordered_fold
 
 #: Lookbacks of the minute vector, and its indicators.
 LOOKBACKS = (50, 100, 200, 400, 800, 1600, 3200)
-INDICATORS = ("zscore", "bandwidth", "mfi", "force_index", "donchian_width", "atr", "awesome_oscillator", "adx")
+INDICATORS = ("bb_zscore", "bb_bandwidth", "mfi", "force_index", "donchian_width", "atr", "awesome_osc", "adx")
+#: Bars that a series must have beyond the longest lookback before it has a minute vector.
+WARM_UP = 50
+#: Bars after which nothing of a mean with the directional index's longest period, 14, is left in a double, twice over.
+FADED = 512
+TINY = 1e-12
 
 
 def feature_names(lookbacks: tuple[int, ...] = LOOKBACKS, legs: tuple[str, ...] = ("target", "hedge")) -> list[str]:
     """Names of the minute vector: 8 indicators for 2 legs and 7 lookbacks are 112."""
-    return [f"{leg}_{ind}_{n}" for leg in legs for ind in INDICATORS for n in lookbacks]
-
-
-def bar_features(df: DataFrame, *, keys: list[str], order: list[str], lookbacks: tuple[int, ...], prefix: str = "") -> DataFrame:
-    """The eight indicators over each lookback; null until a lookback is full."""
-    w = W.series(keys, *order)
-    lag = lambda c: F.lag(c).over(w)
-    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    rows = df.withColumn("__t", typical).withColumn("__c", F.col("close") - lag("close"))
-    rows = rows.withColumn("__tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - lag("close")), F.abs(F.col("low") - lag("close"))))
-    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
-    rows = rows.withColumn("__up", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("__dn", F.when((down > up) & (down > 0), down).otherwise(0.0))
-    flow = F.col("__t") * F.col("volume")
-    rows = rows.withColumn("__pf", F.when(F.col("__t") > lag("__t"), flow).otherwise(0.0)).withColumn("__nf", F.when(F.col("__t") < lag("__t"), flow).otherwise(0.0))
-    rows = rows.withColumn("__fi", F.col("__c") * F.col("volume")).withColumn("__dv", F.col("close") * F.col("volume")).withColumn("__m", (F.col("high") + F.col("low")) / 2)
-    out: list[Column] = []
-    for n in lookbacks:
-        frame = w.rowsBetween(-(n - 1), 0)
-        short = w.rowsBetween(-(max(n // 7, 1) - 1), 0)
-        full = lambda c, frame=frame, n=n: F.when(F.count(F.lit(1)).over(frame) == n, c)
-        mean, sd = F.avg("close").over(frame), F.stddev_pop("close").over(frame)
-        hi, lo = F.max("high").over(frame), F.min("low").over(frame)
-        pf, nf = F.sum("__pf").over(frame), F.sum("__nf").over(frame)
-        pu, pd_ = F.sum("__up").over(frame), F.sum("__dn").over(frame)
-        made = {
-            "zscore": F.when(sd > 0, (F.col("close") - mean) / sd).otherwise(0.0), "bandwidth": F.when(mean != 0, 4 * sd / mean).otherwise(0.0),
-            "mfi": F.when(nf == 0, 100.0).otherwise(100 - 100 / (1 + pf / nf)), "force_index": F.coalesce(F.avg("__fi").over(frame) / F.nullif(F.avg("__dv").over(frame), F.lit(0.0)), F.lit(0.0)),
-            "donchian_width": (hi - lo) / F.nullif(F.col("close"), F.lit(0.0)), "atr": F.avg("__tr").over(frame) / F.nullif(F.col("close"), F.lit(0.0)),
-            "awesome_oscillator": F.avg("__m").over(short) - F.avg("__m").over(frame), "adx": F.coalesce(100 * F.abs(pu - pd_) / F.nullif(pu + pd_, F.lit(0.0)), F.lit(0.0)),
-        }
-        out += [full(made[ind]).alias(f"{prefix}{ind}_{n}") for ind in INDICATORS]
-    return rows.select(*keys, *order, *out)
+    return [f"{ind}_{leg}_{n}" for ind in INDICATORS for leg in legs for n in lookbacks]
+
+
+class _FrameEma:
+    """The mean ``y = a x + (1 - a) y`` of span ``n``, begun anew ``n`` rows before each row.
+
+    An endless mean less what is left of it from before the frame.
+    """
+
+    def __init__(self, n: int):
+        self.ema, self.left = Ema(n, seed=0.0), ((n - 1) / (n + 1)) ** (n - 1)
+        self.old, self.first = Lag(n - 1, 0.0), Lag(n - 1, 0.0)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        y = self.ema(x)
+        return y - self.left * (self.old(y) - self.first(x)) if self.left < 1 else x
+
+
+class _FrameAdx:
+    """The directional index over the last ``n`` moves, all its means begun anew with the frame.
+
+    All rows of a batch take the steps of their frames together.  Of a frame of
+    more than ``FADED`` moves the older ones weigh nothing.
+    """
+
+    def __init__(self, n: int, period: int):
+        self.a, self.n = 2.0 / (period + 1), min(n, FADED)
+        self.tails = [np.full(self.n - 1, np.nan) for _ in range(3)]
+
+    def __call__(self, *moves: np.ndarray) -> np.ndarray:
+        size = len(moves[0])
+        both = [np.concatenate([t, x]) for t, x in zip(self.tails, moves, strict=True)]
+        self.tails = [x[size:] for x in both]
+        state = [np.full(size, np.nan) for _ in range(4)]
+
+        def follow(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            return np.where(np.isnan(y), x, self.a * x + (1 - self.a) * y)
+
+        for j in range(self.n):
+            rng, plus, minus = (follow(y, x[j : j + size]) for y, x in zip(state, both, strict=False))
+            p, m = 100 * plus / (rng + 1e-10), 100 * minus / (rng + 1e-10)
+            state = [rng, plus, minus, follow(state[3], 100 * np.abs(p - m) / (p + m + 1e-10))]
+        return np.clip(state[3], 0, 100)
+
+
+class _Vector:
+    """The eight indicators over each lookback, along one series."""
+
+    def __init__(self, lookbacks: tuple[int, ...]):
+        self.seen, self.lookbacks = 0, lookbacks
+        self.before = {c: Lag() for c in ("high", "low", "close", "typical")}
+        self.rolls = {n: {w: Rolling(n, w.split()[0]) for w in ("mean close", "std close", "sum pos", "sum neg", "sum falls", "mean worth", "max high", "min low", "mean mid")} for n in lookbacks}
+        self.short = {n: Rolling(max(5, n // 7), "mean") for n in lookbacks}
+        self.force, self.range = ({n: _FrameEma(n) for n in lookbacks} for _ in range(2))
+        self.period = {n: max(3, min(14, n // 3)) for n in lookbacks}
+        self.adx = {k: _FrameAdx(*k) for k in {(min(n, FADED), self.period[n]) for n in lookbacks}}
+
+    def __call__(self, c: Columns) -> Columns:
+        high, low, close, volume = (c[x].astype(float) for x in ("high", "low", "close", "volume"))
+        typical, mid = (high + low + close) / 3, (high + low) / 2
+        hi, lo, last, was = (self.before[n](x) for n, x in (("high", high), ("low", low), ("close", close), ("typical", typical)))
+        at = self.seen + 1 + np.arange(len(close))
+        self.seen += len(close)
+        out = {"__bar": at}
+        with np.errstate(all="ignore"):
+            spread = np.maximum(high - low, np.maximum(np.abs(high - last), np.abs(low - last)))
+            up, down = np.maximum(high - hi, 0), np.maximum(lo - low, 0)
+            plus, minus = np.where(up > down, up, np.where(at == 1, np.nan, 0.0)), np.where(down > up, down, np.where(at == 1, np.nan, 0.0))
+            pushed = np.where(at == 1, 0.0, (close - last) * volume)
+            calm = np.where(at == 1, 0.0, spread)
+            falls = (typical < was).astype(float)
+            given = {"close": close, "pos": np.where(typical > was, typical * volume, 0.0), "neg": falls * typical * volume, "falls": falls, "worth": close * volume, "high": high, "low": low, "mid": mid}
+            index = {k: f(spread, plus, minus) for k, f in self.adx.items()}
+            for n in self.lookbacks:
+                r = {w: f(given[w.split()[1]]) for w, f in self.rolls[n].items()}
+                neg = np.where(r["sum falls"] > 0.5, r["sum neg"], 0.0)
+                made = {
+                    "bb_zscore": (at >= n, np.where(r["std close"] < TINY, 0.0, (close - r["mean close"]) / r["std close"]), 0.0),
+                    "bb_bandwidth": (at >= n, np.where(r["mean close"] < TINY, 0.0, 4 * r["std close"] / r["mean close"]), 0.0),
+                    "mfi": (at > n, np.where(neg < TINY, 100.0, 100 - 100 / (1 + r["sum pos"] / neg)), 50.0),
+                    "force_index": (at > n, np.where(r["mean worth"] < TINY, 0.0, self.force[n](pushed) / r["mean worth"]), 0.0),
+                    "donchian_width": (at >= n, np.where(close < TINY, 0.0, (r["max high"] - r["min low"]) / close), 0.0),
+                    "atr": (at > n, np.where(close < TINY, 0.0, self.range[n](calm) / close), 0.0),
+                    "awesome_osc": (at >= n, np.where(r["mean mid"] < TINY, 0.0, (self.short[n](mid) - r["mean mid"]) / r["mean mid"]), 0.0),
+                    "adx": (at >= 3 * self.period[n], index[min(n, FADED), self.period[n]], 25.0),
+                }
+                for name, (enough, value, neutral) in made.items():
+                    value = np.where(enough, value, neutral)
+                    out[f"{name}_{n}"] = np.where(np.isfinite(value), value, 0.0)
+        return out
+
+
+def bar_features(df: DataFrame, *, keys: list[str], order: list[str], lookbacks: tuple[int, ...], leg: str = "", least: int = 1) -> DataFrame:
+    """The eight indicators over each lookback, from the ``least``-th bar on; a neutral value where there are too few bars.
+
+    Bars are ``high, low, close, volume``.  Neutral are 50 for the money flow, 25
+    for the directional index and 0 for the others.  Columns are
+    ``<indicator>_<lookback>``, with a leg ``<indicator>_<leg>_<lookback>``.
+    """
+    bars = df.select(*keys, *order, *(F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume")))
+    names = [f"{ind}_{n}" for ind in INDICATORS for n in lookbacks]
+    rows = ordered_fold(bars, keys=keys, order=order, make=lambda: _Vector(lookbacks), fields=", ".join(["__bar bigint", *(f"{x} double" for x in names)]))
+    return rows.where(F.col("__bar") >= least).select(*keys, *order, *(F.col(f"{ind}_{n}").alias(f"{ind}_{leg}_{n}" if leg else f"{ind}_{n}") for ind in INDICATORS for n in lookbacks))
 
 
 def minute_vector(target: DataFrame, hedge: DataFrame, *, keys: list[str], ts: str, lookbacks: tuple[int, ...] = LOOKBACKS) -> DataFrame:
-    """Features of both legs at each common time."""
-    a = bar_features(target, keys=keys, order=[ts], lookbacks=lookbacks, prefix="target_")
-    b = bar_features(hedge, keys=keys, order=[ts], lookbacks=lookbacks, prefix="hedge_")
-    return a.join(b, [*keys, ts])
+    """Features of both legs at each common time from which on both have the longest lookback and ``WARM_UP`` bars more."""
+    a, b = (bar_features(bars, keys=keys, order=[ts], lookbacks=lookbacks, leg=leg, least=max(lookbacks) + WARM_UP) for bars, leg in ((target, "target"), (hedge, "hedge")))
+    return a.join(b, [*keys, ts]).select(*keys, ts, *feature_names(lookbacks))
 
 
 def daily_vector(df: DataFrame, *, keys: list[str], day: str, value: str = "close", horizons: tuple[int, ...] = (1, 5, 20), vols: tuple[int, ...] = (5, 20)) -> DataFrame:

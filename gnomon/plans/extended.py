@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import MOVES
@@ -12,17 +13,45 @@ from .param_grids import literal
 K = {"keys": ["asset"], "order": ["ts"]}
 
 
-@query("bar_feature_vector", f"WITH {BARS} SELECT asset, ts, CASE WHEN count(*) OVER w = 50 THEN round((close - avg(close) OVER w) / stddev_pop(close) OVER w, 6) END AS zscore_50, CASE WHEN count(*) OVER w = 50 THEN round(4 * stddev_pop(close) OVER w / avg(close) OVER w, 6) END AS bandwidth_50, CASE WHEN count(*) OVER w = 50 THEN round((max(high) OVER w - min(low) OVER w) / close, 5) END AS donchian_width_50 FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts ROWS 49 PRECEDING)")
+def _vector_sql(rows: str, n: int, leg: str = "") -> str:
+    """The eight indicators over a lookback, each row's frame walked through as a list."""
+    p = max(3, min(14, n // 3))
+    ema = lambda of, span: f"(2.0::DOUBLE / {span + 1} * e.{of} + {span - 1}.0::DOUBLE / {span + 1} * s.{of})"
+    dx = lambda r, u, d: f"(100 * abs(100 * {u} / ({r} + 1e-10) - 100 * {d} / ({r} + 1e-10)) / (100 * {u} / ({r} + 1e-10) + 100 * {d} / ({r} + 1e-10) + 1e-10))"
+    walk = f"{{'f': {ema('f', n)}, 't': {ema('t', n)}, 'r': {ema('r', p)}, 'u': {ema('u', p)}, 'd': {ema('d', p)}, 'x': 2.0::DOUBLE / {p + 1} * {dx(ema('r', p), ema('u', p), ema('d', p))} + {p - 1}.0::DOUBLE / {p + 1} * s.x}}"
+    made = {
+        "bb_zscore": f"CASE WHEN i < {n} OR sd < 1e-12 THEN 0 ELSE (close - mu) / sd END", "bb_bandwidth": f"CASE WHEN i < {n} OR mu < 1e-12 THEN 0 ELSE 4 * sd / mu END",
+        "mfi": f"CASE WHEN i <= {n} THEN 50 WHEN neg < 1e-12 THEN 100 ELSE 100 - 100 / (1 + pos / neg) END", "force_index": f"CASE WHEN i <= {n} OR worth < 1e-12 THEN 0 ELSE z.f / worth END",
+        "donchian_width": f"CASE WHEN i < {n} THEN 0 ELSE (hh - ll) / close END", "atr": f"CASE WHEN i <= {n} THEN 0 ELSE z.t / close END",
+        "awesome_osc": f"CASE WHEN i < {n} THEN 0 ELSE (quick - slow) / slow END", "adx": f"CASE WHEN i < {3 * p} THEN 25 ELSE greatest(0, least(100, z.x)) END",
+    }
+    s = "(PARTITION BY asset ORDER BY ts)"
+    m = f"SELECT *, row_number() OVER {s} AS i, (high + low + close) / 3 AS tp, (high + low) / 2 AS mid, close - lag(close) OVER {s} AS dc, greatest(high - low, abs(high - lag(close) OVER {s}), abs(low - lag(close) OVER {s})) AS tr, greatest(high - lag(high) OVER {s}, 0) AS up, greatest(lag(low) OVER {s} - low, 0) AS dn FROM {rows}"
+    k = f"SELECT *, tp - lag(tp) OVER {s} AS dt, CASE WHEN up > dn THEN up ELSE 0 END AS u, CASE WHEN dn > up THEN dn ELSE 0 END AS d FROM ({m})"
+    frame = lambda length: f"(PARTITION BY asset ORDER BY ts ROWS {length - 1} PRECEDING)"
+    f = f"SELECT *, avg(close) OVER w AS mu, stddev_samp(close) OVER w AS sd, sum(CASE WHEN dt > 0 THEN tp * volume ELSE 0 END) OVER w AS pos, sum(CASE WHEN dt < 0 THEN tp * volume ELSE 0 END) OVER w AS neg, avg(close * volume) OVER w AS worth, max(high) OVER w AS hh, min(low) OVER w AS ll, avg(mid) OVER w AS slow, avg(mid) OVER v AS quick, list({{'f': (dc * volume)::DOUBLE, 't': tr::DOUBLE, 'r': tr::DOUBLE, 'u': u::DOUBLE, 'd': d::DOUBLE, 'x': {dx('tr', 'u', 'd')}::DOUBLE}}) FILTER (i > 1) OVER w AS l FROM ({k}) WINDOW w AS {frame(n)}, v AS {frame(max(5, n // 7))}"
+    z = f"SELECT *, CASE WHEN i > 1 THEN list_reduce(l, lambda s, e: {walk}) END AS z FROM ({f})"
+    return f"SELECT asset, ts, i, {', '.join(f'round(({x})::DOUBLE, 5) + 0.0 AS {name}_{leg}{n}' for name, x in made.items())} FROM ({z})"
+
+
+def _rounded(f: DataFrame) -> DataFrame:
+    return f.select("asset", "ts", *((F.round(c, 5) + 0.0).alias(c) for c in f.columns if c not in ("asset", "ts")))
+
+
+@query("bar_feature_vector", f"WITH {BARS} SELECT * EXCLUDE (i) FROM ({_vector_sql('bars', 50)})")
 def _(spark, sf):
-    f = features.bar_features(bars(spark, sf), **K, lookbacks=(50,))
-    return f.select("asset", "ts", F.round("zscore_50", 6).alias("zscore_50"), F.round("bandwidth_50", 6).alias("bandwidth_50"), F.round("donchian_width_50", 5).alias("donchian_width_50"))
+    return _rounded(features.bar_features(bars(spark, sf), **K, lookbacks=(50,)))
+
+
+_LEG = "(SELECT * REPLACE ('pair' AS asset) FROM bars WHERE asset = '{}')"
+_LEGS = [_vector_sql(_LEG.format(asset), n, f"{leg}_") for asset, leg in (("click", "target"), ("view", "hedge")) for n in (50, 100)]
 
 
-@query("minute_feature_vector")
+@query("minute_feature_vector", f"WITH {BARS} SELECT * EXCLUDE (i) FROM ({_LEGS[0]}) JOIN (SELECT * EXCLUDE (i) FROM ({_LEGS[1]})) USING (asset, ts) JOIN (SELECT * EXCLUDE (i) FROM ({_LEGS[2]}) WHERE i >= 150) USING (asset, ts) JOIN (SELECT * EXCLUDE (i) FROM ({_LEGS[3]})) USING (asset, ts) WHERE i >= 150")
 def _(spark, sf):
     b = bars(spark, sf)
     pair = lambda a: b.where(F.col("asset") == a).withColumn("asset", F.lit("pair"))
-    return features.minute_vector(pair("click"), pair("view"), keys=["asset"], ts="ts", lookbacks=(50, 100))
+    return _rounded(features.minute_vector(pair("click"), pair("view"), keys=["asset"], ts="ts", lookbacks=(50, 100)))
 
 
 @query("daily_feature_vector", f"WITH {DAILY}, r AS (SELECT asset, day, price, price / lag(price) OVER w - 1 AS r1, price / lag(price, 5) OVER w - 1 AS r5 FROM daily WINDOW w AS (PARTITION BY asset ORDER BY day)), f AS (SELECT asset, day, r1, r5, CASE WHEN count(r1) OVER v = 20 THEN stddev_samp(r1) OVER v END AS vol, CASE WHEN count(*) OVER v = 20 THEN price / avg(price) OVER v - 1 END AS gap FROM r WINDOW v AS (PARTITION BY asset ORDER BY day ROWS 19 PRECEDING)) SELECT asset, day, round(lag(r1) OVER w, 6) AS ret_1, round(lag(r5) OVER w, 6) AS ret_5, round(lag(vol) OVER w, 6) AS vol_20, round(lag(gap) OVER w, 6) AS gap_20 FROM f WINDOW w AS (PARTITION BY asset ORDER BY day)")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gnomon.functions import calendar, scalars
-from gnomon.operators import backtest, baskets, folds, indicators, infobars, labels, ml, portfolio, scans, signals, statistics
+from gnomon.operators import backtest, baskets, features, folds, indicators, infobars, labels, ml, portfolio, scans, signals, statistics
 from gnomon.plans import base, config, logs, plugins, registry, workflow
 from gnomon.sources import catalog, loader, readers, sinks, store
 from gnomon.streaming import flows
@@ -490,3 +490,45 @@ def test_garch_models_cover_all_series(spark, sf_dir):
 def test_sample_weights_cover_all_bars(spark, sf_dir):
     got = base.REGISTERED["sample_weights"](spark, sf_dir)
     assert got.count() == base.bars(spark, sf_dir).count() and got.where("weight IS NULL").count() == 0
+
+
+def test_bar_features_by_hand_over_many_batches(spark):
+    rng = np.random.default_rng(5)
+    close = 50 + np.cumsum(rng.normal(size=900))
+    close[300:340] = close[300]
+    bars = pd.DataFrame({"k": "a", "i": np.arange(900), "high": close + rng.random(900), "low": close - rng.random(900), "close": close, "volume": rng.integers(1, 9, 900).astype(float)})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        got = features.bar_features(spark.createDataFrame(bars), keys=["k"], order=["i"], lookbacks=(12, 700)).toPandas().set_index("i")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    h, lo, c, v = (bars[x].to_numpy() for x in ("high", "low", "close", "volume"))
+    typical, mid = (h + lo + c) / 3, (h + lo) / 2
+
+    def ema(xs, span):
+        y = xs[0]
+        for x in xs[1:]:
+            y += 2 / (span + 1) * (x - y)
+        return y
+
+    for n, at in ((12, 5), (12, 9), (12, 11), (12, 12), (12, 330), (12, 899), (700, 400), (700, 699), (700, 700), (700, 899)):
+        w, moves = slice(max(0, at - n + 1), at + 1), range(max(1, at - n + 1), at + 1)
+        full, more, p = at + 1 >= n, at + 1 > n, max(3, min(14, n // 3))
+        tr = [max(h[j], c[j - 1]) - min(lo[j], c[j - 1]) for j in moves]
+        up, down = [max(h[j] - h[j - 1], 0) for j in moves], [max(lo[j - 1] - lo[j], 0) for j in moves]
+        plus, minus = [u if u > d else 0 for u, d in zip(up, down, strict=True)], [d if d > u else 0 for u, d in zip(up, down, strict=True)]
+        index = []
+        for j in range(len(moves)):
+            a, b = (100 * ema(x[: j + 1], p) / (ema(tr[: j + 1], p) + 1e-10) for x in (plus, minus))
+            index.append(100 * abs(a - b) / (a + b + 1e-10))
+        pos, neg = (sum(typical[j] * v[j] for j in moves if s * (typical[j] - typical[j - 1]) > 0) for s in (1, -1))
+        sd = np.std(c[w], ddof=1)
+        want = {
+            "bb_zscore": (c[at] - c[w].mean()) / sd if full and sd > 1e-12 else 0, "bb_bandwidth": 4 * sd / c[w].mean() if full else 0,
+            "mfi": 50 if not more else 100 if neg == 0 else 100 * pos / (pos + neg), "force_index": ema([(c[j] - c[j - 1]) * v[j] for j in moves], n) / (c[w] * v[w]).mean() if more else 0,
+            "donchian_width": (h[w].max() - lo[w].min()) / c[at] if full else 0, "atr": ema(tr, n) / c[at] if more else 0,
+            "awesome_osc": (mid[at + 1 - max(5, n // 7) : at + 1].mean() - mid[w].mean()) / mid[w].mean() if full else 0, "adx": ema(index, p) if at + 1 >= 3 * p else 25,
+        }
+        assert {f"{x}_{n}": pytest.approx(y, abs=1e-8) for x, y in want.items()} == {f"{x}_{n}": got.loc[at, f"{x}_{n}"] for x in want}
+    assert len(features.feature_names()) == 112
