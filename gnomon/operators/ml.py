@@ -82,7 +82,7 @@ def grid_returns(days: DataFrame, configs: DataFrame, run: Callable[[pd.DataFram
 def training_rows(features: DataFrame, returns: DataFrame, configs: DataFrame, *, model: str, day: str) -> DataFrame:
     """Features of a day and a configuration with the sign of its next day's return."""
     rows = shifted(features, returns, keys=[model], day=day)
-    return rows.join(F.broadcast(configs), "config_id").withColumn("label", (F.col("daily_return") > 0).cast("double"))
+    return rows.join(configs, "config_id").withColumn("label", (F.col("daily_return") > 0).cast("double"))
 
 
 def keep_models(returns: DataFrame, *, model: str, group: str, floor: float = 0.0) -> DataFrame:

@@ -50,11 +50,12 @@ def trend(df: DataFrame, *, keys: list[str], order: list[str]) -> DataFrame:
             side = np.where(r[7] > 0, 1, -1)
             same = (np.sign(r[1]) == np.sign(r[7])) & (np.sign(r[7]) == np.sign(r[30])) & (r[1] != 0)
             state = np.where((adx > 40) & same, 2 * side, np.where(adx > 25, side, 0))
-            return {"adx_14": adx, "trend_state": np.where(n < 35, 0, state)}
+            moved = {f"ret_{k}d": x for k, x in r.items()}
+            return {"adx_14": adx, "plus_di_14": p, "minus_di_14": m, **moved, "trend_state": np.where(n < 35, 0, state)}
 
         return step
 
-    return ordered_fold(df, keys=keys, order=order, make=make, fields="adx_14 double, trend_state int")
+    return ordered_fold(df, keys=keys, order=order, make=make, fields="adx_14 double, plus_di_14 double, minus_di_14 double, ret_1d double, ret_7d double, ret_30d double, trend_state int")
 
 
 def garman_klass() -> Column:
@@ -181,29 +182,190 @@ def rv_iv(rv: Column, dvol: Column) -> Column:
     return F.when(gap > 10, 1).when(gap < -10, -1).otherwise(0)
 
 
-def serial_correlation(df: DataFrame, *, keys: list[str], order: list[str], bars: int = 504) -> DataFrame:
-    """D: -2..2 by the Hurst exponent of the last ``bars`` prices, at every bar that has so many."""
+def serial_state(hurst: np.ndarray) -> np.ndarray:
+    score = (hurst - 0.5) * 4
+    return np.where(score > 1.5, 2, np.where(score > 0.4, 1, np.where(score < -1.5, -2, np.where(score < -0.4, -1, 0))))
+
+
+def serial_correlation(df: DataFrame, *, keys: list[str], order: list[str], bars: int = 504, every: int = 1, slow: int = 24) -> DataFrame:
+    """D: -2..2 by the Hurst exponent of the last ``bars`` prices, with the variance ratios of 4 and ``slow`` bars.
+
+    Figures are given at every ``every``-th bar of a series that has so many
+    before it; elsewhere they are null and the state is 0.
+    """
     from .statistics import hurst_rs
 
+    lags = {"vr_4": 4, "vr_24": slow}
+
     def make() -> Step:
-        tail = [np.empty(0)]
+        tail, seen = [np.empty(0)], [0]
 
         def step(c: Columns) -> Columns:
             both = np.concatenate([tail[0], np.log(c["close"] + 1e-10)])
             n = len(c["close"])
-            out = np.full(n, np.nan)
+            out = {name: np.full(n, np.nan) for name in ("hurst", *lags)}
             for i in range(n):
                 end = len(both) - n + i + 1
-                if end >= bars:
-                    out[i] = hurst_rs(both[end - bars : end])
+                if end >= bars and (seen[0] + i + 1) % every == 0:
+                    x = both[end - bars : end]
+                    out["hurst"][i] = hurst_rs(x)
+                    one = np.var(np.diff(x), ddof=1)
+                    for name, q in lags.items():
+                        out[name][i] = np.var(x[q:] - x[:-q], ddof=1) / (q * one) if one >= 1e-15 else 1.0
+            seen[0] += n
             tail[0] = both[max(0, len(both) - bars + 1) :]
-            score = (out - 0.5) * 4
-            state = np.where(score > 1.5, 2, np.where(score > 0.4, 1, np.where(score < -1.5, -2, np.where(score < -0.4, -1, 0))))
-            return {"hurst": out, "serial_state": state}
+            return {**out, "serial_state": serial_state(out["hurst"])}
 
         return step
 
-    return ordered_fold(df, keys=keys, order=order, make=make, fields="hurst double, serial_state int")
+    return ordered_fold(df, keys=keys, order=order, make=make, fields="hurst double, vr_4 double, vr_24 double, serial_state int")
+
+
+#: The classes and their names.
+CLASSES = {
+    "A": "trend",
+    "B": "vol_level",
+    "C": "vol_trend",
+    "D": "serial_corr",
+    "E": "microstructure",
+    "F": "funding_positioning",
+    "G": "liquidity",
+    "H": "cross_asset_corr",
+    "I": "volume_participation",
+    "J": "term_structure",
+    "K": "dispersion",
+    "L": "rv_iv_spread",
+}
+
+FIRST_DAY = 35  # the directional index needs so many days
+CORRELATED_BARS = 168
+
+
+def _bar_columns(df: DataFrame, keys: list[str], ts: str, bars: int) -> DataFrame:
+    """Bars with their number in the series, the day they fall in (days are runs of ``bars``) and their own figures."""
+    w = W.series(keys, ts)
+    rows = df.withColumn("__i", F.row_number().over(w)).withColumn("__day", F.ceil(F.col("__i") / bars).cast("int"))
+    buy = F.col("volume") * F.greatest(F.least((F.col("close") - F.col("open")) / (F.col("high") - F.col("low") + 1e-10), F.lit(1.0)), F.lit(0.0))
+    rows = rows.withColumn("__ofi", (2 * buy - F.col("volume")) / (F.col("volume") + 1e-10)).withColumn("__gk", F.nanvl(garman_klass(), F.lit(None).cast("double")))
+    log = F.ln(F.col("close") + 1e-10)
+    return rows.withColumn("__ret", log - F.lag(log).over(w))
+
+
+def _mean_correlation(rows: DataFrame, keys: list[str], bars: int) -> DataFrame:
+    """Mean, largest and smallest correlation of all pairs of series over the last week of bars, at each full day.
+
+    Bars meet by their number.  Days are summed before they are combined, so a
+    pair sends one row of moments a day, not its bars.
+    """
+    x = rows.select("__i", "__day", F.struct(*keys).alias("a"), F.coalesce("__ret", F.lit(0.0)).alias("x"))
+    y = x.select("__i", F.col("a").alias("b"), F.col("x").alias("y"))
+    m = {"n": F.lit(1), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
+    pairs = x.join(y, "__i").where("a < b").groupBy("a", "b", "__day").agg(*(F.sum(v).alias(k) for k, v in m.items()))
+    days = CORRELATED_BARS // bars
+    w = Window.partitionBy("a", "b").orderBy("__day").rowsBetween(-(days - 1), 0)
+    week = pairs.select("__day", *(F.sum(k).over(w).alias(k) for k in m)).where(F.col("n") == days * bars)
+    n = F.col("n")
+    sd = lambda s, ss: F.greatest(n * F.col(ss) - F.col(s) * F.col(s), F.lit(0.0))
+    c = (n * F.col("xy") - F.col("x") * F.col("y")) / F.nullif(F.sqrt(sd("x", "xx") * sd("y", "yy")), F.lit(0.0))
+    return week.select("__day", c.alias("c")).groupBy("__day").agg(F.avg("c").alias("H_mean_pairwise_corr"), F.max("c").alias("H_max_corr"), F.min("c").alias("H_min_corr"))
+
+
+def _funding_days(funding_rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """F and J at every third payment, and at the last one, by the day it closes."""
+    w = W.series(keys, *order)
+    rows = funding(funding_rows, keys=keys, order=order).withColumnRenamed("funding_state", "__F")
+    rows = term_structure(rows, keys=keys, order=order).withColumnRenamed("term_state", "__J")
+    n, last = F.row_number().over(w), F.lead(F.lit(1)).over(w).isNull()
+    rows = rows.withColumn("__n", n).withColumn("__last", last).where((F.col("__n") % 3 == 0) | F.col("__last"))
+    return rows.select(*keys, F.ceil(F.col("__n") / 3).cast("int").alias("__day"), "__n", "__last", "__F", "__J", F.col("fr_ann").alias("F_fr_ann"), (F.col("rate") * 100).alias("F_fr_8h_pct"), F.col("oi_change_7d").alias("F_oi_change_7d"), F.col("fr_7d_ann").alias("J_fr_7d_ann"), F.col("fr_30d_ann").alias("J_fr_30d_ann"), F.col("fr_slope").alias("J_fr_slope"))
+
+
+def daily_states(df: DataFrame, *, keys: list[str], ts: str, bars: int = 24, funding_rows: DataFrame | None = None, funding_order: list[str] | None = None) -> DataFrame:
+    """All twelve classes with their raw figures, at the last bar of every full day from the 35th on.
+
+    A day is a run of ``bars`` bars (a divisor of 168) counted from the start of
+    a series; one that isn't full gives no row.  ``funding_rows`` holds ``rate``
+    and ``oi`` per key, three to a day, in ``funding_order``; where a series'
+    payments end its last ones hold.  An implied volatility may come as column
+    ``dvol`` of ``df`` (the last one known by the bar).  H and K look across all
+    series of ``df``, bar by bar.  A class without data is 0 and listed in
+    ``missing``; K has no history here and is 1.  Null prices give null figures.
+    Rows that repeat a key and a time are bars of their own, in no fixed order.
+    """
+    if CORRELATED_BARS % bars:
+        raise ValueError(f"{bars} bars a day don't divide {CORRELATED_BARS}")
+    implied = F.col("dvol").cast("double") if "dvol" in df.columns else F.lit(None).cast("double")
+    rows = _bar_columns(df.select(*keys, ts, *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")), implied.alias("dvol")), keys, ts, bars)
+    at = lambda c, pick=F.max_by: pick(c, "__i")
+    days = rows.groupBy(*keys, "__day").agg(
+        F.count(F.lit(1)).alias("__bars"), at(ts).alias(ts), F.max("high").alias("high"), F.min("low").alias("low"), at("close").alias("close"), at("close", F.min_by).alias("__first"),
+        F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("__dollars"), F.sum("__gk").alias("__gk"), F.count("__gk").alias("__gks"),
+        F.avg("__ofi").alias("E_ofi_24h"), at("__ofi").alias("E_ofi_bar_last"), F.max_by("dvol", F.when(F.col("dvol").isNotNull(), F.col("__i"))).alias("dvol"),
+    ).where(F.col("__bars") == bars)
+    w = W.series(keys, "__day")
+    over = lambda n: w.rowsBetween(-(n - 1), 0)
+    year = bars * 365
+    rv = lambda n: F.when(F.sum("__gk").over(over(n)) >= 0, F.sqrt(F.sum("__gk").over(over(n)) / F.sum("__gks").over(over(n)) * year))
+    out = trend(days, keys=keys, order=["__day"])
+    out = out.withColumn("rv_1d", rv(1)).withColumn("rv_7d", rv(7)).withColumn("rv_30d", rv(30)).withColumn("__h", F.collect_list("rv_1d").over(over(252)))
+    share = F.coalesce(F.size(F.filter("__h", lambda x: x <= F.col("rv_1d"))), F.lit(0)) / F.size("__h")
+    out = out.withColumn("vol_pct_rank", F.when(F.size("__h") < 10, 0.5).otherwise(F.when(F.col("rv_1d").isNull(), 0.0).otherwise(share))).withColumn("vol_ratio", F.col("rv_1d") / (F.col("rv_7d") + 1e-10))
+    cs = corwin_schultz(F.col("high"), F.col("low"), F.lag("high").over(w), F.lag("low").over(w))
+    out = out.withColumn("__cs", cs).withColumn("cs_spread", F.coalesce(F.avg("__cs").over(over(4)), F.lit(0.0))).withColumn("dvol", F.last("dvol", ignorenulls=True).over(w))
+    sd, mean = F.stddev_samp("volume").over(over(30)), F.avg("volume").over(over(30))
+    out = out.withColumn("vol_z", F.when(sd >= 1e-12, (F.col("volume") - mean) / sd).otherwise(0.0)).withColumn("vol_ratio_24h", F.col("volume") / (mean + 1e-10))
+    out = out.withColumn("ret_24h", F.ln(F.col("close") / (F.col("__first") + 1e-10))).withColumn("amihud", F.abs("ret_24h") / (F.col("__dollars") + 1e-10))
+
+    serial = serial_correlation(rows.select(*keys, "__i", "__day", "close"), keys=keys, order=["__i"], bars=21 * bars, every=bars, slow=bars).where(F.col("__i") % bars == 0)
+    out = out.where(F.col("__day") >= FIRST_DAY).join(serial.select(*keys, "__day", "hurst", "vr_4", "vr_24", "serial_state"), [*keys, "__day"])
+    across = days.groupBy("__day").agg(F.count(F.lit(1)).alias("__assets"), F.stddev_pop(F.ln(F.col("close") / (F.col("__first") + 1e-10))).alias("K_dispersion"))
+    out = out.join(across, "__day").join(_mean_correlation(rows, keys, bars), "__day", "left")
+    if funding_rows is None:
+        none = {"__F": "int", "__J": "int", "__n": "int", **dict.fromkeys(("F_fr_ann", "F_fr_8h_pct", "F_oi_change_7d", "J_fr_7d_ann", "J_fr_30d_ann", "J_fr_slope"), "double")}
+        out = out.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in none.items()))
+    else:
+        f = _funding_days(funding_rows, keys, funding_order or [ts])
+        facts = [c for c in f.columns if c not in (*keys, "__day", "__last")]
+        ends = f.where("__last").select(*keys, F.col("__day").alias("__end"), F.struct(*facts).alias("__held"))
+        out = out.join(f.where("not __last or __n % 3 = 0").select(*keys, "__day", F.struct(*facts).alias("__now")), [*keys, "__day"], "left").join(ends, keys, "left")
+        both = F.coalesce("__now", F.when(F.col("__day") >= F.col("__end"), F.col("__held")))
+        out = out.withColumn("__paid", both).select("*", *(F.col(f"__paid.{c}").alias(c) for c in facts))
+    paid = F.coalesce(F.col("__n"), F.lit(0))
+    r = F.col("vol_ratio_24h")
+    sure = (F.col("ret_24h") != 0) & (r > 1)
+    gap = F.when(F.col("rv_1d").isNotNull(), F.col("dvol") - F.col("rv_1d"))
+    states = {
+        "A": F.col("trend_state"),
+        "B": _ladder(F.col("vol_pct_rank"), [(0.20, 0), (0.60, 1), (0.85, 2)], 3),
+        "C": F.when(F.col("vol_ratio") > 1.25, 1).when(F.col("vol_ratio") < 0.80, -1).otherwise(0),
+        "D": F.col("serial_state"),
+        "E": F.when(F.col("E_ofi_24h") > 0.15, 1).when(F.col("E_ofi_24h") < -0.15, -1).otherwise(0),
+        "F": F.coalesce("__F", F.lit(0)),
+        "G": F.when((F.col("vol_z") > 1) & (F.col("cs_spread") < 0.002), 0).when(F.col("vol_z") > -0.5, 1).when(F.col("vol_z") > -2, 2).otherwise(3),
+        "H": F.when(F.col("H_mean_pairwise_corr") > 0.75, 2).when(F.col("H_mean_pairwise_corr") > 0.45, 1).otherwise(0),
+        "I": F.when(r < 0.5, 0).when((r < 1.5) & sure, 1).when((r < 3) & sure, 2).when(r >= 3, 3).otherwise(1),
+        "J": F.coalesce("__J", F.lit(0)),
+        "K": F.when(F.col("__assets") >= 3, 1).otherwise(0),
+        "L": F.when(gap > 10, 1).when(gap < -10, -1).otherwise(0),
+    }
+    raw = {
+        "A": ["adx_14", "plus_di_14", "minus_di_14", "ret_1d", "ret_7d", "ret_30d"],
+        "BC": ["rv_1d", "rv_7d", "rv_30d", "vol_pct_rank", "vol_ratio"],
+        "D": ["hurst", "vr_4", "vr_24"],
+        "G": ["cs_spread", "vol_z"],
+        "I": ["vol_ratio_24h", "ret_24h"],
+    }
+    missing = {"F": paid < 3, "J": paid < 90, "H": F.col("__assets") < 2, "K": F.col("__assets") < 3}
+    enough = F.col("__assets") >= 3
+    return out.select(
+        *keys, ts, *(states[c].cast("double").alias(f"regime_{name}") for c, name in CLASSES.items()),
+        *(F.col(c).alias(f"{k}_{c}") for k, names in raw.items() for c in names),
+        ((F.col("hurst") - 0.5) * 4).alias("D_serial_score"), "E_ofi_24h", "E_ofi_bar_last", F.col("amihud").alias("E_amihud"), "F_fr_ann", "F_fr_8h_pct", "F_oi_change_7d",
+        F.col("amihud").alias("G_amihud_ratio"), F.col("vol_z").alias("G_liq_score"), "H_mean_pairwise_corr", "H_max_corr", "H_min_corr", F.col("__assets").cast("double").alias("H_n_assets"),
+        sure.cast("double").alias("I_conviction"), "J_fr_7d_ann", "J_fr_30d_ann", "J_fr_slope", F.when(enough, F.col("K_dispersion")).alias("K_dispersion"), F.when(enough, 0.5).alias("K_dispersion_pct_rank"),
+        F.col("rv_1d").alias("L_rv_current"), F.col("dvol").alias("L_dvol"), gap.alias("L_vrp"),
+        F.array_compact(F.array(*(F.when(x, c) for c, x in missing.items()))).alias("missing"),
+    )
 
 
 def snapshot(df: DataFrame, *, keys: list[str], ts: str, bars: int = 24) -> DataFrame:

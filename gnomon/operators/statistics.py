@@ -97,15 +97,17 @@ def optimal_kelly(df: DataFrame, *, keys: list[str], value: str, steps: int = 10
 
 
 def hurst_rs(log_prices: np.ndarray, low: int = 8, high: int = 200) -> float:
-    """Hurst exponent: slope of log(R/S) on log(lag) over chunks of the returns, between 0 and 1; 0.5 if too short."""
-    r = np.diff(log_prices)
-    high = min(high, len(r) // 2)
+    """Hurst exponent: slope of log(R/S) on log(lag) over chunks of ``lag`` prices, between 0 and 1; 0.5 if too short."""
+    n = len(log_prices)
+    high = min(high, n // 2)
     if high <= low:
         return 0.5
     xs, ys = [], []
-    for lag in np.unique(np.geomspace(low, high, 20).astype(int)):
-        m = len(r) // lag
-        c = r[: m * lag].reshape(m, lag)
+    for lag in np.unique(np.logspace(math.log10(low), math.log10(high), 20).astype(int)):
+        if lag < low:
+            continue
+        m = n // lag
+        c = np.diff(log_prices[: m * lag].reshape(m, lag), axis=1)
         dev = np.cumsum(c - c.mean(1, keepdims=True), 1)
         s = c.std(1, ddof=1)
         ok = s > 1e-12

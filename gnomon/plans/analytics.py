@@ -471,6 +471,11 @@ def _(spark, sf):
     return s.select("asset", "ts", "trend_state", "vol_level", "vol_trend", "flow_state", "liquidity_state", "volume_state")
 
 
+@query("regime_daily_states")
+def _(spark, sf):
+    return regimes.daily_states(bars(spark, sf), keys=["asset"], ts="ts", bars=7, funding_rows=_funding(spark, sf), funding_order=["ts", "event_id"])
+
+
 # --- portfolio ------------------------------------------------------------------------------------------------
 
 
