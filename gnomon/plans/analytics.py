@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import portfolio, regimes, scans, statistics, windows
+from ..operators import portfolio, regimes, regressions, scans, statistics, windows
 from .base import BARS, DAILY, TRADES, bars, daily, query, t, trades
 from ..functions.fixed import BARRIER_AXES, CFI, CFI_FIRST, ESG, FUNDING_AXES, GRIDBOT_AXES, IDENTIFIERS, MARKETS, MOODY_RATINGS, PAIRS_AXES, SP_RATINGS, TA_AXES
 from . import param_grids
@@ -333,6 +333,44 @@ def _(spark, sf):
     return c.select("pair", F.round("corr", 6).alias("corr"), F.round("hedge_ratio", 6).alias("hedge_ratio"), F.round("t_stat", 4).alias("t_stat"), "level", F.round("half_life", 5).alias("half_life"))
 
 
+_DET = "(a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13))"
+
+
+@query("ridge_regression", f"WITH m AS (SELECT l_returnflag AS flag, count(*) AS n, sum(l_quantity * l_quantity) + 0.01 AS a11, sum(l_quantity * l_discount) AS a12, sum(l_quantity) AS a13, sum(l_discount * l_discount) + 0.01 AS a22, sum(l_discount) AS a23, count(*) + 0.01 AS a33, sum(l_quantity * l_extendedprice) AS c1, sum(l_discount * l_extendedprice) AS c2, sum(l_extendedprice) AS c3 FROM (SELECT l_returnflag, l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem) GROUP BY 1), d AS (SELECT *, {_DET} AS det FROM m) SELECT flag, n, round((c1 * (a22 * a33 - a23 * a23) - a12 * (c2 * a33 - a23 * c3) + a13 * (c2 * a23 - a22 * c3)) / det, 3) AS per_quantity, round((a11 * (c2 * a33 - a23 * c3) - c1 * (a12 * a33 - a23 * a13) + a13 * (a12 * c3 - c2 * a13)) / det, 1) AS per_discount, round((a11 * (a22 * c3 - c2 * a23) - a12 * (a12 * c3 - c2 * a13) + c1 * (a12 * a23 - a22 * a13)) / det, 2) AS const FROM d")
+def _(spark, sf):
+    r = regressions.ridge(t(spark, sf, "lineitem"), keys=["l_returnflag"], y="l_extendedprice", xs=["l_quantity", "l_discount"])
+    return r.select(F.col("l_returnflag").alias("flag"), "n", F.round("b_l_quantity", 3).alias("per_quantity"), F.round("b_l_discount", 1).alias("per_discount"), F.round("const", 2).alias("const"))
+
+
+@query("stepwise_regression", "WITH l AS (SELECT l_returnflag AS flag, l_extendedprice::DOUBLE AS y, unnest([{'name': 'l_quantity', 'x': l_quantity::DOUBLE}, {'name': 'l_discount', 'x': l_discount::DOUBLE}, {'name': 'l_tax', 'x': l_tax::DOUBLE}]) AS v FROM lineitem), c AS (SELECT flag, v.name AS name, abs(corr(y, v.x)) AS c, count(*) AS n, sum(v.x * v.x) + 0.01 AS xx, sum(v.x) AS x, sum(v.x * y) AS xy, sum(y) AS y FROM l GROUP BY ALL) SELECT flag, name AS first_chosen, n, round((xy * (n + 0.01) - x * y) / (xx * (n + 0.01) - x * x), 3) AS weight, round((xx * y - x * xy) / (xx * (n + 0.01) - x * x), 2) AS const FROM c QUALIFY row_number() OVER (PARTITION BY flag ORDER BY c DESC) = 1")
+def _(spark, sf):
+    r = regressions.stepwise(t(spark, sf, "lineitem"), keys=["l_returnflag"], y="l_extendedprice", xs=["l_quantity", "l_discount", "l_tax"], n=1)
+    return r.select(F.col("l_returnflag").alias("flag"), F.col("chosen")[0].alias("first_chosen"), F.col("n_rows").alias("n"), F.round(F.col("weights")[0], 3).alias("weight"), F.round("const", 2).alias("const"))
+
+
+def _wide(spark, sf):
+    """Months with mean prices of all five assets as columns ``p0`` to ``p4``, for each state of an order."""
+    o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), F.trunc(F.to_date("o_orderdate"), "month").alias("month"), F.substring("o_orderpriority", 1, 1).alias("asset"), F.col("o_totalprice").alias("price"))
+    one = lambda n: F.avg(F.when(F.col("asset") == str(n + 1), F.col("price"))).alias(f"p{n}")
+    return o.groupBy("status", "month").agg(*(one(n) for n in range(5))).dropna()
+
+
+@query("johansen_trace")
+def _(spark, sf):
+    return regressions.johansen(_wide(spark, sf), keys=["status"], order=["month"], columns=["p0", "p1", "p2"])
+
+
+@query("adf_lags")
+def _(spark, sf):
+    return regressions.adf(daily(spark, sf), keys=["asset"], order=["day"], value="price", max_lag=6)
+
+
+@query("basket_out_of_sample")
+def _(spark, sf):
+    second = F.when(F.col("status") == "F", F.col("month") >= "1994-01-01").otherwise(F.col("month") >= "1997-01-01")
+    return regressions.validate(_wide(spark, sf), keys=["status"], order=["month"], y="p0", xs=["p1", "p2", "p3", "p4"], n=2, held_out=second, max_lag=3)
+
+
 @query("empirical_risk", "WITH r AS (SELECT event_type AS asset, value - 50 AS r FROM events), q AS (SELECT asset, quantile_cont(r, 0.05) AS q5, quantile_cont(r, 0.01) AS q1 FROM r GROUP BY 1) SELECT asset, round(-any_value(q5), 6) AS var_95, round(-any_value(q1), 6) AS var_99, round(-avg(r) FILTER (WHERE r <= q5), 6) AS es_95, round(-avg(r) FILTER (WHERE r <= q1), 6) AS es_99 FROM r JOIN q USING (asset) GROUP BY 1")
 def _(spark, sf):
     r = t(spark, sf, "events").select(F.col("event_type").alias("asset"), (F.col("value") - 50).alias("r"))
