@@ -312,34 +312,54 @@ def corrected_p(t: Column, c1: Column, c5: Column, c10: Column) -> Column:
 # --- volatility models ----------------------------------------------------------------------------------------
 
 
-def garch_fit(r: np.ndarray, leverage: bool = False, grid: int = 8) -> dict[str, float]:
-    """GARCH(1,1), or GJR with ``leverage``: variance targeting, likelihood on a grid that is refined twice."""
-    x = r - r.mean()
-    var = x.var()
+GARCH_KINDS = ("GARCH", "EGARCH", "GJR")
+
+
+def garch_fit(r: np.ndarray, kind: str = "GARCH", grid: int = 8) -> dict[str, float]:
+    """GARCH(1,1), EGARCH(1,1) without leverage, or GJR: variance targeting, likelihood on a grid that is refined twice.
 
-    def loss(a: float, g: float, b: float) -> float:
-        w = var * (1 - a - b - g / 2)
+    ``last`` is the variance of the last row and ``shock`` its deviation.
+    """
+    x = r - r.mean()
+    var = float(x.var())
+    if var <= 0:
+        raise ValueError("the series doesn't vary")
+    values, mean_size = x.tolist(), math.sqrt(2 / math.pi)
+
+    def level(a: float, g: float, b: float) -> float:
+        return math.log(var) * (1 - b) if kind == "EGARCH" else var * (1 - a - b - g / 2)
+
+    def walk(a: float, g: float, b: float) -> tuple[float, float]:
+        w, h, last, total = level(a, g, b), var, var, 0.0
+        if kind == "EGARCH":
+            u = math.log(var)
+            for e in values:
+                last = math.exp(u)
+                total += u + e * e / last
+                u = min(max(w + a * (abs(e) / math.sqrt(last) - mean_size) + b * u, -60.0), 60.0)
+            return total, last
         if w <= 0 or a + b + g / 2 >= 0.9999:
-            return math.inf
-        h, total = var, 0.0
-        for e in x.tolist():
+            return math.inf, var
+        for e in values:
+            last = h
             total += math.log(h) + e * e / h
             h = w + (a + (g if e < 0 else 0.0)) * e * e + b * h
-        return total
+        return total, last
 
-    a0, a1, b0, b1, g0, g1 = 0.01, 0.3, 0.5, 0.98, 0.0, 0.3 if leverage else 0.0
+    gjr = kind == "GJR"
+    a0, a1, b0, b1, g0, g1 = 0.01, 0.5 if kind == "EGARCH" else 0.3, 0.0 if kind == "EGARCH" else 0.5, 0.98, 0.0, 0.3 if gjr else 0.0
     best = (math.inf, 0.05, 0.0, 0.9)
     for _ in range(3):
         for a in np.linspace(a0, a1, grid):
             for b in np.linspace(b0, b1, grid):
-                for g in np.linspace(g0, g1, 4) if leverage else (0.0,):
-                    best = min(best, (loss(a, g, b), a, g, b))
+                for g in np.linspace(g0, g1, 4) if gjr else (0.0,):
+                    best = min(best, (walk(a, g, b)[0], a, g, b))
         _, a, g, b = best
         wa, wb, wg = (a1 - a0) / 4, (b1 - b0) / 4, (g1 - g0) / 4
         a0, a1, b0, b1 = max(a - wa, 1e-4), a + wa, max(b - wb, 0.0), min(b + wb, 0.995)
-        g0, g1 = max(g - wg, 0.0), g + wg if leverage else 0.0
+        g0, g1 = max(g - wg, 0.0), g + wg if gjr else 0.0
     total, a, g, b = best
-    return {"omega": var * (1 - a - b - g / 2), "alpha": a, "gamma": g, "beta": b, "aic": total + 2 * (4 if leverage else 3), "variance": var}
+    return {"omega": level(a, g, b), "alpha": a, "gamma": g, "beta": b, "aic": total + 2 * (5 if gjr else 4), "variance": var, "last": walk(a, g, b)[1], "shock": values[-1]}
 
 
 def garch_forecast(omega: float, alpha: float, beta: float, last_var: float, last_ret: float, steps: int, gamma: float = 0.0) -> np.ndarray:
@@ -350,37 +370,52 @@ def garch_forecast(omega: float, alpha: float, beta: float, last_var: float, las
     return level + (first - level) * keep ** np.arange(steps)
 
 
-def garch_per_series(df: DataFrame, *, keys: list[str], order: str, ret: str) -> DataFrame:
-    """Both models for each series with AIC weights; one series to a task."""
-    names = [*keys, "alpha", "beta", "gamma", "weight_gjr", "next_vol"]
+def egarch_forecast(omega: float, alpha: float, beta: float, last_var: float, last_ret: float, steps: int) -> np.ndarray:
+    """Variance for each of the next steps: the expected log variance after the first."""
+    u = omega + alpha * (abs(last_ret) / math.sqrt(last_var) - math.sqrt(2 / math.pi)) + beta * math.log(last_var)
+    level = omega / (1 - beta) if beta < 1 else u
+    return np.exp(level + (u - level) * beta ** np.arange(steps))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        r = g.sort_values(order)[ret].dropna().to_numpy(float)
-        if len(r) < 60:
-            return pd.DataFrame(columns=names)
-        m, j = garch_fit(r), garch_fit(r, True)
-        low = min(m["aic"], j["aic"])
-        wm, wj = math.exp(-(m["aic"] - low) / 2), math.exp(-(j["aic"] - low) / 2)
-        share = wj / (wm + wj)
-        nxt = [garch_forecast(f["omega"], f["alpha"], f["beta"], f["variance"], r[-1] - r.mean(), 1, f["gamma"])[0] for f in (m, j)]
-        return pd.DataFrame([[*g[keys].iloc[0], m["alpha"], m["beta"], j["gamma"], share, math.sqrt((1 - share) * nxt[0] + share * nxt[1])]], columns=names)
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, ret).groupBy(*keys).applyInPandas(run, f"{kinds}, alpha double, beta double, gamma double, weight_gjr double, next_vol double")
 
+def garch_ensemble(r: np.ndarray) -> dict[str, float]:
+    """The three models on percent returns, weighted by AIC: yearly volatility over the next 7, 14 and 30 rows and now.
 
-# --- distributions --------------------------------------------------------------------------------------------
+    A forecast isn't below a quarter of the variance now.
+    """
+    fits = {kind: garch_fit(r, kind) for kind in GARCH_KINDS}
+    aic = np.array([f["aic"] for f in fits.values()])
+    weights = np.exp(-0.5 * (aic - aic.min()))
+    weights /= weights.sum()
+    out = {f"w_{kind.lower()}": float(w) for kind, w in zip(fits, weights, strict=True)}
+    out["best_model"] = GARCH_KINDS[int(np.argmin(aic))]
+    ahead = []
+    for kind, f in fits.items():
+        state = (f["omega"], f["alpha"], f["beta"], f["last"], f["shock"], 30)
+        h = egarch_forecast(*state) if kind == "EGARCH" else garch_forecast(*state, f["gamma"])
+        floor = max(f["last"] * 0.25, 1e-4)
+        ahead.append([*(math.sqrt(max(float(h[:n].mean()), floor) * 365) / 100 for n in (7, 14, 30)), math.sqrt(f["last"] * 365) / 100])
+    out |= dict(zip(("vol_7d", "vol_14d", "vol_30d", "current_vol"), (weights @ np.array(ahead)).tolist(), strict=True))
+    return out
+
+
+def garch_per_series(df: DataFrame, *, keys: list[str], order: str, ret: str, least: int = 90) -> DataFrame:
+    """The ensemble of each series of returns (fractions); one series to a task, none with fewer than ``least`` rows."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    figures = [*(f"w_{k.lower()}" for k in GARCH_KINDS), "vol_7d", "vol_14d", "vol_30d", "current_vol"]
+    names = [*keys, "n", "best_model", *figures]
 
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        r = g.sort_values(order)[ret].dropna().to_numpy(float) * 100
+        r = r[np.isfinite(r)]
+        if len(r) < least or r.var() <= 0:
+            return pd.DataFrame(columns=names)
+        e = garch_ensemble(r)
+        return pd.DataFrame([[*g[keys].iloc[0], len(r), e["best_model"], *(e[f] for f in figures)]], columns=names)
 
-def student_t_fit(x: np.ndarray) -> dict[str, float]:
-    """Degrees of freedom from the kurtosis, scale from the variance."""
-    k = max(((x - x.mean()) ** 4).mean() / x.var() ** 2 - 3, 0.1)
-    nu = min(max(4 + 6 / k, 4.05), 200.0)
-    return {"nu": nu, "loc": float(x.mean()), "scale": float(math.sqrt(x.var() * (nu - 2) / nu))}
+    return df.select(*keys, order, ret).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, best_model string, " + ", ".join(f"{f} double" for f in figures))
 
 
-def cornish_fisher(z: float, skew: float, kurt: float) -> float:
-    return z + (z * z - 1) * skew / 6 + (z**3 - 3 * z) * kurt / 24 - (2 * z**3 - 5 * z) * skew**2 / 36
+# --- distributions --------------------------------------------------------------------------------------------
 
 
 def tail_index(x: np.ndarray, share: float = 0.05) -> float:
@@ -393,29 +428,6 @@ def tail_index(x: np.ndarray, share: float = 0.05) -> float:
     return float(1 / np.mean(np.log(top[:-1] / top[-1])))
 
 
-def gaussian_mixture(x: np.ndarray, steps: int = 60) -> dict[str, float]:
-    """Two normal components by expectation-maximisation, started at a calm and a wild half."""
-    m, s, w = np.array([x.mean(), x.mean()]), np.array([x.std() * 0.5, x.std() * 1.5]) + 1e-12, np.array([0.7, 0.3])
-    for _ in range(steps):
-        p = w * np.exp(-0.5 * ((x[:, None] - m) / s) ** 2) / s + 1e-300
-        r = p / p.sum(1, keepdims=True)
-        n = r.sum(0)
-        m, w = (r * x[:, None]).sum(0) / n, n / len(x)
-        s = np.sqrt((r * (x[:, None] - m) ** 2).sum(0) / n) + 1e-12
-    return {"w1": float(w[0]), "m1": float(m[0]), "s1": float(s[0]), "m2": float(m[1]), "s2": float(s[1])}
-
-
-def auto_method(n: int, skew: float, kurt: float) -> str:
-    """Which fit suits a sample of a size and shape."""
-    if n < 30:
-        return "cornish_fisher"
-    if n < 100:
-        return "student_t"
-    if abs(skew) > 1 or kurt > 6:
-        return "mixture" if n < 1000 else "evt"
-    return "kde" if n < 1000 else "empirical"
-
-
 def normal_quantiles(p: np.ndarray) -> np.ndarray:
     """Quantiles of the normal distribution by bisection."""
     low, high = np.full(len(p), -10.0), np.full(len(p), 10.0)
@@ -434,16 +446,19 @@ def qq(x: np.ndarray, points: int = 99) -> pd.DataFrame:
 
 
 def fit_distributions(df: DataFrame, *, keys: list[str], value: str) -> DataFrame:
-    """For each group all parametric fits as a map, and the method that suits it."""
+    """For each group the parameters of its fits, and the method that suits it; a group goes to one task."""
+    from . import distributions as D
+
     names = [*keys, "n", "method", "nu", "var_99_cf", "hill", "calm_share"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g[value].dropna().to_numpy(float)
-        m, s = x.mean(), x.std()
-        skew, kurt = (((x - m) / s) ** 3).mean(), (((x - m) / s) ** 4).mean() - 3
-        row = [*g[keys].iloc[0], len(x), auto_method(len(x), skew, kurt), student_t_fit(x)["nu"], -(m + s * cornish_fisher(-2.3263478740408408, skew, kurt)), tail_index(x - m), gaussian_mixture(x)["w1"]]
+        x = D.clean(g[value].to_numpy(float, na_value=math.nan))
+        if len(x) < 10 or x.std() == 0:
+            return pd.DataFrame(columns=names)
+        mixed = D.gaussian_mixture(x).params
+        calm = min((mixed["s1"], mixed["w1"]), (mixed["s2"], mixed["w2"]))[1]
+        row = [*g[keys].iloc[0], len(x), D.auto_method(len(x), D.moments(x).skew), D.student_t(x).params["nu"], -float(D.cornish_fisher(x).quantile(np.array([0.01]))[0]), tail_index(x - x.mean()), calm]
         return pd.DataFrame([row], columns=names)
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, value).groupBy(*keys).applyInPandas(run, f"{kinds}, n long, method string, nu double, var_99_cf double, hill double, calm_share double")
-

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import scalars as S
-from ..operators import portfolio, regimes, regressions, scans, statistics, windows
+from ..operators import distributions, portfolio, regimes, regressions, scans, statistics, windows
 from .base import BARS, DAILY, TRADES, bars, daily, query, t, trades
 from ..functions.fixed import BARRIER_AXES, CFI, CFI_FIRST, ESG, FUNDING_AXES, GRIDBOT_AXES, IDENTIFIERS, MARKETS, MOODY_RATINGS, PAIRS_AXES, SP_RATINGS, TA_AXES
 from . import param_grids
@@ -393,6 +393,18 @@ def _(spark, sf):
     return statistics.fit_distributions(t(spark, sf, "events").select("event_type", "value"), keys=["event_type"], value="value")
 
 
+@query("compare_fits")
+def _(spark, sf):
+    r = daily(spark, sf).select("asset", windows.pct_change("price", windows.series(["asset"], "day")).alias("r"))
+    return distributions.compare_fits(r, keys=["asset"], value="r")
+
+
+@query("normal_divergence")
+def _(spark, sf):
+    r = daily(spark, sf).select("asset", windows.pct_change("price", windows.series(["asset"], "day")).alias("r"))
+    return distributions.normal_divergence(r, keys=["asset"], value="r")
+
+
 @query("garch_models")
 def _(spark, sf):
     r = daily(spark, sf).select("asset", "day", windows.pct_change("price", windows.series(["asset"], "day")).alias("r"))
