@@ -443,7 +443,7 @@ def _(spark, sf):
     return v.select("asset", "ts", F.round("rv_1d", 5).alias("rv_1d"), F.round("rv_7d", 5).alias("rv_7d"))
 
 
-@query("regime_volatility")
+@query("regime_volatility", f"WITH {_GK}, v AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset ORDER BY ts) AS n, sqrt(greatest(avg(gk) OVER (PARTITION BY asset ORDER BY ts ROWS 5 PRECEDING), 0) * 2190) AS r1, sqrt(greatest(avg(gk) OVER (PARTITION BY asset ORDER BY ts ROWS 41 PRECEDING), 0) * 2190) AS r7 FROM g), h AS (SELECT *, list_filter(list(CASE WHEN n >= 6 THEN r1 END) OVER (PARTITION BY asset, n % 6 ORDER BY ts ROWS 251 PRECEDING), lambda x: x IS NOT NULL) AS h FROM v), k AS (SELECT asset, n, r1 / (r7 + 1e-10) AS ratio, CASE WHEN len(h) < 10 THEN 0.5::DOUBLE ELSE len(list_filter(h, lambda x: x <= r1)) / len(h) END AS k FROM h) SELECT asset, (CASE WHEN n < 180 THEN 0 WHEN k < 0.20 THEN 0 WHEN k < 0.60 THEN 1 WHEN k < 0.85 THEN 2 ELSE 3 END)::INTEGER AS vol_level, (CASE WHEN n < 180 THEN 0 WHEN ratio > 1.25 THEN 1 WHEN ratio < 0.80 THEN -1 ELSE 0 END)::INTEGER AS vol_trend, count(*) AS count FROM k GROUP BY ALL")
 def _(spark, sf):
     return regimes.volatility(bars(spark, sf), **K, bars=6).groupBy("asset", "vol_level", "vol_trend").count()
 
