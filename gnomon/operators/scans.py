@@ -29,19 +29,21 @@ def windowed_whales(trades: DataFrame, *, keys: list[str], seconds: int, always:
 def spikes(prices: DataFrame, *, keys: list[str], ts: str, price: str, minutes: int, threshold_pct: float, lowest: float, highest: float, reversion_rows: int = 120) -> DataFrame:
     """Rows whose largest move within the next minutes is at least the threshold; its peak and how far it came back after.
 
-    The ways ahead are range and row frames of the ordered series.
+    The ways ahead are range and row frames of the ordered series.  A price of 0
+    starts no move, and nothing comes back from a peak of 0.
     """
     w = Window.partitionBy(*keys).orderBy("__t")
     rows = prices.withColumn("__t", F.unix_micros(ts)).withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy("__t", price)))
     ahead = w.rangeBetween(1, minutes * 60 * 1_000_000)
     point = F.struct(F.col(price).alias("p"), F.col("__t").alias("t"), F.col("__i").alias("i"))
     rows = rows.withColumn("__hi", F.max(point).over(ahead)).withColumn("__lo", F.min(point).over(ahead))
-    up, down = F.col("__hi.p") / F.col(price) - 1, F.col("__lo.p") / F.col(price) - 1
-    rows = rows.withColumn("__peak", F.when(F.abs(up) >= F.abs(down), F.col("__hi")).otherwise(F.col("__lo"))).withColumn("pct", 100 * (F.col("__peak.p") / F.col(price) - 1))
+    start, peak = F.nullif(F.col(price), F.lit(0.0)), F.nullif(F.col("__peak.p"), F.lit(0.0))
+    up, down = F.col("__hi.p") / start - 1, F.col("__lo.p") / start - 1
+    rows = rows.withColumn("__peak", F.when(F.abs(up) >= F.abs(down), F.col("__hi")).otherwise(F.col("__lo"))).withColumn("pct", 100 * (F.col("__peak.p") / start - 1))
     found = rows.where((F.abs("pct") >= threshold_pct) & F.col(price).between(lowest, highest))
     after = rows.select(*keys, F.col("__i").alias("__pi"), F.min(price).over(w.rowsBetween(1, reversion_rows)).alias("__after_lo"), F.max(price).over(w.rowsBetween(1, reversion_rows)).alias("__after_hi"))
     joined = found.withColumn("__pi", F.col("__peak.i")).join(after, [*keys, "__pi"], "left")
-    back = F.when(F.col("pct") > 0, F.least(F.col("__after_lo") / F.col("__peak.p") - 1, F.lit(0.0))).otherwise(F.greatest(F.col("__after_hi") / F.col("__peak.p") - 1, F.lit(0.0)))
+    back = F.when(F.col("pct") > 0, F.least(F.col("__after_lo") / peak - 1, F.lit(0.0))).otherwise(F.greatest(F.col("__after_hi") / peak - 1, F.lit(0.0)))
     return joined.select(*keys, ts, F.col(price).alias("start_price"), F.timestamp_micros("__peak.t").alias("peak_ts"), F.col("__peak.p").alias("peak_price"), "pct", F.when(F.col("pct") > 0, "UP").otherwise("DOWN").alias("direction"), F.coalesce(100 * back, F.lit(0.0)).alias("reversion_pct"))
 
 

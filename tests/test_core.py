@@ -532,3 +532,11 @@ def test_bar_features_by_hand_over_many_batches(spark):
         }
         assert {f"{x}_{n}": pytest.approx(y, abs=1e-8) for x, y in want.items()} == {f"{x}_{n}": got.loc[at, f"{x}_{n}"] for x in want}
     assert len(features.feature_names()) == 112
+
+
+def test_spikes_of_prices_at_zero(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = [("a", at(0), 0.0), ("a", at(1), 50.0), ("a", at(2), 0.0), ("a", at(3), 60.0), ("a", at(4), 0.0)]
+    s = scans.spikes(spark.createDataFrame(rows, "k string, ts timestamp, p double"), keys=["k"], ts="ts", price="p", minutes=60, threshold_pct=50.0, lowest=0.0, highest=100.0)
+    got = {r.ts.minute: (r.start_price, r.peak_price, r.pct, r.direction, r.reversion_pct) for r in s.collect()}
+    assert got == {1: (50.0, 0.0, -100.0, "DOWN", 0.0), 3: (60.0, 0.0, -100.0, "DOWN", 0.0)}
