@@ -167,12 +167,17 @@ def funding_vector(df: DataFrame, *, keys: list[str], order: list[str], rate: st
 
 
 def spike_features(df: DataFrame, *, keys: list[str], ts: str, price: str, minutes: tuple[int, ...] = (1, 5, 15, 30, 60), tolerance: int = 180) -> DataFrame:
-    """Returns against the newest price some minutes back (within the tolerance), speed, its change, and the place in the hour's range."""
+    """Returns against the newest price some minutes back (within the tolerance), speed, its change, and the place in the hour's range.
+
+    Against a price that isn't positive the return is 0.  Of prices of one time
+    the highest is the newest.
+    """
     w = Window.partitionBy(*keys).orderBy("__t")
-    rows = df.withColumn("__t", F.unix_seconds(ts))
+    rows = df.withColumn("__t", F.unix_seconds(ts)).withColumn("__p", F.struct(F.unix_micros(ts).alias("t"), F.col(price).alias("p")))
     for m in minutes:
-        rows = rows.withColumn(f"ret_{m}m", F.col(price) / F.last(price).over(w.rangeBetween(-60 * m - tolerance, -60 * m)) - 1)
+        back = F.max("__p").over(w.rangeBetween(-60 * m - tolerance, -60 * m))["p"]
+        rows = rows.withColumn("__back", back).withColumn(f"ret_{m}m", F.when(F.col("__back") <= 0, F.lit(0.0)).otherwise(F.col(price) / F.nullif(F.col("__back"), F.lit(0.0)) - 1))
     hi, lo = F.max(price).over(w.rangeBetween(-3600, 0)), F.min(price).over(w.rangeBetween(-3600, 0))
     first, last = minutes[0], minutes[1]
     speed, before = F.col(f"ret_{first}m") / first, F.col(f"ret_{last}m") / last
-    return rows.withColumn("velocity", speed).withColumn("acceleration", speed - before).withColumn("place", F.when(hi > lo, (F.col(price) - lo) / (hi - lo)).otherwise(0.5)).drop("__t")
+    return rows.withColumn("velocity", speed).withColumn("acceleration", speed - before).withColumn("place", F.when(hi > lo, (F.col(price) - lo) / F.nullif(hi - lo, F.lit(0.0))).otherwise(0.5)).drop("__t", "__p", "__back")

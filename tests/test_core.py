@@ -540,3 +540,13 @@ def test_spikes_of_prices_at_zero(spark):
     s = scans.spikes(spark.createDataFrame(rows, "k string, ts timestamp, p double"), keys=["k"], ts="ts", price="p", minutes=60, threshold_pct=50.0, lowest=0.0, highest=100.0)
     got = {r.ts.minute: (r.start_price, r.peak_price, r.pct, r.direction, r.reversion_pct) for r in s.collect()}
     assert got == {1: (50.0, 0.0, -100.0, "DOWN", 0.0), 3: (60.0, 0.0, -100.0, "DOWN", 0.0)}
+
+
+def test_spike_features_against_prices_of_zero_and_of_one_second(spark):
+    at = lambda s, us=0: dt.datetime(2024, 1, 1, 0, 0, s, us)
+    rows = [(1, at(0), 0.0), (2, at(1, 900), 8.0), (3, at(1, 100), 5.0), (4, at(1, 900), 4.0), (5, at(3), 2.0)]
+    f = features.spike_features(spark.createDataFrame([("a", *r) for r in rows], "k string, id int, ts timestamp, p double").repartition(1), keys=["k"], ts="ts", price="p", minutes=(0, 1), tolerance=1)
+    assert {r.id: r.ret_0m for r in f.select("id", "ret_0m").collect()} == {1: 0.0, 2: 0.0, 3: 5 / 8 - 1, 4: -0.5, 5: 0.0}
+    later = spark.createDataFrame([("a", 1, at(0), 0.0), ("a", 2, dt.datetime(2024, 1, 1, 0, 1), 7.0)], "k string, id int, ts timestamp, p double")
+    f = features.spike_features(later, keys=["k"], ts="ts", price="p", minutes=(1, 5)).orderBy("id").collect()
+    assert [(r.ret_1m, r.ret_5m, r.velocity, r.acceleration) for r in f] == [(None, None, None, None), (0.0, None, 0.0, None)]
