@@ -105,14 +105,15 @@ def funding(df: DataFrame, *, keys: list[str], order: list[str], rate: str = "ra
     return rows.withColumn("funding_state", F.when(F.row_number().over(w) >= 3, state).otherwise(0))
 
 
-def corwin_schultz(high: Column, low: Column, high0: Column, low0: Column) -> Column:
-    """Bid-ask spread from two days' highs and lows; null where a price isn't positive."""
+def corwin_schultz(high: Column, low: Column, high0: Column, low0: Column, undefined: float | None = None) -> Column:
+    """Bid-ask spread from two days' highs and lows; null where a price is missing, ``undefined`` where one isn't positive."""
     sq = lambda a, b: F.pow(F.ln(a / b), 2)
     k = 3 - 2 * math.sqrt(2)
     beta, gamma = sq(high, low) + sq(high0, low0), sq(F.greatest(high, high0), F.least(low, low0))
     alpha = (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k)
     spread = F.greatest(2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha)), F.lit(0.0))
-    return F.when((low > 0) & (low0 > 0) & (high > 0) & (high0 > 0), spread)
+    known = low.isNotNull() & low0.isNotNull() & high.isNotNull() & high0.isNotNull()
+    return F.when((low > 0) & (low0 > 0) & (high > 0) & (high0 > 0), spread).when(known, F.lit(undefined).cast("double"))
 
 
 def daily_rows(df: DataFrame, *, keys: list[str], ts: str) -> DataFrame:
@@ -120,13 +121,17 @@ def daily_rows(df: DataFrame, *, keys: list[str], ts: str) -> DataFrame:
     return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", ts).alias("close"), F.min_by("open", ts).alias("open"), F.sum("volume").alias("volume"), F.sum(F.col("close") * F.col("volume")).alias("dollars"))
 
 
-def liquidity(days: DataFrame, *, keys: list[str], least: int = 30) -> DataFrame:
-    """G: 0..3 by the volume's z-score over 30 days and the spread of the last five; on daily bars."""
+def liquidity(days: DataFrame, *, keys: list[str], least: int = 30, undefined: float | None = None) -> DataFrame:
+    """G: 0..3 by the volume's z-score over 30 days and the spread of the last five; on daily bars.
+
+    Days whose spread a price of 0 or less leaves undefined don't count, as in
+    the reference; with ``undefined`` NaN, the mean over such a day is NaN.
+    """
     w = W.series(keys, "day")
     frame = w.rowsBetween(-(least - 1), 0)
-    cs = corwin_schultz(F.col("high"), F.col("low"), F.lag("high").over(w), F.lag("low").over(w))
+    cs = corwin_schultz(F.col("high"), F.col("low"), F.lag("high").over(w), F.lag("low").over(w), undefined)
     rows = days.withColumn("__cs", cs).withColumn("cs_spread", F.coalesce(F.avg("__cs").over(w.rowsBetween(-3, 0)), F.lit(0.0)))
-    rows = rows.withColumn("amihud", F.abs(F.ln(F.col("close") / F.lag("close").over(w))) / (F.col("dollars") + 1e-10))
+    rows = rows.withColumn("amihud", F.abs(F.ln(F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)))) / (F.col("dollars") + 1e-10))
     sd = F.stddev_samp("volume").over(frame)
     z = F.when(sd >= 1e-12, (F.col("volume") - F.avg("volume").over(frame)) / sd).otherwise(0.0)
     rows = rows.withColumn("vol_z", z)

@@ -173,3 +173,13 @@ def test_daily_states_of_odd_bars(spark):
 
 def test_hurst_of_short_series_is_neutral():
     assert statistics.hurst_rs(np.zeros(10)) == 0.5
+
+
+@pytest.mark.parametrize("undefined", [None, math.nan])
+def test_liquidity_of_a_day_with_a_price_of_zero(spark, undefined):
+    days = [(1, 10.0, 9.0), (2, 11.0, 0.0), (3, 10.0, 9.0), (4, 10.0, 9.5), (5, 10.0, 9.0), (6, 12.0, 9.0), (7, 10.0, 9.0), (8, None, None), (9, 10.0, 9.0)]
+    rows = [("a", dt.date(2024, 1, d), h, low, low, 9.5, 5.0, 50.0) for d, h, low in days]  # a day closes at its low
+    frame = spark.createDataFrame(rows, "k string, day date, high double, low double, close double, open double, volume double, dollars double")
+    got = {r.day.day: r.cs_spread for r in regimes.liquidity(frame, keys=["k"], least=3, undefined=undefined).collect()}
+    assert got[1] == 0 and all(math.isfinite(got[d]) for d in (7, 8, 9))
+    assert [math.isnan(got[d]) for d in (2, 3, 4, 5, 6)] == [undefined is not None] * 5
