@@ -90,7 +90,9 @@ def temporal_features(ts: Column) -> list[Column]:
 
 
 def log_return(now: Column, before: Column) -> Column:
-    return F.ln(now / F.nullif(before, F.lit(0.0)))
+    """Minus infinity for a fall to 0; null from 0 or for a negative ratio."""
+    ratio = now / F.nullif(before, F.lit(0.0))
+    return F.when(ratio == 0, F.lit(float("-inf"))).otherwise(F.ln(ratio))
 
 
 def clip(x: Column, low: float, high: float) -> Column:

@@ -550,3 +550,10 @@ def test_spike_features_against_prices_of_zero_and_of_one_second(spark):
     later = spark.createDataFrame([("a", 1, at(0), 0.0), ("a", 2, dt.datetime(2024, 1, 1, 0, 1), 7.0)], "k string, id int, ts timestamp, p double")
     f = features.spike_features(later, keys=["k"], ts="ts", price="p", minutes=(1, 5)).orderBy("id").collect()
     assert [(r.ret_1m, r.ret_5m, r.velocity, r.acceleration) for r in f] == [(None, None, None, None), (0.0, None, 0.0, None)]
+
+
+def test_log_return_to_zero_is_clipped_low(spark):
+    rows = spark.createDataFrame([(1, 0.0, 2.0), (2, 2.0, 2.0), (3, 1.0, 0.0), (4, 0.0, 0.0), (5, None, 1.0), (6, -1.0, 1.0)], "id int, a double, b double")
+    r = scalars.log_return(F.col("a"), F.col("b"))
+    got = {x.id: (x.r, x.c) for x in rows.select("id", r.alias("r"), scalars.clip(r, -1.0, 1.0).alias("c")).collect()}
+    assert got == {1: (-math.inf, -1.0), 2: (0.0, 0.0), 3: (None, 1.0), 4: (None, 1.0), 5: (None, 1.0), 6: (None, 1.0)}
