@@ -19,11 +19,14 @@ def modified_z(df: DataFrame, *, keys: list[str], value: str, name: str = "z") -
     return rows.withColumn(name, z).drop("__med", "__mad")
 
 
-def adaptive_outliers(df: DataFrame, *, keys: list[str], value: str, sigma_z: float = 3.5, sigma: float = 3.0, n_threshold: int = 30) -> DataFrame:
-    """Flags outliers: by the modified z below ``n_threshold`` rows, else beyond ``median + sigma`` deviations (population)."""
+def adaptive_outliers(df: DataFrame, *, keys: list[str], value: str, sigma_z: float = 3.5, sigma: float = 3.0, n_threshold: int = 30, upper: bool = False) -> DataFrame:
+    """Flags outliers: by the modified z below ``n_threshold`` rows, else beyond ``median + sigma`` deviations (population).
+
+    With ``upper`` the modified z flags only high values, as the other way does.
+    """
     stats = df.groupBy(*keys).agg(F.count(value).alias("__n"), F.median(value).alias("__m"), F.stddev_pop(value).alias("__s"))
     rows = modified_z(df, keys=keys, value=value, name="__z").join(stats, keys)
-    few, many = F.abs("__z") > sigma_z, F.col(value) > F.col("__m") + sigma * F.col("__s")
+    few, many = (F.col("__z") if upper else F.abs("__z")) > sigma_z, F.col(value) > F.col("__m") + sigma * F.col("__s")
     return rows.withColumn("outlier", F.when(F.col("__n") < n_threshold, few).otherwise(many)).drop("__n", "__m", "__s", "__z")
 
 

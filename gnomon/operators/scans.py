@@ -14,14 +14,18 @@ def whales(trades: DataFrame, *, keys: list[str], always: float) -> DataFrame:
     return trades.where(F.col("quote") >= always).orderBy(F.desc("quote"), "trade_id")
 
 
-def windowed_whales(trades: DataFrame, *, keys: list[str], seconds: int, always: float, never: float) -> DataFrame:
-    """Windows whose total is at the ``always`` floor, or in the middle zone and an outlier among its key's windows."""
+def windowed_whales(trades: DataFrame, *, keys: list[str], seconds: int, always: float, never: float, n_threshold: int = 30) -> DataFrame:
+    """Windows whose total is at the ``always`` floor, or in the middle zone and a high outlier among its key's windows there.
+
+    ``middle`` counts those; of fewer than ``n_threshold``, outliers are told by the modified z.
+    """
     bucket = F.floor(F.unix_millis("ts") / (seconds * 1000)) * (seconds * 1000)
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("quote")).otherwise(0.0))
     rows = trades.groupBy(*keys, bucket.alias("window_ms")).agg(F.count(F.lit(1)).alias("trades"), F.sum("quote").alias("total"), side("buy").alias("buy"), side("sell").alias("sell"))
     rows = rows.withColumn("imbalance", F.when(F.col("total") > 0, (F.col("buy") - F.col("sell")) / F.col("total")).otherwise(0.0))
     rows = rows.withColumn("__mid", F.when((F.col("total") >= never) & (F.col("total") < always), F.col("total")))
-    rows = quality.adaptive_outliers(rows, keys=keys, value="__mid")
+    rows = rows.withColumn("middle", F.count("__mid").over(Window.partitionBy(*keys)))
+    rows = quality.adaptive_outliers(rows, keys=keys, value="__mid", n_threshold=n_threshold, upper=True)
     flag, _ = quality.tiered(F.col("total"), F.col("outlier"), always, never)
     return rows.where(flag).withColumn("reason", F.when(F.col("total") >= always, "always_floor").otherwise("statistical")).drop("__mid", "outlier")
 

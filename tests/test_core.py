@@ -557,3 +557,18 @@ def test_log_return_to_zero_is_clipped_low(spark):
     r = scalars.log_return(F.col("a"), F.col("b"))
     got = {x.id: (x.r, x.c) for x in rows.select("id", r.alias("r"), scalars.clip(r, -1.0, 1.0).alias("c")).collect()}
     assert got == {1: (-math.inf, -1.0), 2: (0.0, 0.0), 3: (None, 1.0), 4: (None, 1.0), 5: (None, 1.0), 6: (None, 1.0)}
+
+
+def test_windowed_whales_are_high_outliers_only(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    totals = [500.0, 501.0, 502.0, 503.0, 504.0, 30.0, 590.0, 700.0, 10.0]
+    tape = [("a", hour(h), x, "buy") for h, x in enumerate(totals)] + [("b", hour(0), 900.0, "sell")]
+    rows = spark.createDataFrame(tape, "asset string, ts timestamp, quote double, side string")
+    w = scans.windowed_whales(rows, keys=["asset"], seconds=3600, always=600.0, never=20.0)
+    assert {(r.asset, r.total, r.reason, r.middle) for r in w.collect()} == {("a", 590.0, "statistical", 7), ("a", 700.0, "always_floor", 7), ("b", 900.0, "always_floor", 0)}
+
+    # few windows in the middle zone, one of them low; and an asset with none there
+    events = [(i, hour(h), i, asset, x, "") for i, (asset, h, x, _) in enumerate((a, t.hour, x, s) for a, t, x, s in tape)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = duckdb.connect().execute(base.SQL["windowed_whales"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert Counter(map(tuple, base.REGISTERED["windowed_whales"](spark, str(tmp_path)).collect())) == Counter(want) != Counter()
