@@ -39,16 +39,48 @@ def within(left: DataFrame, right: DataFrame, *, keys: list[str], ts: str, right
     return _bucketed(left, right, keys, F.unix_micros(ts) / 1e6, F.unix_micros(right_ts) / 1e6, -before, after)
 
 
+#: Buckets of ``nearest`` are so many tolerances wide; a right row goes to two of them where its reach crosses a border.
+NEAREST_WIDTH = 8
+
+
 def nearest(left: DataFrame, right: DataFrame, *, keys: list[str], left_id: str, ts: str, right_ts: str, right_id: str, tolerance: int, newest: bool = False) -> DataFrame:
-    """For each left row the right row nearest in time, within a tolerance in seconds.
+    """For each left row the right row nearest in time, within a tolerance in seconds; of equally near ones that with the smallest id.
 
-    With ``newest`` the latest row in the window counts, not the nearest.
+    With ``newest`` the latest row in the window counts, not the nearest, and of
+    one time that with the largest id.
+
+    One sorted stream per key and bucket of time, with the last right row carried
+    along, once forwards and, for the nearest, once backwards.  Linear in both
+    sides, and no pairs are made.
     """
-    pairs = within(left, right, keys=keys, ts=ts, right_ts=right_ts, before=tolerance, after=tolerance)
-    far = F.struct((-F.col("__rt")).alias("d"), (-F.col(right_id)).alias("i")) if newest else F.struct(F.abs(F.col("__rt") - F.col("__lt")).alias("d"), F.col(right_id).alias("i"))
+    reach = int(tolerance * 1_000_000)
+    width = NEAREST_WIDTH * max(reach, 1)
+    bucket = lambda t: t - F.pmod(t, F.lit(width))
+    some = lambda df, t: df.where(F.greatest(*(F.col(c).isNull().cast("int") for c in [*keys, t])) == 0)
     cols = [c for c in right.columns if c not in keys]
-    best = pairs.groupBy(*keys, left_id).agg(F.min_by(F.struct(*cols), far).alias("__r"))
-    return best.select(*keys, left_id, "__r.*")
+    # the latest row up to the end of the window is the newest; so left rows stand there
+    at = F.unix_micros(ts) + (reach if newest else 0)
+    a = some(left, ts).select(*keys, at.alias("__t"), F.lit(1).alias("__o"), F.col(left_id).alias("__left")).withColumn("__b", bucket(F.col("__t")))
+    rt = F.unix_micros(right_ts)
+    ends = (rt, rt + 2 * reach) if newest else (rt - reach, rt + reach)
+    b = some(right, right_ts).select(*keys, rt.alias("__t"), F.lit(0).alias("__o"), F.struct(rt.alias("t"), F.col(right_id).alias("i"), F.struct(*cols).alias("r")).alias("__r"), F.explode(F.array_distinct(F.array(*map(bucket, ends)))).alias("__b"))
+    both = a.unionByName(b, allowMissingColumns=True)
+    last = lambda *order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    gap = lambda c: F.abs(F.col(f"{c}.t") - F.col("__t"))
+    near = lambda c, most: F.when(gap(c) <= most, F.struct(gap(c).alias("d"), F.col(f"{c}.i").alias("i")))
+    if newest:
+        seen = both.withColumn("__past", last("__t", "__o", F.col("__r.i").asc_nulls_last())).where("__o = 1")
+        best = seen.select(*keys, "__left", near("__past", 2 * reach).alias("__far"), "__past.r")
+        order = F.struct(F.col("__far.d").alias("d"), (-F.col("__far.i")).alias("i"))
+    else:
+        by_id = F.col("__r.i").desc_nulls_last()
+        seen = both.withColumn("__past", last("__t", "__o", by_id)).withColumn("__next", last(F.desc("__t"), "__o", by_id)).where("__o = 1")
+        seen = seen.withColumn("__fp", near("__past", reach)).withColumn("__fn", near("__next", reach))
+        behind = F.col("__fn").isNull() | (F.col("__fp") <= F.col("__fn"))
+        best = seen.select(*keys, "__left", F.when(behind, F.col("__fp")).otherwise(F.col("__fn")).alias("__far"), F.when(behind, F.col("__past")).otherwise(F.col("__next"))["r"].alias("r"))
+        order = F.col("__far")
+    found = best.where(F.col("__far").isNotNull()).groupBy(*keys, F.col("__left").alias(left_id)).agg(F.min_by("r", order).alias("__r"))
+    return found.select(*keys, left_id, "__r.*")
 
 
 def shifted(features: DataFrame, outcomes: DataFrame, *, keys: list[str], day: str) -> DataFrame:

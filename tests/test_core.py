@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from gnomon.functions import calendar, scalars
-from gnomon.operators import backtest, baskets, features, folds, indicators, infobars, labels, ml, portfolio, scans, signals, statistics
+from gnomon.operators import backtest, baskets, features, folds, indicators, infobars, joins, labels, ml, portfolio, scans, signals, statistics
 from gnomon.plans import base, config, logs, plugins, registry, workflow
 from gnomon.sources import catalog, loader, readers, sinks, store
 from gnomon.streaming import flows
@@ -572,3 +572,21 @@ def test_windowed_whales_are_high_outliers_only(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     want = duckdb.connect().execute(base.SQL["windowed_whales"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
     assert Counter(map(tuple, base.REGISTERED["windowed_whales"](spark, str(tmp_path)).collect())) == Counter(want) != Counter()
+
+
+@pytest.mark.parametrize("newest", [False, True])
+def test_nearest_makes_no_pairs(spark, newest):
+    rng, start, second = random.Random(3), 1704067200_000_000, 1_000_000
+    key = lambda: rng.choice(["a", "a", "b", None])
+    when = lambda: rng.choice([None, *(start + rng.choice([rng.randrange(40), rng.randrange(40) * 5 * second, rng.randrange(100 * second)]) for _ in range(6))])
+    left = [(key(), i // 2 if i < 40 else i, when()) for i in range(300)]  # some ids name two rows
+    right = [(key(), i, when()) for i in range(300)]
+    frame = lambda rows, i, t: spark.createDataFrame(rows, f"k string, {i} long, us long").select("k", i, F.timestamp_micros("us").alias(t))
+    j = joins.nearest(frame(left, "probe", "ts"), frame(right, "id", "rts"), keys=["k"], left_id="probe", ts="ts", right_ts="rts", right_id="id", tolerance=5, newest=newest)
+    best: dict = {}
+    for k, probe, t in left:
+        for k2, i, r in right:
+            if k is not None and k == k2 and t is not None and r is not None and abs(t - r) <= 5 * second:
+                best.setdefault((k, probe), []).append((-r, -i, i) if newest else (abs(t - r), i, i))
+    assert Counter((r.k, r.probe, r.id) for r in j.collect()) == Counter((*k, min(v)[2]) for k, v in best.items())
+    assert "Join" not in j._jdf.queryExecution().optimizedPlan().toString()
