@@ -14,12 +14,13 @@ def whales(trades: DataFrame, *, keys: list[str], always: float) -> DataFrame:
     return trades.where(F.col("quote") >= always).orderBy(F.desc("quote"), "trade_id")
 
 
-def windowed_whales(trades: DataFrame, *, keys: list[str], seconds: int, always: float, never: float, n_threshold: int = 30) -> DataFrame:
+def windowed_whales(trades: DataFrame, *, keys: list[str], seconds: int, always: float, never: float, n_threshold: int = 30, start: Column | None = None) -> DataFrame:
     """Windows whose total is at the ``always`` floor, or in the middle zone and a high outlier among its key's windows there.
 
     ``middle`` counts those; of fewer than ``n_threshold``, outliers are told by the modified z.
+    ``start`` is where a trade's window starts, in milliseconds, if not at whole windows since 1970.
     """
-    bucket = F.floor(F.unix_millis("ts") / (seconds * 1000)) * (seconds * 1000)
+    bucket = F.floor(F.unix_millis("ts") / (seconds * 1000)) * (seconds * 1000) if start is None else start
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("quote")).otherwise(0.0))
     rows = trades.groupBy(*keys, bucket.alias("window_ms")).agg(F.count(F.lit(1)).alias("trades"), F.sum("quote").alias("total"), side("buy").alias("buy"), side("sell").alias("sell"))
     rows = rows.withColumn("imbalance", F.when(F.col("total") > 0, (F.col("buy") - F.col("sell")) / F.col("total")).otherwise(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, windows
-from .base import DAILY, TRADES, daily, query, t, trades
+from .base import DAILY, TRADES, bucket_ms, daily, query, t, trades
 
 
 @query("filter_point_range", "SELECT o_orderkey, o_orderdate::DATE AS day, o_totalprice FROM orders WHERE o_custkey = 330 AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '2000-12-31'")
@@ -283,9 +283,8 @@ def _(spark, sf):
 
 @query("bucket_flow", f"WITH {TRADES} SELECT asset, epoch_ms(ts) // 1800000 * 1800000 AS bucket_ms, count(*) AS n, round(sum(quote), 6) AS total, round(sum(quote) FILTER (WHERE side = 'buy'), 6) AS buy, round(sum(quote) FILTER (WHERE side = 'sell'), 6) AS sell FROM trades GROUP BY 1, 2")
 def _(spark, sf):
-    bucket = F.floor(F.unix_millis("ts") / 1800000) * 1800000
     side = lambda s: F.round(F.sum(F.when(F.col("side") == s, F.col("quote"))), 6).alias(s)
-    return trades(spark, sf).groupBy("asset", bucket.alias("bucket_ms")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quote"), 6).alias("total"), side("buy"), side("sell"))
+    return trades(spark, sf).groupBy("asset", bucket_ms("ts", 1800000).alias("bucket_ms")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("quote"), 6).alias("total"), side("buy"), side("sell"))
 
 
 @query("daily_aggregate", "SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS mean, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

@@ -590,3 +590,16 @@ def test_nearest_makes_no_pairs(spark, newest):
                 best.setdefault((k, probe), []).append((-r, -i, i) if newest else (abs(t - r), i, i))
     assert Counter((r.k, r.probe, r.id) for r in j.collect()) == Counter((*k, min(v)[2]) for k, v in best.items())
     assert "Join" not in j._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bucket_flow", "windowed_whales"])
+def test_buckets_before_1970_match_sql(spark, tmp_path, name):
+    start, rng = dt.datetime(1970, 1, 1), random.Random(5)
+    times = [start + dt.timedelta(seconds=rng.randrange(-40000, 40000), microseconds=rng.randrange(1_000_000)) for _ in range(300)]
+    times += [start + dt.timedelta(hours=h, microseconds=us) for h in (-2, -1, 0, 1) for us in (-1000, -500, -1, 0, 1, 500, 1000)]
+    events = [(i, at, rng.randrange(9), rng.choice("ab"), rng.choice([0.0, 13.01, 55.5, 300.0]), "") for i, at in enumerate(times)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET timezone = 'UTC'; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(base.SQL[name].replace("epoch_ms(ts)", "epoch_ms(ts::TIMESTAMP)")).fetchall()
+    assert Counter(map(tuple, base.REGISTERED[name](spark, str(tmp_path)).collect())) == Counter(want) != Counter()
