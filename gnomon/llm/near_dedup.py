@@ -15,8 +15,9 @@ Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates; texts that agre
 on a band are candidates.  Equal texts are one node from the start.  In a bucket of
 a band all members are first held against one leader, by their exact similarity;
 classes are the connected components.  A bucket that still has members of
-different classes is worked off in cells of two blocks of ``BLOCK_ELEMENTS``
-elements each.  Inside a cell two members can only be similar enough if they share
+different classes is packed into blocks of ``BLOCK_ELEMENTS`` elements, with those of
+its lowest class on their own, and worked off in cells of two blocks, but for
+pairs of blocks of that class.  Inside a cell two members can only be similar enough if they share
 one of the first elements of both, the rarest of the cell first, as many as the
 threshold leaves out of a set (prefix filtering), and if their sizes allow it; a
 pair counts in the first band that it shares; the exact similarity decides, and
@@ -317,26 +318,55 @@ def _with_bucket(members: DataFrame, buckets: DataFrame, hot: int) -> DataFrame:
     return members.where(F.col("n") > hot).join(few, "bucket").unionByName(rest)
 
 
-def _cell_links(members: DataFrame, bands: DataFrame, elements: DataFrame, similarity: float, hot: int, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """Links of ``(bucket, band, id, n, label)`` between different classes of a bucket, cell by cell."""
+def _packed(members: DataFrame, facts: DataFrame, hot: int, block_elements: int) -> DataFrame:
+    """Blocks of ``(bucket, band, id, n, label, low)``, one row each: every member is in one, with its bands and elements.
+
+    The members of the class ``low`` have blocks of their own, the first ``lows``.
+    """
+
+    def pack(block: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        own = block.select(["id", "label", "bands", "elements"]).combine_chunks()
+        with pa.ipc.new_stream(sink, own.schema) as writer:
+            writer.write_table(own)
+        data = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        return block.select(["bucket", "band", "mine", "lows", "blocks"]).slice(0, 1).append_column("data", data)
+
+    size = facts.select("id", F.size("elements").alias("size"))
+    is_low = F.col("label") == F.col("low")
+    in_blocks = lambda which: F.ceil(F.sum(F.when(which, F.col("size")).otherwise(0)) / block_elements).cast("int")
+    sizes = members.join(size, "id").groupBy("bucket").agg(in_blocks(is_low).alias("lows"), in_blocks(~is_low).alias("rest"), F.max("n").alias("n"))
+    of = F.xxhash64("id")
+    mine = F.when(is_low, F.pmod(of, F.col("lows"))).otherwise(F.col("lows") + F.pmod(of, F.col("rest"))).cast("int")
+    dealt = _with_bucket(members, sizes, hot).select("id", "bucket", "band", "label", mine.alias("mine"), "lows", (F.col("lows") + F.col("rest")).alias("blocks"))
+    held = dealt.join(facts, "id").select("bucket", "band", "mine", "lows", "blocks", "id", "label", "bands", "elements")
+    return held.groupBy("bucket", "mine").applyInArrow(pack, "bucket long, band int, mine int, lows int, blocks int, data binary")
+
+
+def _cell_links(members: DataFrame, facts: DataFrame, similarity: float, hot: int) -> DataFrame:
+    """Links of ``(bucket, band, id, n, label, low)`` between different classes of a bucket, cell by cell.
+
+    ``facts`` is ``(id, bands, elements)``.  Members are packed into blocks first,
+    so what is dealt to the cells is rows of blocks, not of members; two blocks
+    of one class have no cell.
+    """
 
     def run(cell: pa.Table) -> pa.Table:
-        col = lambda c: cell.column(c).to_numpy()
-        own = np.stack([x.values.to_numpy() for x in cell.column("bands")])
-        sets = [np.unique(x.values.to_numpy()) for x in cell.column("elements")]
-        first = col("mine") == col("i")
-        rows = np.flatnonzero(first)
-        cols = rows if col("i")[0] == col("j")[0] else np.flatnonzero(~first)
-        links = cell_links(int(col("band")[0]), col("id"), col("label"), own, sets, rows, cols, similarity) if len(rows) and len(cols) else []
+        blocks = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in cell.column("data")]
+        both = pa.concat_tables(blocks)
+        col = lambda c: both.column(c).to_numpy()
+        own = np.stack([x.values.to_numpy() for x in both.column("bands")])
+        sets = [np.unique(x.values.to_numpy()) for x in both.column("elements")]
+        rows = np.arange(blocks[0].num_rows)
+        cols = rows if len(blocks) == 1 else np.arange(len(rows), both.num_rows)
+        alone = len(blocks) == 1 and cell.column("i")[0] != cell.column("j")[0]  # the other block is empty
+        links = [] if alone else cell_links(cell.column("band")[0].as_py(), col("id"), col("label"), own, sets, rows, cols, similarity)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    size = elements.select("id", F.size("elements").alias("size"))
-    sizes = members.join(size, "id").groupBy("bucket").agg(F.sum("size").alias("all"), F.max("n").alias("n"))
-    blocks = F.ceil(F.col("all") / block_elements).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = _with_bucket(members, sizes, hot).select("bucket", "band", "id", "label", blocks.alias("blocks")).select("*", mine.alias("mine")).withColumn("other", others)
-    dealt = dealt.join(bands, "id").join(elements, "id").select("bucket", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "bands", "elements")
+    packed = _packed(members, facts, hot, BLOCK_ELEMENTS)
+    # a block of the class ``low`` meets those of the others; they meet all
+    others = F.explode(F.sequence(F.when(F.col("mine") < F.col("lows"), F.col("lows")).otherwise(0), F.col("blocks") - 1))
+    dealt = packed.withColumn("other", others).select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "data")
     return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
@@ -400,9 +430,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(edges)
     placed = members.where("n > 2").join(labels, "id", "left").select("bucket", "band", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("n").alias("n")).where("low != high")
-    left = materialize(_with_bucket(placed, mixed.select("bucket", "n"), hot), "near-left")
+    left = materialize(_with_bucket(placed, mixed.select("bucket", "n", "low"), hot), "near-left")
     if left.limit(1).count():
-        found = materialize(_cell_links(left, bands, elements.dropDuplicates(["id"]), similarity, hot), "near-links")
+        facts = left.select("id").distinct().join(bands, "id").join(elements.dropDuplicates(["id"]), "id")
+        found = materialize(_cell_links(left, materialize(facts, "near-facts"), similarity, hot), "near-links")
         labels = components(edges.unionByName(found))
 
     classes = texts.join(labels, "id", "left").select("key", "first", F.coalesce("label", "id").alias("class_id"), (F.coalesce("label", "id") == F.col("id")).alias("stands"))

@@ -455,6 +455,35 @@ def test_cells_find_links_between_members():
     assert near_dedup.cell_links(1, np.arange(4), np.arange(4), bands, sets, all_of, all_of, 0.8) == []
 
 
+def test_members_are_packed_once_and_meet_in_cells(spark):
+    """Every member's sets go into one block however many blocks there are; cells find the classes of all pairs."""
+    rng = np.random.default_rng(4)
+    n, low = 60, 35
+    base, other = rng.choice(10**6, 50, replace=False), rng.choice(10**6, 50, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base if i < 40 else other, rng.integers(42, 50), replace=False), rng.choice(10**6, 3)])).tolist() for i in range(n)]
+    facts = spark.createDataFrame([(i, [7] * 25, x) for i, x in enumerate(sets)], "id long, bands array<long>, elements array<int>")
+    members = spark.createDataFrame([(70, 0, i, n, 0 if i < low else i, 0) for i in range(n)], "bucket long, band int, id long, n long, label long, low long")
+    for size in (100, 10**6):
+        packed = near_dedup._packed(members, facts, 10, size).collect()
+        held = [(r.mine < r.lows, i, label) for r in packed for t in [pa.ipc.open_stream(r.data).read_all()] for i, label in zip(t["id"].to_pylist(), t["label"].to_pylist(), strict=True)]
+        assert sorted(held) == sorted((i < low, i, 0 if i < low else i) for i in range(n))
+        assert len(packed) == 2 if size == 10**6 else len(packed) > 15
+    for size in (100, 10**6):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near_dedup, "BLOCK_ELEMENTS", size)
+            links = near_dedup._cell_links(members, facts, 0.8, 10).collect()
+        pairs = [(a, b) for a in range(n) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        tops = []
+        for edges in (links, pairs):
+            top = [0 if i < low else i for i in range(n)]
+            for a, b in edges:
+                x, y = sorted((top[a], top[b]))
+                top = [x if t == y else t for t in top]
+            tops.append(top)
+        assert tops[0] == tops[1] and len(set(tops[0])) > 2
+        assert not any(a < low and b < low for a, b in links)
+
+
 def test_cells_lose_no_pair_at_the_threshold():
     """Random sets with many pairs near 0.8, against all pairs: the classes are the same."""
     rng = np.random.default_rng(3)
